@@ -1,0 +1,18 @@
+"""Registry of the engine's own queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+
+def flagship(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.groupBy("lang").agg(F.count("*").alias("docs"))
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
