@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from sievemill.llm import exact_dedup
+from sievemill.llm import curriculum, decontaminate, exact_dedup, url_filter
 
-QUERIES = {"op9_exact_dedup": exact_dedup}
+QUERIES = {
+    "op2_url_filter": url_filter,
+    "op7_decontaminate": decontaminate,
+    "op9_exact_dedup": exact_dedup,
+    "op10_curriculum": curriculum,
+}
 
 
 def queries():
