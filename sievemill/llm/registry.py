@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sievemill.llm import curriculum, decontaminate, exact_dedup, url_filter
+from sievemill.llm import curriculum, decontaminate, exact_dedup, simhash, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter,
     "op7_decontaminate": decontaminate,
+    "op8_simhash": simhash,
     "op9_exact_dedup": exact_dedup,
     "op10_curriculum": curriculum,
 }
