@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sievemill.llm import curriculum, decontaminate, exact_dedup, simhash, url_filter
+from sievemill.llm import curriculum, decontaminate, exact_dedup, ppm, simhash, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter,
+    "op4_ppm": ppm,
     "op7_decontaminate": decontaminate,
     "op8_simhash": simhash,
     "op9_exact_dedup": exact_dedup,
