@@ -144,7 +144,7 @@ REQUEST = "chunk int, kind string, bucket int, names binary, counts binary"
 def add_words(group: pd.DataFrame) -> tuple[bytes, bytes]:
     total: Counter = Counter()
     for names, counts in zip(group["names"], group["counts"], strict=True):
-        for w, c in zip(names.split(b" "), np.frombuffer(counts, np.int64).tolist(), strict=True):
+        for w, c in zip(names.split(), np.frombuffer(counts, np.int64).tolist(), strict=True):
             if c:
                 total[w] += c
     names = sorted(total)
@@ -182,9 +182,9 @@ def answerer(pairs: np.ndarray):
                 if held != (r.kind, r.bucket):
                     held = (r.kind, r.bucket)
                     counts = np.frombuffer(r.known_counts, np.int64)
-                    model = dict(zip(r.known.split(b" "), counts.tolist(), strict=False)) if r.kind == "word" else Branches(np.cumsum(np.frombuffer(r.known, np.int64)), counts, pairs)
+                    model = dict(zip(r.known.split(), counts.tolist(), strict=False)) if r.kind == "word" else Branches(np.cumsum(np.frombuffer(r.known, np.int64)), counts, pairs)
                 if r.kind == "word":
-                    got = np.array([model.get(w, 0) for w in r.names.split(b" ")], np.int64)
+                    got = np.array([model.get(w, 0) for w in r.names.split()], np.int64)
                 else:
                     got = model.log10(np.cumsum(np.frombuffer(r.names, np.int64))).astype(np.float32)
                 out.append(got.tobytes())

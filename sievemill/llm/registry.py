@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sievemill.llm import curriculum, decontaminate, exact_dedup, ppm, simhash, url_filter
+from sievemill.llm import curriculum, decontaminate, exact_dedup, ppm, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup,
     "op2_url_filter": url_filter,
+    "op3_suffix_dedup": suffix_dedup,
     "op4_ppm": ppm,
     "op7_decontaminate": decontaminate,
     "op8_simhash": simhash,
