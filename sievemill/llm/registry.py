@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sievemill.llm import curriculum, decontaminate, exact_dedup, ppm, simhash, substring_dedup, suffix_dedup, url_filter
+from sievemill.llm import curriculum, decontaminate, exact_dedup, kneser_ney, ppm, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup,
     "op2_url_filter": url_filter,
     "op3_suffix_dedup": suffix_dedup,
     "op4_ppm": ppm,
+    "op5_kneser_ney": kneser_ney,
+    "op6_token_counts": token_counts,
     "op7_decontaminate": decontaminate,
     "op8_simhash": simhash,
     "op9_exact_dedup": exact_dedup,
@@ -17,7 +19,9 @@ QUERIES = {
 
 
 def queries():
-    return {name: module.query for name, module in QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: module.query for name, module in QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
