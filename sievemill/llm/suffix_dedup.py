@@ -21,7 +21,7 @@ from sievemill.llm import repeats, suffix
 from sievemill.llm.common import documents
 
 LENGTH, GRAM = 400, 48
-CAP, SHARD_BYTES = 4096, 2_000_000
+CAP, SHARD_BYTES = 2048, 1_200_000
 GAP = b"\xff"
 
 
