@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievemill.functions.text import lines
+from sievemill.functions.text import let, lines
 
 # What marks a line as noise.
 COMPONENTS = ("node_modules", "site-packages", "dist-packages", "venv", ".venv", "vendor", "gems", "__pycache__", "vcpkg_installed", ".gradle", ".cargo/registry", ".rustup", "pkg/mod", "go/src", ".m2/repository", "usr/include", "usr/lib", "target/debug/build", "lib/python", "internal/modules", "rustc")
@@ -84,17 +84,20 @@ def is_noise(line: Column, custom: Iterable[str] = ()) -> Column:
 def category(line: Column, custom: Iterable[str] = ()) -> Column:
     """What a noise line belongs to; null for a line that isn't noise."""
     custom = [p for p in custom if p]
-    low = folded(line)
-    out = None
-    for p in custom:
-        test, value = F.lower(line).contains(p.lower()), F.lit(f"custom:{p}")
-        out = F.when(test, value) if out is None else out.when(test, value)
-    for name, pattern, on in LABELS:
-        at = low if on == "low" else line
-        pattern = pattern if on == "low" else "(?U)" + pattern
-        value = F.concat(F.lit(name), F.regexp_extract(at, pattern, 1)) if name[-1] in ":/" else F.lit(name)
-        out = F.when(at.rlike(pattern), value) if out is None else out.when(at.rlike(pattern), value)
-    return F.when(is_noise(line, custom), out.otherwise("framework_noise"))
+
+    def label(low: Column) -> Column:
+        out = None
+        for p in custom:
+            test, value = F.lower(line).contains(p.lower()), F.lit(f"custom:{p}")
+            out = F.when(test, value) if out is None else out.when(test, value)
+        for name, pattern, on in LABELS:
+            at = low if on == "low" else line
+            pattern = pattern if on == "low" else "(?U)" + pattern
+            value = F.concat(F.lit(name), F.regexp_extract(at, pattern, 1)) if name[-1] in ":/" else F.lit(name)
+            out = F.when(at.rlike(pattern), value) if out is None else out.when(at.rlike(pattern), value)
+        return out.otherwise("framework_noise")
+
+    return F.when(is_noise(line, custom), let(folded(line), label))
 
 
 _HEAD = r"[^\S\n]*goroutine "
@@ -110,11 +113,17 @@ def pruned(text: Column, custom: Iterable[str] = ()) -> Column:
     blocks = F.when(idle, F.regexp_extract_all(text, F.lit(IDLE_BLOCK), F.lit(0))).otherwise(F.array().cast("array<string>"))
     n_idle = F.size(F.flatten(F.transform(blocks, lines)))
     rest = F.when(idle, F.regexp_replace(text, IDLE_BLOCK, "")).otherwise(text)
-    judged = F.transform(lines(rest), lambda x: F.struct(x.alias("line"), category(x, custom).alias("c")))
-    kept = F.array_join(F.transform(F.filter(judged, lambda x: x["c"].isNull()), lambda x: x["line"]), "\n")
-    names = F.concat(F.transform(F.filter(judged, lambda x: x["c"].isNotNull()), lambda x: x["c"]), F.array_repeat(F.lit(IDLE_LABEL), n_idle))
-    counts = F.transform(F.array_sort(F.array_distinct(names)), lambda c: F.struct(c.alias("category"), F.size(F.filter(names, lambda n: n == c)).cast("long").alias("n")))
-    return F.struct(kept.alias("kept"), F.size(names).cast("long").alias("dropped"), counts.alias("categories"))
+    judged = F.transform(let(rest, lines), lambda x: F.struct(x.alias("line"), category(x, custom).alias("c")))
+
+    def counts(names: Column) -> Column:
+        return F.transform(F.array_sort(F.array_distinct(names)), lambda c: F.struct(c.alias("category"), F.size(F.filter(names, lambda n: n == c)).cast("long").alias("n")))
+
+    def result(j: Column) -> Column:
+        kept = F.array_join(F.transform(F.filter(j, lambda x: x["c"].isNull()), lambda x: x["line"]), "\n")
+        names = F.concat(F.transform(F.filter(j, lambda x: x["c"].isNotNull()), lambda x: x["c"]), F.array_repeat(F.lit(IDLE_LABEL), n_idle))
+        return let(names, lambda n: F.struct(kept.alias("kept"), F.size(n).cast("long").alias("dropped"), counts(n).alias("categories")))
+
+    return let(judged, result)
 
 
 def summary(dropped: Column, categories: Column) -> Column:

@@ -82,17 +82,29 @@ def redact(text: Column, custom: Iterable[tuple[str, str | None]] = (), spark=No
 
 
 def redact_counted(df: DataFrame, text_col: str, out_col: str = "redacted", count_col: str = "n_secrets", by_rule: str | None = None, custom: Iterable[tuple[str, str | None]] = ()) -> DataFrame:
-    """df with the masked text and the number of matches, each counted on the text that the rules before have left.
-
-    by_rule: a column for the counts of each rule, as an array of (rule, n) for rules with matches, in order."""
-    rules = [*RULES, *custom_rules(custom, df.sparkSession)]
-    now = df.withColumns({"_t0": F.col(text_col), "_go": suspicious(F.col(text_col)) if len(rules) == len(RULES) else F.lit(True)})
+    """df with the masked text and the number of matches, each counted on what the rules before have left.
+
+    by_rule: a column for the counts of each rule, as an array of (rule, n), in order. Each step is a
+    projection that names its predecessor once, so a filter that is pushed through them copies no more than the prefixes;
+    texts without any anchor are null there and cost nothing."""
+    own = custom_rules(custom, df.sparkSession)
+    rules = [*RULES, *own]
+    text = F.col(text_col)
+    now = df.withColumn("_t0", text if own else F.when(suspicious(text), text))
     for i, (_, pattern, replacement) in enumerate(rules):
         t = F.col(f"_t{i}")
-        now = now.withColumns({f"_n{i}": F.when(F.col("_go"), F.regexp_count(t, F.lit(java(pattern)))).otherwise(0), f"_t{i + 1}": F.when(F.col("_go"), F.regexp_replace(t, java(pattern), java_replacement(replacement))).otherwise(t)})
-    total = reduce(lambda a, b: a + b, [F.col(f"_n{i}") for i in range(len(rules))])
-    outs = {out_col: F.col(f"_t{len(rules)}"), count_col: total.cast("long")}
+        now = now.withColumns({f"_n{i}": F.regexp_count(t, F.lit(java(pattern))), f"_t{i + 1}": F.regexp_replace(t, java(pattern), java_replacement(replacement))})
+    count = lambda i: F.coalesce(F.col(f"_n{i}"), F.lit(0)).cast("long")
+    outs = {out_col: F.coalesce(F.col(f"_t{len(rules)}"), text), count_col: reduce(lambda a, b: a + b, [count(i) for i in range(len(rules))])}
     if by_rule:
-        pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_n{i}").cast("long").alias("n")) for i, (name, _, _) in enumerate(rules)])
-        outs[by_rule] = F.filter(pairs, lambda p: p["n"] > 0)
+        pairs = F.array(*[F.struct(F.lit(name).alias("rule"), count(i).alias("n")) for i, (name, _, _) in enumerate(rules)])
+        outs[by_rule] = pairs
     return now.select(*[F.col(f"`{c}`") for c in df.columns if c not in outs], *[c.alias(n) for n, c in outs.items()])
+
+
+def rule_totals(df: DataFrame, text_col: str) -> DataFrame:
+    """(rule, n): matches of each rule in the whole table, of rules that have any."""
+    rows = redact_counted(df, text_col, by_rule="rules")
+    sums = rows.agg(*[F.sum(F.col("rules")[i]["n"]).alias(name) for i, (name, _, _) in enumerate(RULES)])
+    pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("n")) for name, _, _ in RULES])
+    return sums.select(F.explode(pairs).alias("r")).select("r.rule", "r.n").filter("n > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievemill.functions.text import lines
+from sievemill.functions.text import let, lines
 
 MOST = 100
 #: Lines that begin so are frames or run-time chatter.
@@ -19,8 +19,8 @@ def trim(text: Column) -> Column:
 
 def clean_query(raw: Column) -> Column:
     """Words without addresses and paths (all of it if nothing is left), 100 characters at most."""
-    words = F.filter(F.split(trim(raw), r"(?U)\s+"), lambda w: (w != "") & ~w.rlike(PATHLIKE))
-    return F.substring(F.when(F.size(words) == 0, raw).otherwise(F.array_join(words, " ")), 1, MOST)
+    words = lambda r: F.filter(F.split(trim(r), r"(?U)\s+"), lambda w: (w != "") & ~w.rlike(PATHLIKE))
+    return let(raw, lambda r: F.substring(let(words(r), lambda ws: F.when(F.size(ws) == 0, r).otherwise(F.array_join(ws, " "))), 1, MOST))
 
 
 def after(text: Column, mark: str) -> Column:
@@ -33,21 +33,29 @@ def first(rows: Column, test) -> Column:
 
 def error_query(log: Column) -> Column:
     """The signature: root cause, then a panic, then an error header, then the last line that isn't a frame."""
-    rows = F.transform(lines(log), trim)
+    return clean_query(let(F.transform(lines(log), trim), raw_signature))
+
+
+def raw_signature(rows: Column) -> Column:
     cause = trim(F.regexp_replace(first(rows, lambda x: x.startswith("Caused by:")), r"\A(?:Caused by:)+", ""))
     is_thread = lambda x: x.startswith("thread ") & x.contains("panicked at")
-    panic = first(rows, lambda x: x.startswith("panic:") | is_thread(x) | x.contains("AddressSanitizer:"))
-    plain = trim(F.regexp_replace(panic, r"\A(?:panic:)+", ""))
-    thread = F.regexp_replace(F.regexp_replace(trim(after(panic, "panicked at")), r"\A'+|'+\z", ""), r'\A"+|"+\z', "")
-    token = F.split(trim(after(panic, "AddressSanitizer:")), r"(?U)\s+")[0]
-    panic = F.when(panic.startswith("panic:"), plain).when(is_thread(panic), thread).otherwise(F.when(token == "", F.lit("heap-buffer-overflow")).otherwise(token))
     in_thread = lambda x: x.startswith("Exception in thread") & x.contains(":")
     headed = lambda x: (x.contains("Error: ") | x.contains("Exception: ")) & ~x.rlike(r'\A(?:at |File "|#)')
-    header = first(rows, lambda x: in_thread(x) | headed(x))
-    header = F.when(in_thread(header), trim(after(header, ":"))).otherwise(header)
+
+    def panic(x: Column) -> Column:
+        plain = trim(F.regexp_replace(x, r"\A(?:panic:)+", ""))
+        thread = F.regexp_replace(F.regexp_replace(trim(after(x, "panicked at")), r"\A'+|'+\z", ""), r'\A"+|"+\z', "")
+        token = F.split(trim(after(x, "AddressSanitizer:")), r"(?U)\s+")[0]
+        return F.when(x.startswith("panic:"), plain).when(is_thread(x), thread).otherwise(F.when(token == "", F.lit("heap-buffer-overflow")).otherwise(token))
+
+    header = lambda x: F.when(in_thread(x), trim(after(x, ":"))).otherwise(x)
     rest = F.filter(rows, lambda x: (x != "") & ~x.rlike(FRAME))
-    last = F.when(F.size(rest) > 0, F.element_at(rest, -1))
-    return clean_query(F.coalesce(cause, panic, header, last))
+    return F.coalesce(
+        cause,
+        let(first(rows, lambda x: x.startswith("panic:") | is_thread(x) | x.contains("AddressSanitizer:")), panic),
+        let(first(rows, lambda x: in_thread(x) | headed(x)), header),
+        let(rest, lambda r: F.when(F.size(r) > 0, F.element_at(r, -1))),
+    )
 
 
 def search_query(log: Column) -> Column:

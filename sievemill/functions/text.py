@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once: it is bound to a lambda's variable, so the plan holds it once too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """Lines as an array: split at LF, one CR before it dropped, no line after a last LF; no line at all for ''."""
     split = F.split(F.regexp_replace(text, "\\r?\\n\\z", ""), "\\r?\\n")

@@ -1,18 +1,524 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's own queries, each over whole tables, with reference SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemill.functions import bodies, dialects, lint, noise, patch, payload, redaction, signature, text, traces
+from sievemill.operators import audit, context, evaluation, store, traffic
+from sievemill.plans import synthetic
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return _QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return _SQL
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Building blocks of the reference SQL
+
+quote = lambda s: "'" + s.replace("'", "''") + "'"
+LOGS = f"logs AS ({synthetic.SELECT})"
+joined = lambda col, alias: F.array_join(col, "|").alias(alias)
+
+
+def sql_redaction(source: str, final: str) -> str:
+    """A chain of one CTE for each rule over a CTE named source with text; final sees t, n (total) and n0...n18."""
+    steps = [f"r0 AS (SELECT *, text AS t FROM {source})"]
+    for i, (_, p, r) in enumerate(redaction.RULES):
+        steps.append(f"r{i + 1} AS (SELECT * EXCLUDE (t), len(regexp_extract_all(t, {quote(p)})) AS n{i}, regexp_replace(t, {quote(p)}, {quote(r)}, 'g') AS t FROM r{i})")
+    total = " + ".join(f"n{i}" for i in range(len(redaction.RULES)))
+    return ", ".join([*steps, f"red AS (SELECT *, ({total})::BIGINT AS n FROM r{len(redaction.RULES)})"]) + " " + final
+
+
+def sql_category(line: str) -> str:
+    low = f"replace(lower({line}), chr(92), '/')"
+    cases = []
+    for name, p, on in noise.LABELS:
+        at = low if on == "low" else line
+        value = f"concat({quote(name)}, regexp_extract({at}, {quote(p)}, 1))" if name[-1] in ":/" else quote(name)
+        cases.append(f"WHEN regexp_matches({at}, {quote(p)}) THEN {value}")
+    return f"CASE WHEN {sql_noise(line)} THEN CASE {' '.join(cases)} ELSE 'framework_noise' END END"
+
+
+def sql_noise(line: str) -> str:
+    return f"(regexp_matches(replace(lower({line}), chr(92), '/'), {quote(noise.LOWER_NOISE)}) OR regexp_matches({line}, {quote(noise.PLAIN_NOISE)}))"
+
+
+def sql_lines(source: str, text: str = "text") -> str:
+    return f"SELECT * EXCLUDE (ls), unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT *, CASE WHEN {text} = '' THEN [] ELSE string_split(regexp_replace({text}, '\\r?\\n\\z', ''), chr(10)) END AS ls FROM {source})"
+
+
+_IDLE = " OR ".join(f"contains(line, {quote(m)})" for m in noise.IDLE)
+
+
+def sql_pruned(source: str, text: str = "text") -> str:
+    """CTEs up to pruned (doc_id, kept, dropped, summary), from a CTE with doc_id and a text."""
+    return f"""ln AS ({sql_lines(f"(SELECT doc_id, {text} AS text FROM {source})")}),
+ev AS (SELECT *, CASE WHEN regexp_matches(line, '\\A\\s*goroutine ') THEN CASE WHEN {_IDLE} THEN 1 ELSE 0 END WHEN line = '' THEN 0 END AS e FROM ln),
+st AS (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS s FROM ev),
+ct AS (SELECT *, CASE WHEN s = 1 THEN 'go:idle_goroutines' ELSE {sql_category("line")} END AS c FROM st),
+nm AS (SELECT doc_id, c, count(*) AS k FROM ct WHERE c IS NOT NULL GROUP BY ALL),
+sm AS (SELECT doc_id, sum(k)::BIGINT AS dropped, string_agg(concat(c, ': ', k::VARCHAR), ', ' ORDER BY c) AS parts FROM nm GROUP BY doc_id),
+kp AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (c IS NULL) AS kept FROM ct GROUP BY doc_id),
+pruned AS (SELECT {source}.doc_id, coalesce(kept, '') AS kept, coalesce(dropped, 0)::BIGINT AS dropped,
+  CASE WHEN coalesce(dropped, 0) = 0 THEN '0 frames (lossless)' ELSE concat(dropped::VARCHAR, ' frames (', parts, ')') END AS summary
+  FROM {source} LEFT JOIN kp USING (doc_id) LEFT JOIN sm USING (doc_id))"""
+
+
+# A: redaction
+
+
+@query(f"WITH {LOGS}, {sql_redaction('logs', 'SELECT doc_id, md5(t) AS clean_md5, strlen(t)::BIGINT AS clean_bytes, n AS n_secrets FROM red')}")
+def redact_logs(spark, sf_dir):
+    rows = redaction.redact_counted(synthetic.logs(spark, sf_dir), "text")
+    return rows.select("doc_id", F.md5("redacted").alias("clean_md5"), text.n_bytes(F.col("redacted")).alias("clean_bytes"), "n_secrets")
+
+
+@query(f"WITH {sql_redaction('documents', 'SELECT lang, count(*) AS docs, sum(strlen(text))::BIGINT AS raw_bytes, sum(strlen(t))::BIGINT AS clean_bytes, sum(strlen(text) // 4 - strlen(t) // 4)::BIGINT AS tokens_saved, sum(n)::BIGINT AS secrets FROM red GROUP BY lang')}")
+def redact_documents(spark, sf_dir):
+    rows = redaction.redact_counted(table(spark, sf_dir, "documents"), "text")
+    less = audit.tokens(F.col("text")) - audit.tokens(F.col("redacted"))
+    return rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(text.n_bytes(F.col("text"))).alias("raw_bytes"), F.sum(text.n_bytes(F.col("redacted"))).alias("clean_bytes"), F.sum(less).alias("tokens_saved"), F.sum("n_secrets").alias("secrets"))
+
+
+@query("WITH " + LOGS + ", " + sql_redaction("logs", " UNION ALL ".join(f"SELECT '{name}' AS rule, sum(n{i})::BIGINT AS n FROM red HAVING sum(n{i}) > 0" for i, (name, _, _) in enumerate(redaction.RULES))))
+def secrets_by_rule(spark, sf_dir):
+    return redaction.rule_totals(synthetic.logs(spark, sf_dir), "text")
+
+
+@query(f"WITH {LOGS}, {sql_redaction('logs', '''SELECT doc_id, md5(regexp_replace(t, 'well[a-z]*', '[W]', 'g')) AS clean_md5 FROM red''')}")
+def redact_custom(spark, sf_dir):
+    rows = synthetic.logs(spark, sf_dir)
+    return rows.select("doc_id", F.md5(redaction.redact(F.col("text"), [("well[a-z]*", "[W]"), ("(broken", None)], spark)).alias("clean_md5"))
+
+
+# B: lines, noise, pruning
+
+
+@query(f"WITH ln AS ({sql_lines('documents')}), t AS (SELECT doc_id, count(*) AS n_lines, string_agg(rtrim(line), chr(10) ORDER BY pos) FILTER (rtrim(line) <> '') AS c FROM ln GROUP BY doc_id) SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, md5(coalesce(c, '')) AS compact_md5, (strlen(text) - strlen(replace(text, chr(10), '')))::BIGINT AS newlines FROM documents LEFT JOIN t USING (doc_id)")
+def line_stats(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.lines(t)).cast("long").alias("n_lines"), F.md5(text.lossless_compact(t)).alias("compact_md5"), text.n_newlines(t).alias("newlines"))
+
+
+@query(f"WITH {LOGS}, ln AS ({sql_lines('logs')}) SELECT kind, count(*) AS n_lines, count(*) FILTER ({sql_noise('line')}) AS n_noise, count(*) FILTER ({sql_noise('line')} OR contains(lower(line), 'order')) AS n_custom FROM ln GROUP BY kind")
+def noise_lines(spark, sf_dir):
+    rows = synthetic.logs(spark, sf_dir).select("kind", F.explode(text.lines(F.col("text"))).alias("line"))
+    one = lambda c: F.count(F.when(c, 1))
+    return rows.groupBy("kind").agg(F.count("*").alias("n_lines"), one(noise.is_noise(F.col("line"))).alias("n_noise"), one(noise.is_noise(F.col("line"), ["ORDER"])).alias("n_custom"))
+
+
+@query(f"WITH {LOGS}, ln AS ({sql_lines('logs')}), c AS (SELECT {sql_category('line')} AS category FROM ln) SELECT category, count(*) AS n FROM c WHERE category IS NOT NULL GROUP BY category")
+def noise_categories(spark, sf_dir):
+    rows = synthetic.logs(spark, sf_dir).select(F.explode(text.lines(F.col("text"))).alias("line"))
+    return rows.select(noise.category(F.col("line")).alias("category")).filter("category is not null").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LOGS}, {sql_pruned('logs')} SELECT doc_id, md5(kept) AS kept_md5, dropped, summary FROM pruned")
+def prune_logs(spark, sf_dir):
+    rows = synthetic.logs(spark, sf_dir).withColumn("p", noise.pruned(F.col("text")))
+    return rows.select("doc_id", F.md5("p.kept").alias("kept_md5"), F.col("p.dropped").alias("dropped"), noise.summary(F.col("p.dropped"), F.col("p.categories")).alias("summary"))
+
+
+# C: traces
+
+
+def sql_locations(name: str) -> str:
+    x = traces.BY_NAME[name]
+    detect = {
+        "rust": "contains(text, 'panicked at') OR contains(text, '.rs:')",
+        "python": "contains(text, 'Traceback (most recent call last):') OR contains(text, 'File \"') OR contains(text, '.py\", line ') OR contains(text, '.py:') OR contains(text, '.pyi:') OR contains(text, '.pyx:')",
+        "js": "regexp_matches(text, 'Error:|UnhandledPromiseRejection') AND regexp_matches(text, 'at |\\.(?:js|ts|tsx|jsx):')",
+        "go": "regexp_matches(text, 'panic:|goroutine |\\.go:')",
+        "java": "regexp_matches(text, 'Exception|\\tat |Caused by:')",
+        "cpp": "regexp_matches(text, 'AddressSanitizer|Segmentation fault|core dumped|\\.(?:cpp|cc|cxx):')",
+        "php": "regexp_matches(text, 'Fatal error:|Uncaught ') OR contains(text, 'Stack trace:') AND contains(text, '.php')",
+        "csharp": "contains(text, '.cs:line ') OR contains(text, 'Exception:') AND contains(text, ' in ') AND contains(text, '.cs')",
+        "ruby": "contains(text, '.rb:') AND (contains(text, ':in `') OR contains(text, ':in ''') OR contains(text, 'gems/') OR contains(text, 'Error') OR contains(text, 'Exception'))",
+    }[name]
+    g = lambda i: f"regexp_extract_all(text, {quote(x.pattern)}, {i})"
+    file = f"unnest({g(x.pairs[0][0])})" if len(x.pairs) == 1 else f"unnest(list_transform(list_zip({g(x.pairs[0][0])}, {g(x.pairs[1][0])}), lambda z: coalesce(nullif(z[1], ''), z[2])))"
+    line = f"unnest({g(x.pairs[0][1])})" if len(x.pairs) == 1 else f"unnest(list_transform(list_zip({g(x.pairs[0][1])}, {g(x.pairs[1][1])}), lambda z: coalesce(nullif(z[1], ''), z[2])))"
+    cls = f"unnest({g(x.class_group)})" if x.class_group else "''"
+    keep = " AND ".join(["try_cast(line AS BIGINT) IS NOT NULL"] + ([f"NOT {sql_noise('file')}"] if x.drops_noise else []) + ([f"NOT regexp_matches(cls, '\\A(?:{traces.any_of(traces.JVM_CLASSES)})')".replace("\\-", "-")] if x.class_group else []))
+    return f"SELECT doc_id, file, try_cast(line AS BIGINT) AS line, pos FROM (SELECT doc_id, {file} AS file, {line} AS line, {cls} AS cls, unnest(range(1, len({g(x.pairs[0][1])}) + 1)) AS pos FROM logs WHERE {detect}) WHERE {keep}"
+
+
+def _frames(name: str) -> None:
+    def run(spark, sf_dir):
+        rows = synthetic.logs(spark, sf_dir).select("doc_id", traces.locations(F.col("text"), name).alias("l")).filter("size(l) > 0")
+        return rows.select("doc_id", joined(F.transform("l", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"))), "frames"))
+
+    run.__name__ = f"frames_{name}"
+    query(f"WITH {LOGS}, f AS ({sql_locations(name)}) SELECT doc_id, string_agg(concat(file, ':', line::VARCHAR), '|' ORDER BY pos) AS frames FROM f GROUP BY doc_id")(run)
+
+
+for _x in traces.LANGUAGES:
+    _frames(_x.name)
+
+_ALL = " UNION ALL ".join(f"SELECT *, {i} AS parser FROM ({sql_locations(x.name)})" for i, x in enumerate(traces.LANGUAGES))
+_UNION = f"f AS ({_ALL}), u AS (SELECT doc_id, file, line, min(parser * 1000000 + pos) AS o FROM f GROUP BY doc_id, file, line)"
+
+
+@query(f"WITH {LOGS}, {_UNION} SELECT doc_id, string_agg(concat(file, ':', line::VARCHAR), '|' ORDER BY o) AS frames FROM u GROUP BY doc_id")
+def frames_all(spark, sf_dir):
+    rows = synthetic.logs(spark, sf_dir).select("doc_id", traces.all_locations(F.col("text")).alias("l")).filter("size(l) > 0")
+    return rows.select("doc_id", joined(F.transform("l", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"))), "frames"))
+
+
+# D: source windows. Documents play the source files: each frame's path is given to the document of the same id.
+
+_SRC = f"src AS (SELECT file AS path, any_value(d.text) AS text FROM u JOIN documents d USING (doc_id) WHERE NOT {sql_noise('file')} AND doc_id % 5 <> 0 GROUP BY file HAVING count(DISTINCT doc_id) = 1)"
+_WIN = f"fr AS (SELECT doc_id AS id, file AS path, line, o FROM u WHERE NOT {sql_noise('file')}), sl AS ({sql_lines('src')})"
+
+
+def _sources(spark, sf_dir):
+    found = context.frames(synthetic.logs(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = found.select("id", "path").distinct().filter("id % 5 <> 0").join(docs, "id")
+    one = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("text").alias("text")).filter("n = 1")
+    return found, one.select("path", "text")
+
+
+@query(f"WITH {LOGS}, {_UNION}, {_SRC}, {_WIN} SELECT id, fr.path, fr.line, pos::BIGINT AS line_no, sl.line AS text FROM fr JOIN sl ON fr.path = sl.path AND pos BETWEEN greatest(greatest(fr.line - 2, 0) - 1, 0) + 1 AND fr.line + 2")
+def context_window(spark, sf_dir):
+    found, sources = _sources(spark, sf_dir)
+    return context.windows_by_lines(found, context.source_lines(sources), 2).select("id", "path", "line", "line_no", "text")
+
+
+@query(f"WITH {LOGS}, {_UNION}, {_SRC}, {_WIN} SELECT DISTINCT id, path FROM fr WHERE path IN (SELECT path FROM src)")
+def files_in_context(spark, sf_dir):
+    return context.present(*_sources(spark, sf_dir)).select("id", "path").distinct()
+
+
+@query(f"WITH {LOGS}, {_UNION}, {_SRC}, {_WIN} SELECT DISTINCT id, path FROM fr WHERE path NOT IN (SELECT path FROM src)")
+def files_missing(spark, sf_dir):
+    return context.missing(*_sources(spark, sf_dir)).select("id", "path").distinct()
+
+
+@query()
+def context_text(spark, sf_dir):
+    return context.contexts(*_sources(spark, sf_dir), 2)
+
+
+@query("SELECT page_id, path, (contains(path, chr(0)) OR d < 0) AS escapes FROM (SELECT page_id, path, coalesce(list_min(list_transform(range(1, len(s) + 1), lambda i: list_sum(s[:i]))), 0) AS d FROM (SELECT page_id, path, list_transform(string_split(path, '/'), lambda p: CASE WHEN p = '..' THEN -1 WHEN p IN ('', '.') THEN 0 ELSE 1 END) AS s FROM (SELECT page_id, concat(CASE page_id % 4 WHEN 0 THEN '../' WHEN 1 THEN 'a/../../' WHEN 2 THEN 'a/b/../' ELSE './' END, split_part(url, '/', 4)) AS path FROM pages)))")
+def path_escapes(spark, sf_dir):
+    lead = F.when(F.col("page_id") % 4 == 0, "../").when(F.col("page_id") % 4 == 1, "a/../../").when(F.col("page_id") % 4 == 2, "a/b/../").otherwise("./")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(lead, F.split_part("url", F.lit("/"), F.lit(4))).alias("path"))
+    return rows.withColumn("escapes", context.escapes(F.col("path")))
+
+
+# E: signatures
+
+_TRIM = lambda x: f"regexp_replace({x}, '\\A\\s+|\\s+\\z', '', 'g')"
+_PATHLIKE = quote(signature.PATHLIKE)
+_CLEAN = f"CASE WHEN len(w) = 0 THEN raw ELSE array_to_string(w, ' ') END"
+_SIG = f"""ls AS (SELECT doc_id, list_transform(CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\r?\\n\\z', ''), chr(10)) END, lambda x: {_TRIM('x')}) AS r FROM logs),
+p AS (SELECT doc_id, list_filter(r, lambda x: starts_with(x, 'Caused by:'))[1] AS a,
+  list_filter(r, lambda x: starts_with(x, 'panic:') OR starts_with(x, 'thread ') AND contains(x, 'panicked at') OR contains(x, 'AddressSanitizer:'))[1] AS b,
+  list_filter(r, lambda x: starts_with(x, 'Exception in thread') AND contains(x, ':') OR (contains(x, 'Error: ') OR contains(x, 'Exception: ')) AND NOT regexp_matches(x, '\\A(?:at |File "|#)'))[1] AS c,
+  list_filter(r, lambda x: x <> '' AND NOT regexp_matches(x, {quote(signature.FRAME)}))[-1] AS d FROM ls),
+q AS (SELECT doc_id, coalesce({_TRIM("regexp_replace(a, '\\A(?:Caused by:)+', '')")},
+  CASE WHEN starts_with(b, 'panic:') THEN {_TRIM("regexp_replace(b, '\\A(?:panic:)+', '')")}
+       WHEN starts_with(b, 'thread ') AND contains(b, 'panicked at') THEN trim(trim({_TRIM("substring(b, instr(b, 'panicked at') + 11)")}, ''''), '"')
+       WHEN b IS NOT NULL THEN coalesce(nullif(regexp_extract(b, 'AddressSanitizer:\\s*(\\S*)', 1), ''), 'heap-buffer-overflow') END,
+  CASE WHEN starts_with(c, 'Exception in thread') AND contains(c, ':') THEN {_TRIM("substring(c, instr(c, ':') + 1)")} ELSE c END, d) AS raw FROM p),
+s AS (SELECT doc_id, raw, list_filter(regexp_split_to_array({_TRIM('raw')}, '\\s+'), lambda w: w <> '' AND NOT (regexp_matches(w, '\\A0x|\\A/') OR regexp_matches(lower(w), '\\A[cd]:\\\\|/(?:home|usr|var|etc|app|target)/'))) AS w FROM q)"""
+
+
+@query(f"WITH {LOGS}, {_SIG} SELECT doc_id, substring({_CLEAN}, 1, 100) AS signature FROM s")
+def error_signature(spark, sf_dir):
+    return synthetic.logs(spark, sf_dir).select("doc_id", signature.error_query(F.col("text")).alias("signature"))
+
+
+@query(f"WITH {LOGS}, {_SIG}, g AS (SELECT substring({_CLEAN}, 1, 100) AS signature FROM s) SELECT signature, count(*) AS n FROM g GROUP BY signature HAVING count(*) > 1")
+def signature_counts(spark, sf_dir):
+    return error_signature(spark, sf_dir).groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+# F: audits
+
+_AUDIT = f"WITH {LOGS}, {sql_redaction('logs', '')[:-1]}, {sql_pruned('red', 't')}, a AS (SELECT red.doc_id, red.lang, red.kind, red.text, red.n, pruned.* EXCLUDE (doc_id), strlen(red.text)::BIGINT AS raw, strlen(kept)::BIGINT AS clean FROM red JOIN pruned USING (doc_id)), h AS (SELECT *, CASE WHEN raw > 0 THEN round(greatest(raw - clean, 0) / raw * 100.0::DOUBLE * 10.0::DOUBLE) / 10.0::DOUBLE ELSE 0.0 END AS pct FROM a)"
+
+
+@query(_AUDIT + " SELECT doc_id, raw AS raw_bytes, clean AS clean_bytes, greatest(raw // 4 - clean // 4, 0)::BIGINT AS tokens_saved, pct AS noise_reduction_pct, CASE WHEN pct > 60 THEN 'CRITICAL_BLOAT' WHEN pct > 25 THEN 'MODERATE_BLOAT' ELSE 'OPTIMAL' END AS health_grade, CASE WHEN pct > 25 THEN 'REQUIRES_PRUNING' ELSE 'OPTIMAL_HEALTH' END AS state, summary AS dropped_frames, n AS secrets_count, concat('sha256:', sha256(text)) AS raw_hash, (greatest(raw // 4 - clean // 4, 0) * 7 // 10)::BIGINT AS conservative_saved FROM h")
+def audit_health(spark, sf_dir):
+    rows = audit.audit(synthetic.logs(spark, sf_dir))
+    return rows.select("doc_id", "raw_bytes", "clean_bytes", "tokens_saved", "noise_reduction_pct", "health_grade", "state", "dropped_frames", "secrets_count", "raw_hash", "conservative_saved")
+
+
+@query(_AUDIT + " SELECT kind, lang, count(*) AS n, sum(raw)::BIGINT AS raw_bytes, sum(clean)::BIGINT AS clean_bytes, sum(greatest(raw // 4 - clean // 4, 0))::BIGINT AS tokens_saved, sum(n)::BIGINT AS secrets, count(*) FILTER (pct > 60)::BIGINT AS critical FROM h GROUP BY kind, lang")
+def health_by_kind(spark, sf_dir):
+    return audit.health(audit.audit(synthetic.logs(spark, sf_dir)), "kind", "lang")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health_by_kind(spark, sf_dir)
+
+
+@query(_AUDIT + f", {_UNION}, fl AS (SELECT doc_id, list(file ORDER BY o) AS fs FROM (SELECT doc_id, file, min(o) AS o FROM u WHERE NOT {sql_noise('file')} GROUP BY ALL) GROUP BY doc_id) SELECT doc_id, 'v1.0.0' AS version, 'AGGRESSIVE' AS strategy_applied, (greatest(raw - clean, 0) // 4)::BIGINT AS estimated_tokens_saved, summary AS dropped_frames, n AS secrets_neutralized, coalesce(array_to_string(fs, ', '), 'NO_LOCAL_APPLICATION_FRAME_DETECTED') AS primary_crash_coordinates, coalesce(fs[1], 'NO_LOCAL_FRAME_DETECTED') AS suggested_next_frame FROM h LEFT JOIN fl USING (doc_id)")
+def envelope_roundtrip(spark, sf_dir):
+    rows = audit.error_context(synthetic.logs(spark, sf_dir)).select("doc_id", audit.parsed_envelope(F.col("report")).alias("e"))
+    return rows.select("doc_id", *[F.col(f"e.{c}") for c in ("version", "strategy_applied", "estimated_tokens_saved", "dropped_frames", "secrets_neutralized", "primary_crash_coordinates", "suggested_next_frame")])
+
+
+@query(f"WITH {LOGS}, {sql_pruned('logs')}, k AS (SELECT doc_id, kept AS text FROM pruned), {sql_redaction('k', 'SELECT doc_id, md5(t) AS clean_md5 FROM red')}")
+def scrub_logs(spark, sf_dir):
+    return synthetic.logs(spark, sf_dir).select("doc_id", F.md5(audit.scrubbed(F.col("text"))).alias("clean_md5"))
+
+
+@query(f"WITH {LOGS}, {sql_pruned('logs')}, k AS (SELECT doc_id, kept AS text FROM pruned), {sql_redaction('k', 'SELECT sha256(logs.text) AS hash, strlen(logs.text)::BIGINT AS raw_bytes, strlen(t)::BIGINT AS clean_bytes FROM red JOIN logs USING (doc_id) WHERE doc_id % 20 = 0')}")
+def verify_dumps(spark, sf_dir):
+    logs = synthetic.logs(spark, sf_dir)
+    dump = store.put(None, logs.withColumn("stored_at", F.lit(0)))
+    hashes = logs.filter("doc_id % 20 = 0").select(F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("hash"))
+    return audit.verify(hashes, dump).drop("clean")
+
+
+# G: payloads
+
+_TURNS = "turns AS (SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS doc_id, concat(CASE turn % 3 WHEN 0 THEN concat('api_key=value', lpad(conv_id::VARCHAR, 12, '0'), chr(10)) WHEN 1 THEN concat('    at next (/srv/app/node_modules/next/server.js:10:5)', chr(10)) ELSE '' END, coalesce(text, '')) AS text FROM conversations)"
+
+
+def _turns(spark, sf_dir):
+    lead = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("api_key=value"), F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit("\n"))).when(F.col("turn") % 3 == 1, F.lit("    at next (/srv/app/node_modules/next/server.js:10:5)\n")).otherwise("")
+    return table(spark, sf_dir, "conversations").withColumn("text", F.concat(lead, F.coalesce("text", F.lit(""))))
+
+
+_CLEANED = f"WITH {_TURNS}, {sql_redaction('turns', '')[:-1]}, {sql_pruned('red', 't')}, c AS (SELECT conv_id, turn, role, role = 'assistant' AS k, text, t, kept FROM red JOIN pruned USING (doc_id))"
+
+
+@query(_CLEANED + " SELECT conv_id, turn, role, md5(CASE WHEN k THEN text ELSE kept END) AS text_md5, CASE WHEN k THEN 0 ELSE strlen(text) END::BIGINT AS raw_bytes, CASE WHEN k THEN 0 ELSE strlen(kept) END::BIGINT AS clean_bytes, CASE WHEN k THEN 0 ELSE (t <> text)::INT END::BIGINT AS changed FROM c")
+def sanitize_turns(spark, sf_dir):
+    rows = payload.sanitize_conversations(_turns(spark, sf_dir))
+    return rows.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"), "raw_bytes", "clean_bytes", "changed")
+
+
+@query(_CLEANED + " SELECT conv_id, sum(CASE WHEN k THEN 0 ELSE strlen(text) END)::BIGINT AS raw_bytes, sum(CASE WHEN k THEN 0 ELSE strlen(kept) END)::BIGINT AS clean_bytes, sum(CASE WHEN k THEN 0 ELSE (t <> text)::INT END)::BIGINT AS secrets FROM c GROUP BY conv_id")
+def payload_stats(spark, sf_dir):
+    rows = payload.sanitize_conversations(_turns(spark, sf_dir))
+    return rows.groupBy("conv_id").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("clean_bytes").alias("clean_bytes"), F.sum("changed").alias("secrets"))
+
+
+def _payloads(spark, sf_dir):
+    rows = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    body = F.struct(F.lit("m").alias("model"), F.lit("be kind").alias("system"), F.lit(100).alias("max_tokens"), F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    return rows.select("conv_id", F.to_json(body).alias("payload"))
+
+
+@query(_CLEANED + " SELECT conv_id, (7 + sum(CASE WHEN k THEN 0 ELSE strlen(text) END))::BIGINT AS raw_bytes, (7 + sum(CASE WHEN k THEN 0 ELSE strlen(kept) END))::BIGINT AS clean_bytes, sum(CASE WHEN k THEN 0 ELSE (t <> text)::INT END)::BIGINT AS secrets FROM c GROUP BY conv_id")
+def sanitize_payloads(spark, sf_dir):
+    rows = _payloads(spark, sf_dir).select("conv_id", payload.sanitize_json(F.col("payload")).alias("s"))
+    return rows.select("conv_id", "s.raw_bytes", "s.clean_bytes", "s.secrets")
+
+
+# H: dialects, routes
+
+
+@query()
+def translate_requests(spark, sf_dir):
+    rows = _payloads(spark, sf_dir).withColumn("choices", dialects.to_choices(F.col("payload")))
+    return rows.select("conv_id", F.sha2("choices", 256).alias("choices_sha256"), F.sha2(dialects.to_blocks(F.col("choices")), 256).alias("blocks_sha256"))
+
+
+@query()
+def translate_answers(spark, sf_dir):
+    body = F.to_json(F.struct(F.concat(F.lit("a"), F.col("conv_id")).alias("id"), F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"), F.lit("length").alias("finish_reason"))).alias("choices")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", dialects.answer_to_blocks(body).alias("blocks"))
+    return rows.select("conv_id", "turn", F.get_json_object("blocks", "$.stop_reason").alias("stop_reason"), F.sha2(dialects.answer_to_choices(F.col("blocks")), 256).alias("choices_sha256"))
+
+
+@query()
+def stream_events(spark, sf_dir):
+    chunk = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"), F.when(F.col("role") == "assistant", "stop").alias("finish_reason"))).alias("choices")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", dialects.stream_events(chunk, F.col("turn") == 0).alias("events"))
+    return rows.select("conv_id", "turn", F.posexplode("events")).select("conv_id", "turn", "pos", F.sha2("col", 256).alias("event_sha256"))
+
+
+_HEADERS = lambda: F.when(F.col("page_id") % 3 == 0, F.create_map(F.lit("X-Api-Key"), F.lit("k"))).when(F.col("page_id") % 3 == 1, F.create_map(F.lit("X-Target-Provider"), F.lit("OpenAI"))).otherwise(F.create_map(F.lit("accept"), F.lit("*")))
+_PATH = lambda: F.when(F.col("page_id") % 5 == 0, "/v1/messages").when(F.col("page_id") % 5 == 1, "/v1/chat/completions?x=1").when(F.col("page_id") % 5 == 2, "/api/chat").when(F.col("page_id") % 5 == 3, "").otherwise("models")
+_CONF = lambda: F.when(F.col("page_id") % 2 == 0, "auto").when(F.col("page_id") % 4 == 1, "https://up.local/v1/").otherwise("https://up.local")
+_SQL_PATH = "CASE page_id % 5 WHEN 0 THEN '/v1/messages' WHEN 1 THEN '/v1/chat/completions?x=1' WHEN 2 THEN '/api/chat' WHEN 3 THEN '' ELSE 'models' END"
+_SQL_CONF = "CASE WHEN page_id % 2 = 0 THEN 'auto' WHEN page_id % 4 = 1 THEN 'https://up.local/v1/' ELSE 'https://up.local' END"
+
+
+@query(f"WITH p AS (SELECT page_id, CASE WHEN {_SQL_PATH} = '' THEN '/' ELSE {_SQL_PATH} END AS path, {_SQL_CONF} AS conf FROM pages) SELECT page_id, CASE WHEN conf = 'auto' THEN concat(CASE WHEN starts_with(path, '/v1/messages') OR page_id % 3 = 0 THEN 'https://api.anthropic.com' WHEN starts_with(path, '/api/') THEN 'http://localhost:11434' ELSE 'https://api.openai.com' END, path) ELSE concat(rtrim(conf, '/'), CASE WHEN ends_with(rtrim(conf, '/'), '/v1') AND starts_with(path, '/v1/') THEN substring(path, 4) WHEN starts_with(path, '/') THEN path ELSE concat('/', path) END) END AS target FROM p")
+def route_requests(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", dialects.upstream(_CONF(), _PATH(), _HEADERS()).alias("target"))
+
+
+@query(f"WITH p AS (SELECT page_id, {_SQL_PATH} AS path, CASE WHEN page_id % 7 < 3 THEN 'https://api.anthropic.com/x' ELSE url END AS target, page_id % 3 = 1 AS forced FROM pages) SELECT page_id, CASE WHEN starts_with(path, '/v1/messages') AND (forced OR NOT contains(target, 'api.anthropic.com') AND target <> '' OR contains(target, '11434')) THEN 'blocks_to_choices' WHEN starts_with(path, '/v1/chat/completions') AND contains(target, 'api.anthropic.com') THEN 'choices_to_blocks' ELSE 'none' END AS direction FROM p")
+def translate_direction(spark, sf_dir):
+    target = F.when(F.col("page_id") % 7 < 3, "https://api.anthropic.com/x").otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", dialects.direction(_PATH(), target, _HEADERS()).alias("direction"))
+
+
+@query("SELECT page_id, concat(rtrim(split_part(url, '?', 1), '/'), '/v1/messages', CASE WHEN contains(url, '?') AND split_part(url, '?', 2) <> '' THEN concat('?', substring(url, instr(url, '?') + 1)) ELSE '' END) AS rewritten, concat(rtrim(split_part(url, '?', 1), '/'), '/x') AS again FROM pages")
+def rewrite_url(spark, sf_dir):
+    bare = F.split_part("url", F.lit("?"), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", dialects.rewritten_url(F.col("url"), "v1/messages").alias("rewritten"), dialects.rewritten_url(F.concat(F.regexp_replace(bare, "/+\\z", ""), F.lit("/v1/messages/tail")), "/x").alias("again"))
+
+
+# I: traffic. Events play the requests: value is the size, ts the time, user_id the key.
+
+_EV = "ev AS (SELECT event_id, user_id, event_type, ts, CAST(floor(value * 10) AS BIGINT) AS tokens FROM events)"
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.floor(F.col("value") * 10).cast("long").alias("tokens"))
+
+
+@query(f"WITH {_EV}, l AS (SELECT *, tokens * 4 AS raw, tokens * 4 - (event_id % 3) * tokens AS clean, CASE WHEN event_id % 10 = 0 THEN tokens END AS ct FROM ev), c AS (SELECT event_type, count(*) AS requests, sum(raw)::BIGINT AS raw, sum(clean)::BIGINT AS clean, count(ct) AS cache_hits, coalesce(sum(ct), 0)::BIGINT AS cache_tokens, arg_max(event_id, (ts, event_id))::BIGINT AS last_id FROM l GROUP BY event_type) SELECT event_type, requests, raw // 4 AS raw_tokens, clean // 4 AS clean_tokens, cache_hits, greatest(raw // 4 - clean // 4, 0) + cache_tokens AS tokens_saved, CASE WHEN raw > 0 THEN round(greatest(raw - clean, 0) / raw * 100.0::DOUBLE, 1) ELSE 0 END AS reduction_pct, round((greatest(raw // 4 - clean // 4, 0) + cache_tokens) / 1e6::DOUBLE * 3.0::DOUBLE, 3) AS cost_saved FROM c")
+def gateway_report(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    log = e.withColumns({"raw": F.col("tokens") * 4, "clean": F.col("tokens") * 4 - (F.col("event_id") % 3) * F.col("tokens"), "secrets": F.lit(0).cast("long"), "cache_tokens": F.when(F.col("event_id") % 10 == 0, F.col("tokens")), "limited": F.lit(False), "tripped": F.lit(False), "latency_ms": F.col("event_id")})
+    return traffic.report(traffic.counters(log, "event_type")).select("event_type", "requests", "raw_tokens", "clean_tokens", "cache_hits", "tokens_saved", "reduction_pct", "cost_saved")
+
+
+@query(f"WITH {_EV} SELECT event_id, user_id, (sum(tokens) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))::BIGINT AS hourly_tokens FROM ev")
+def rolling_hour_tokens(spark, sf_dir):
+    return traffic.rolling_sum(_events(spark, sf_dir), "user_id", "ts", "tokens").select("event_id", "user_id", "hourly_tokens")
+
+
+@query()
+def token_breaker(spark, sf_dir):
+    out = traffic.breaker(_events(spark, sf_dir), "user_id", "ts", "event_id", "tokens", 1500)
+    return out.select(F.col("key").alias("user_id"), F.col("order").alias("event_id"), "tokens", "admitted")
+
+
+_KEYED = "k AS (SELECT event_id, user_id::VARCHAR || ':' || event_type AS key, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events)"
+
+
+@query(f"WITH RECURSIVE {_KEYED}, f AS (SELECT key, i, event_id, at AS stored, false AS hit FROM k WHERE i = 1 UNION ALL SELECT k.key, k.i, k.event_id, CASE WHEN k.at - f.stored < 3600000000 THEN f.stored ELSE k.at END, k.at - f.stored < 3600000000 FROM f JOIN k ON k.key = f.key AND k.i = f.i + 1) SELECT event_id, key, hit FROM f")
+def response_cache_hits(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("event_id", "ts", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"))
+    return traffic.response_cache(log, "key", "ts", "event_id", 3600).select("event_id", "key", "hit")
+
+
+@query("SELECT event_id, sha256(concat(event_type, ':', props)) AS key, (strlen(event_type) + strlen(props)) // 4 AS tokens, CASE WHEN event_id % 5 < 3 THEN least(CASE WHEN event_id % 2 = 0 THEN event_id % 50 ELSE least(2 ** (event_id % 5), 20) END, 30)::BIGINT END AS wait_s FROM events WHERE props IS NOT NULL")
+def cache_keys(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("props is not null")
+    after = F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 50)
+    return e.select("event_id", traffic.cache_key(F.col("event_type"), F.col("props")).alias("key"), traffic.estimated(F.col("event_type"), F.col("props")).alias("tokens"), traffic.retry_wait(F.col("event_id") % 5, after).alias("wait_s"))
+
+
+@query("WITH h AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, split_part(url, '?', 1) AS bare FROM pages) SELECT page_id, page_id % 2 = 0 AS loopback, page_id % 2 = 0 OR host = 'm.example.com' AS allowed, CASE WHEN rtrim(bare, '/') = '' THEN '/' ELSE rtrim(bare, '/') END AS bare_path FROM h")
+def gateway_checks(spark, sf_dir):
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    address = F.when(F.col("page_id") % 4 == 0, "127.0.0.5:80").when(F.col("page_id") % 4 == 2, "[::1]:80").otherwise(host)
+    shown = F.when(F.col("page_id") % 4 == 0, "localhost:1").when(F.col("page_id") % 4 == 2, "[::1]").otherwise(host)
+    return table(spark, sf_dir, "pages").select("page_id", traffic.is_loopback(address).alias("loopback"), traffic.allowed_host(shown, F.lit("m.example.com:80")).alias("allowed"), traffic.bare_path(F.col("url")).alias("bare_path"))
+
+
+# J: store
+
+
+@query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS stored_at FROM documents GROUP BY text")
+def cas_dedupe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    kept = store.put(None, docs.withColumn("stored_at", F.col("doc_id"))).select("hash", "stored_at")
+    return docs.groupBy(store.content_hash(F.col("text")).alias("hash")).agg(F.count("*").alias("n")).join(kept, "hash")
+
+
+@query("WITH m AS (SELECT max(ts) AS m FROM events) SELECT event_id, sha256(event_id::VARCHAR) AS hash FROM events, m WHERE epoch(m) - epoch(ts) <= 86400 ORDER BY ts DESC, hash LIMIT 1000")
+def evict_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.sha2(F.col("event_id").cast("string"), 256).alias("hash"), "event_id", F.col("ts").cast("timestamp").alias("stored_at"))
+    last = rows.agg(F.max("stored_at")).first()[0]
+    return store.evict(rows, F.lit(last)).select("event_id", "hash")
+
+
+# K, L, S: code, patches, bodies
+
+_CODE = {
+    "python": "def read(x):\n    f = open('a')\n    return eval(x)\n\nwith open('b') as g:\n    pass\n",
+    "js": "debugger;\nconst f = new Function('a');\n// eval('no')\nif (x) { eval(y); }\n",
+    "rust": 'fn main() {\n    // panic!("no")\n    std::panic!("yes");\n    todo!()\n}\n',
+}
+
+
+def _code():
+    out = None
+    for i, code in enumerate(_CODE.values()):
+        value = F.concat(F.lit(code), F.when(F.col("doc_id") % 2 == 0, F.lit(code)).otherwise(""))
+        out = F.when(F.col("doc_id") % 3 == i, value) if out is None else out.when(F.col("doc_id") % 3 == i, value)
+    return F.when(F.col("doc_id") % 3 == 0, "python").when(F.col("doc_id") % 3 == 1, "js").otherwise("rust"), out
+
+
+@query("SELECT CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'js' ELSE 'rust' END AS language, rule, sum(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END * k)::BIGINT AS n FROM documents JOIN (VALUES (0, 'python/unclosed-open', 1), (0, 'python/dangerous-exec-eval', 1), (1, 'javascript/no-debugger', 1), (1, 'javascript/dangerous-eval', 2), (2, 'rust/explicit-panic', 2)) r(m, rule, k) ON doc_id % 3 = m GROUP BY ALL")
+def lint_code(spark, sf_dir):
+    language, code = _code()
+    rows = table(spark, sf_dir, "documents").select(lint.lint(language, code).alias("l"))
+    return rows.select("l.language", F.explode("l.findings.rule").alias("rule")).groupBy("language", "rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Error: original_code found 2 times. Please provide a more specific code block.' WHEN doc_id % 3 = 2 THEN 'ok' WHEN doc_id % 3 = 0 THEN 'ok' ELSE 'Error: original_code not found in the file. Make sure it matches exactly.' END AS status FROM documents WHERE doc_id % 3 <> 1 OR doc_id % 2 = 1")
+def apply_patches(spark, sf_dir):
+    _, code = _code()
+    old = F.when(F.col("doc_id") % 3 == 0, "return eval(x)").when(F.col("doc_id") % 3 == 1, "no such line").otherwise("todo!()")
+    rows = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 1 or doc_id % 2 = 1")
+    return rows.select("doc_id", patch.apply_patch(code, old, F.lit("pass"))["status"].alias("status"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE sha256(text) END AS body_sha256, CASE WHEN doc_id % 4 = 3 THEN 'Incomplete chunk data' END AS error FROM documents WHERE strlen(text) > 0")
+def decode_bodies(spark, sf_dir):
+    size = lambda t: F.lower(F.hex(F.octet_length(t)))
+    crlf = F.lit("\r\n")
+    body = F.concat(size(F.col("text")), F.lit(";x=1"), crlf, "text", crlf, F.lit("0"), crlf, crlf)
+    cut = F.concat(F.hex(F.octet_length("text") + 9), crlf, "text", crlf)
+    rows = table(spark, sf_dir, "documents").filter(F.octet_length("text") > 0).select("doc_id", bodies.decode_chunked(F.when(F.col("doc_id") % 4 == 3, cut).otherwise(body).cast("binary")).alias("b"))
+    return rows.select("doc_id", F.sha2("b.body", 256).alias("body_sha256"), "b.error")
+
+
+@query("SELECT doc_id, strlen(text) > 500 AS cut FROM documents")
+def truncate_texts(spark, sf_dir):
+    out = text.truncated(F.col("text"), 500, "...")
+    fits = (F.octet_length(out) <= 503) & (F.octet_length(out) >= F.least(F.octet_length("text"), F.lit(500)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(fits, out != F.col("text")).alias("cut"))
+
+
+@query("SELECT event_id, event_type AS method, CASE WHEN event_id % 5 = 0 THEN -32600 WHEN event_id % 5 = 1 THEN -32700 END::INT AS error FROM (SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE event_type END AS event_type FROM events)")
+def rpc_requests(spark, sf_dir):
+    good = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("method")))
+    line = F.when(F.col("event_id") % 5 == 0, F.to_json(F.struct(F.col("event_id").alias("id")))).when(F.col("event_id") % 5 == 1, "{broken").otherwise(good)
+    return bodies.rpc_lines(table(spark, sf_dir, "events").select("event_id", line.alias("value"))).select("event_id", "method", "error")
+
+
+# M: evaluation
 
-def flagship(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("docs"))
+_SCORED = f"WITH {LOGS}, tr AS ({synthetic.TRUTH}), {sql_redaction('logs', '')[:-1]}, o AS (SELECT type, NOT contains(t, raw) AS hit FROM tr JOIN red ON id = doc_id), fp AS (SELECT count(*) AS all_fp FROM red WHERE doc_id NOT IN (SELECT id FROM tr) AND regexp_matches(t, {quote(evaluation.MASK)})), g AS (SELECT type, count(*) FILTER (hit) AS tp, 0::BIGINT AS fp, count(*) FILTER (NOT hit) AS fn FROM o GROUP BY type UNION ALL SELECT NULL, count(*) FILTER (hit), (SELECT all_fp FROM fp), count(*) FILTER (NOT hit) FROM o), pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) WHEN fn = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0::DOUBLE END AS r FROM g)"
 
 
-def queries():
-    return {}
+@query(_SCORED + " SELECT type, tp, fp, fn, round(p * 100, 2) AS precision, round(r * 100, 2) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END * 100, 2) AS f1 FROM pr")
+def detector_scores(spark, sf_dir):
+    logs = synthetic.logs(spark, sf_dir).select(F.col("doc_id").alias("id"), redaction.redact(F.col("text")).alias("scrubbed"))
+    return evaluation.detector_scores(logs, synthetic.truth(spark, sf_dir))
 
 
-def oracle_sql():
-    return {}
+@query(_AUDIT + ", t AS (SELECT (raw // 4) AS b, (clean // 4) AS a, round(CASE WHEN raw // 4 > 0 THEN (raw // 4 - clean // 4) / (raw // 4) * 100.0::DOUBLE ELSE 0 END, 2) AS pct FROM h) SELECT round(sum(pct) / count(*), 2) AS mean, round(median(pct), 2) AS median, list_sort(list(pct))[least(floor(0.9 * count(*)), count(*) - 1)::INT + 1] AS p90, min(pct) AS min, max(pct) AS max, round((sum(b) - sum(a)) / sum(b) * 100.0::DOUBLE, 2) AS \"all\", count(*) AS n FROM t")
+def reduction_distribution(spark, sf_dir):
+    return evaluation.reduction(audit.audit(synthetic.logs(spark, sf_dir)), "raw_tokens", "clean_tokens")
