@@ -34,7 +34,7 @@ from sievemill.llm.bytegrams import ORDER, blocks, counted, grams, looked_up, me
 from sievemill.llm.common import documents, drop_stash, stash
 
 FOLDS, HELD_OUT = 5, 1
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 MOST_BUCKETS = 4096
 #: Chunks whose counts are added up in the first of the two steps.
 FAN_IN = 64
