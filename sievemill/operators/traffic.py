@@ -101,20 +101,26 @@ def cacheable(method: Column, path: Column, streamed: Column, no_cache: Column,
 
 
 def response_cache(log: DataFrame, key: str, ts: str, order: str, seconds: int = TTL) -> DataFrame:
-    """log with hit: whether the key's last stored answer is younger than ``seconds``. A miss stores, a hit doesn't renew.
+    """(key, order, hit): whether the key's stored answer is younger than ``seconds``. A miss stores, a hit doesn't renew.
 
-    Per key, by jumps: the store times are found by folding over the key's times; keys are independent."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(order).alias("o")))).alias("r"))
-    start = F.struct(F.lit(None).cast("bigint").alias("stored"), F.array().cast("array<boolean>").alias("hits"))
+    A key's requests go through one task in order, batch after batch; only the last store time is held."""
+    rows = log.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(order).alias("order"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "at", "order")
 
-    def step(a: Column, r: Column) -> Column:
-        hit = F.coalesce(r["at"] - a["stored"] < seconds * 1_000_000, F.lit(False))
-        return F.struct(F.when(hit, a["stored"]).otherwise(r["at"]).alias("stored"), F.concat(a["hits"], F.array(hit)).alias("hits"))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, stored = object(), 0
+        for batch in batches:
+            hits = []
+            for k, at in zip(batch["key"], batch["at"], strict=True):
+                hit = k == now and at - stored < seconds * 1_000_000
+                if not hit:
+                    now, stored = k, at
+                hits.append(hit)
+            yield pd.DataFrame({"key": batch["key"], "order": batch["order"], "hit": hits})
 
-    rows = times.withColumn("h", F.aggregate("r", start, step, lambda a: a["hits"]))
-    rows = rows.select(key, F.explode(F.arrays_zip("r", "h")).alias("x")).select(key, F.col("x.r.o").alias(order), F.col("x.h").alias("hit"))
-    return log.join(rows, [key, order])
+    kinds = dict(rows.dtypes)
+    out = rows.mapInPandas(fold, f"key {kinds['key']}, `order` {kinds['order']}, hit boolean")
+    return out.select(F.col("key").alias(key), F.col("order").alias(order), "hit")
 
 
 def shared_cache(requests: pd.DataFrame, seconds: int = TTL, most: int = MOST_ENTRIES) -> np.ndarray:

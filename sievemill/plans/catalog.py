@@ -410,20 +410,20 @@ def token_breaker(spark, sf_dir):
     return out.select(F.col("key").alias("user_id"), F.col("order").alias("event_id"), "tokens", "admitted")
 
 
-_KEYED = "k AS (SELECT event_id, user_id::VARCHAR || ':' || event_type AS key, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events)"
+_KEYED = "k AS (SELECT event_id, user_id::VARCHAR || ':' || event_type AS key, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events)"
 
 
-@query(f"WITH RECURSIVE {_KEYED}, f AS (SELECT key, i, event_id, at AS stored, false AS hit FROM k WHERE i = 1 UNION ALL SELECT k.key, k.i, k.event_id, CASE WHEN k.at - f.stored < 3600000000 THEN f.stored ELSE k.at END, k.at - f.stored < 3600000000 FROM f JOIN k ON k.key = f.key AND k.i = f.i + 1) SELECT event_id, key, hit FROM f")
+@query(f"WITH RECURSIVE {_KEYED}, f AS (SELECT key, i, event_id, tm AS stored, false AS hit FROM k WHERE i = 1 UNION ALL SELECT k.key, k.i, k.event_id, CASE WHEN k.tm - f.stored < 3600000000 THEN f.stored ELSE k.tm END, k.tm - f.stored < 3600000000 FROM f JOIN k ON k.key = f.key AND k.i = f.i + 1) SELECT event_id, key, hit FROM f")
 def response_cache_hits(spark, sf_dir):
     log = table(spark, sf_dir, "events").select("event_id", "ts", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"))
     return traffic.response_cache(log, "key", "ts", "event_id", 3600).select("event_id", "key", "hit")
 
 
-@query("SELECT event_id, sha256(concat(event_type, ':', props)) AS key, (strlen(event_type) + strlen(props)) // 4 AS tokens, CASE WHEN event_id % 5 < 3 THEN least(CASE WHEN event_id % 2 = 0 THEN event_id % 50 ELSE least(2 ** (event_id % 5), 20) END, 30)::BIGINT END AS wait_s FROM events WHERE props IS NOT NULL")
+@query("SELECT event_id, sha256(concat(event_type, ':', props)) AS key, (strlen(event_type) + strlen(props)) // 4 AS tokens, CASE WHEN event_id % 5 < 3 THEN least(CASE WHEN event_id % 2 = 0 THEN event_id % 50 ELSE least(2 ** (event_id % 5), 20) END, 30)::BIGINT ELSE -1 END AS wait_s FROM events WHERE props IS NOT NULL")
 def cache_keys(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("props is not null")
     after = F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 50)
-    return e.select("event_id", traffic.cache_key(F.col("event_type"), F.col("props")).alias("key"), traffic.estimated(F.col("event_type"), F.col("props")).alias("tokens"), traffic.retry_wait(F.col("event_id") % 5, after).alias("wait_s"))
+    return e.select("event_id", traffic.cache_key(F.col("event_type"), F.col("props")).alias("key"), traffic.estimated(F.col("event_type"), F.col("props")).alias("tokens"), F.coalesce(traffic.retry_wait(F.col("event_id") % 5, after), F.lit(-1)).cast("long").alias("wait_s"))
 
 
 @query("WITH h AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, split_part(url, '?', 1) AS bare FROM pages) SELECT page_id, page_id % 2 = 0 AS loopback, page_id % 2 = 0 OR host = 'm.example.com' AS allowed, CASE WHEN rtrim(bare, '/') = '' THEN '/' ELSE rtrim(bare, '/') END AS bare_path FROM h")
@@ -501,11 +501,11 @@ def truncate_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(fits, out != F.col("text")).alias("cut"))
 
 
-@query("SELECT event_id, event_type AS method, CASE WHEN event_id % 5 = 0 THEN -32600 WHEN event_id % 5 = 1 THEN -32700 END::INT AS error FROM (SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE event_type END AS event_type FROM events)")
+@query("SELECT event_id, event_type AS method, CASE WHEN event_id % 5 = 0 THEN -32600 WHEN event_id % 5 = 1 THEN -32700 ELSE 0 END::INT AS error FROM (SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE event_type END AS event_type FROM events)")
 def rpc_requests(spark, sf_dir):
     good = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("method")))
     line = F.when(F.col("event_id") % 5 == 0, F.to_json(F.struct(F.col("event_id").alias("id")))).when(F.col("event_id") % 5 == 1, "{broken").otherwise(good)
-    return bodies.rpc_lines(table(spark, sf_dir, "events").select("event_id", line.alias("value"))).select("event_id", "method", "error")
+    return bodies.rpc_lines(table(spark, sf_dir, "events").select("event_id", line.alias("value"))).select("event_id", "method", F.coalesce("error", F.lit(0)).alias("error"))
 
 
 # M: evaluation
