@@ -44,6 +44,24 @@ LOWER_ANCHORS = ("akia", "asia", "://", "api_key", "token", "password", "secret"
 DEFAULT_MASK = "[CUSTOM_SECRET_REDACTED]"
 
 
+def linear(name: str, pattern: str, replacement: str) -> tuple[str, str]:
+    """A pattern for engines that backtrack, and its replacement: they find and mask the same, in linear time.
+
+    Whether a key or a token's first part is followed rightly depends on where its run of word characters ends, so within a
+    run only the first keyword is tried (an atomic group), from the run's start; what stands before it is kept."""
+    if name == "jwt":
+        run = "[a-zA-Z0-9_-]"
+        return rf"(?<!{run})((?>{run}*?(?=eyJ)))eyJ{run}++\.{run}++\.{run}+", r"\1" + replacement
+    if name in ("aws_secret", "quoted", "plain"):
+        run, words = "[a-z0-9_]", "aws_secret" if name == "aws_secret" else "(?:api_key|token|password|secret|auth|bearer)"
+        return pattern.replace(rf"""["']?{words}{run}*""", rf"""(?<!{run})["']?(?>{run}*?{words}){run}*+"""), replacement
+    return pattern, replacement
+
+
+def java_rules(rules: Iterable[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    return [(n, *linear(n, p, r)) for n, p, r in rules]
+
+
 def java(pattern: str) -> str:
     return "(?U)" + pattern
 
@@ -77,7 +95,7 @@ def custom_rules(rules: Iterable[tuple[str, str | None]], spark=None) -> list[tu
 def redact(text: Column, custom: Iterable[tuple[str, str | None]] = (), spark=None) -> Column:
     """The text with all secrets masked."""
     apply = lambda t, rules: reduce(lambda x, r: F.regexp_replace(x, java(r[1]), java_replacement(r[2])), rules, t)
-    out = F.when(suspicious(text), apply(text, RULES)).otherwise(text)
+    out = F.when(suspicious(text), apply(text, java_rules(RULES))).otherwise(text)
     return apply(out, custom_rules(custom, spark))
 
 
@@ -88,7 +106,7 @@ def redact_counted(df: DataFrame, text_col: str, out_col: str = "redacted", coun
     projection that names its predecessor once, so a filter that is pushed through them copies no more than the prefixes;
     texts without any anchor are null there and cost nothing."""
     own = custom_rules(custom, df.sparkSession)
-    rules = [*RULES, *own]
+    rules = [*java_rules(RULES), *own]
     text = F.col(text_col)
     now = df.withColumn("_t0", text if own else F.when(suspicious(text), text))
     for i, (_, pattern, replacement) in enumerate(rules):
