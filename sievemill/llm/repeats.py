@@ -75,9 +75,11 @@ def repeated(docs: DataFrame, by_words: bool, length: int, gram: int, judge: Cal
     in own or, where other is given, once in other."""
     raw = docs.select("doc_id", "th", F.col("text").cast("binary").alias("raw"))
     places = stash(raw.mapInArrow(scanner(by_words, length, gram), PLACES), "places")
-    often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # written first, so that both sides of the join are plain exchanges and a hot hash is split
+    often = stash(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     likely = stash(places.join(often.hint("shuffle_hash"), "h", "left_semi"), "likely")
     drop_stash(places)
+    drop_stash(often)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "first", "windows")).alias("one")
     kinds = stash(likely.groupBy("h", "s").agg(F.count("*").alias("n"), one), "kinds")
     shared = kinds.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
@@ -108,12 +110,11 @@ def repeated(docs: DataFrame, by_words: bool, length: int, gram: int, judge: Cal
 
     judged = dealt.groupBy("g", "own", "other").applyInPandas(group, FOUND)
     whole = kinds.filter("n > 1").select("h", "s", F.lit(0).alias("lo"), F.col("one.windows").alias("hi"))
-    found = stash(judged.union(whole), "found")
-    runs = found.groupBy("h", "s").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    runs = stash(judged.union(whole).groupBy("h", "s").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
     back = likely.join(runs, ["h", "s"]).select("doc_id", "th", "first", F.explode("runs").alias("r"))
     span = F.struct((F.col("first") + F.col("r.lo")).alias("a"), (F.col("first") + F.col("r.hi") - 1 + length).alias("b"))
     out = stash(back.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(span)).alias("spans")), "spans")
-    for t in (likely, kinds, alike, pieces, found):
+    for t in (likely, kinds, alike, pieces, runs):
         drop_stash(t)
     return out
 
