@@ -27,6 +27,13 @@ def test_noise(spark):
     assert one(spark, "my Thing here", lambda c: noise.category(c, ["tHING"])) == "custom:tHING"
 
 
+def test_the_hint_misses_no_marker():
+    import re
+
+    marks = [*noise.COMPONENTS, *noise.RUNTIME, *("at " + f for f in noise.FRAMES), *noise.NATIVE, " in _start (", *noise.IDLE, *("runtime." + x for x in noise.SCHEDULER), "... 5 common frames omitted"]
+    assert all(re.search(noise.HINT, m) for m in [*marks, *(m.upper() for m in marks), *(m.replace("/", "\\") for m in marks)])
+
+
 def brute_prune(log):
     """Line by line, with the state of idle goroutine blocks."""
     idle, kept, dropped = False, [], 0
