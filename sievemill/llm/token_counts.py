@@ -19,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,41 +47,97 @@ def vocabulary(path: str = VOCABULARY) -> dict[str, float]:
     return {model.id_to_piece(i): model.get_score(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
 
 
+class Automaton:
+    """All pieces that end at a place of a text, found by one step for each character (Aho and Corasick's construction)."""
+
+    def __init__(self, pieces: dict[str, float]) -> None:
+        self.goto: list[dict[str, int]] = [{}]
+        self.fail = [0]
+        own: list[tuple[int, float] | None] = [None]
+        for p, score in pieces.items():
+            at = 0
+            for c in p:
+                to = self.goto[at].get(c)
+                if to is None:
+                    to = self.goto[at][c] = len(self.goto)
+                    self.goto.append({})
+                    self.fail.append(0)
+                    own.append(None)
+                at = to
+            own[at] = (len(p), score)
+        #: By state: (length, score) of the pieces that end there, the longest first.
+        self.ends: list[tuple[tuple[int, float], ...]] = [()] * len(self.goto)
+        level = [0]
+        while level:
+            after = []
+            for at in level:
+                for c, to in self.goto[at].items():
+                    back = self.fail[at]
+                    while at and c not in self.goto[back] and back:
+                        back = self.fail[back]
+                    self.fail[to] = self.goto[back].get(c, 0) if at else 0
+                    self.ends[to] = ((own[to],) if own[to] else ()) + self.ends[self.fail[to]]
+                    after.append(to)
+            level = after
+
+    def step(self, state: int, c: str) -> int:
+        at = state
+        while c not in self.goto[at] and at:
+            at = self.fail[at]
+        to = self.goto[at].get(c, 0)
+        self.goto[state][c] = to
+        return to
+
+
+_BUILT: dict[str, Automaton] = {}
+
+
+def automaton(pieces: dict[str, float], name: str | None = None) -> Automaton:
+    """Built once for each process and vocabulary."""
+    if name is None:
+        return Automaton(pieces)
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton(pieces)
+    return _BUILT[name]
+
+
 class Trie:
     """Counts tokens of pre-tokens that come in sorted order."""
 
-    def __init__(self, pieces: dict[str, float]) -> None:
-        self.longest = max(map(len, pieces), default=1)
-        self.starts: dict[str, int] = {}
-        for p in pieces:
-            self.starts[p[0]] = max(self.starts.get(p[0], 0), len(p))
+    def __init__(self, pieces: dict[str, float], name: str | None = None) -> None:
         self.pieces = pieces
+        self.automaton = automaton(pieces, name)
         #: A byte is worse than every piece, by the margin that the unigram algorithm gives unknown characters.
         self.unknown = min(pieces.values(), default=0.0) - 10.0
         self.nodes = 0
 
     def counts(self, ordered: list[str]) -> list[int]:
         """Token counts. best[i], tokens[i]: of the best way to the i-th node of the path from the root."""
-        best, tokens, last, out = [0.0], [0], "", []
-        get, starts, unknown = self.pieces.get, self.starts, self.unknown
+        best, tokens, states, last, out = [0.0], [0], [0], "", []
+        goto, ends, step, known = self.automaton.goto, self.automaton.ends, self.automaton.step, self.pieces
         for word in ordered:
             share = 0
             for x, y in zip(last, word, strict=False):
                 if x != y:
                     break
                 share += 1
-            del best[share + 1 :], tokens[share + 1 :]
+            del best[share + 1 :], tokens[share + 1 :], states[share + 1 :]
+            state = states[-1]
             for end in range(share + 1, len(word) + 1):
+                c = word[end - 1]
+                to = goto[state].get(c)
+                state = step(state, c) if to is None else to
                 top, count = float("-inf"), 0
-                if word[end - 1] not in self.pieces:
-                    top, count = best[end - 1] + unknown, tokens[end - 1] + len(word[end - 1].encode())
-                for start in range(max(0, end - self.longest), end):
-                    if starts.get(word[start], 0) >= end - start:
-                        score = get(word[start:end])
-                        if score is not None and best[start] + score > top:
-                            top, count = best[start] + score, tokens[start] + 1
+                if c not in known:
+                    top, count = best[end - 1] + self.unknown, tokens[end - 1] + len(c.encode())
+                for length, score in ends[state]:
+                    score += best[end - length]
+                    if score > top:
+                        top, count = score, tokens[end - length] + 1
                 best.append(top)
                 tokens.append(count)
+                states.append(state)
             self.nodes += len(word) - share
             last = word
             out.append(tokens[-1])
@@ -92,8 +149,10 @@ def pretokens(text: str) -> list[str]:
 
 
 def counter(pieces: dict[str, float], most: int):
+    name = hashlib.sha256(repr(sorted(pieces.items())).encode()).hexdigest()
+
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, known = Trie(pieces), {}
+        trie, known = Trie(pieces, name), {}
 
         def count(texts: list[list[str]]) -> list[int]:
             new = sorted({w for t in texts for w in t} - known.keys())
