@@ -82,7 +82,8 @@ def kasai(words: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int) -
     """By text place: the common prefix with the suffix before it in the order, up to ``most``.
 
     Kasai's bound (a place's common prefix is at least its left neighbour's less one) is used along all the pieces that
-    begin at ``starts`` at once, one place of each at a time."""
+    begin at ``starts`` at once, one place of each at a time. The order may be by the first ``most`` bytes or more only, so
+    behind a prefix of ``most`` bytes the bound holds just for the place that follows the same suffix; else it starts at 0."""
     n = len(order)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
@@ -90,18 +91,18 @@ def kasai(words: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int) -
     sizes = np.diff(np.append(starts, n))
     by = np.argsort(-sizes, kind="stable")
     heads, sizes = starts[by], sizes[by]
-    held = np.zeros(len(heads), np.int64)
+    held, past = np.zeros(len(heads), np.int64), np.full(len(heads), -1, np.int64)
     for t in range(int(sizes[0]) if len(sizes) else 0):
         k = int(np.searchsorted(-sizes, -t, side="left"))
         at = heads[:k] + t
         prev = before[at]
         low = np.maximum(held[:k] - 1, 0)
-        low[prev < 0] = 0
+        low[(prev < 0) | (held[:k] >= most) & (prev != past[:k] + 1)] = 0
         length = np.zeros(k, np.int64)
         ok = np.flatnonzero(prev >= 0)
         length[ok] = common(words, at[ok], prev[ok], low[ok], most)
         out[at] = length
-        held[:k] = length
+        held[:k], past[:k] = length, prev
     return out
 
 

@@ -96,3 +96,15 @@ def test_fm_index_counts():
                 continue
             few = [x for x in range(i, j) if sum((text[k : k + j - x] == text[x:j]).all() for k in range(500 - (j - x) + 1)) < least]
             assert t == max(few, default=i - 1)
+
+
+def test_pieces_that_share_more_than_the_sorted_depth():
+    for seed in (61, 160, 181):
+        rng = np.random.default_rng(seed)
+        text = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+        shared = [text(int(rng.integers(455, 641))) for _ in range(3)]
+        pieces = [text(int(rng.integers(1, 60))) + shared[rng.integers(0, 3)] + text(int(rng.integers(1, 60))) for _ in range(12)]
+        count = Counter(p[i : i + 400] for p in pieces for i in range(len(p) - 399))
+        want = {(k, i) for k, p in enumerate(pieces) for i in range(len(p) - 399) if count[p[i : i + 400]] > 1}
+        found = suffix_dedup.judge(400)((pieces, np.array([len(p) - 399 for p in pieces])), None)
+        assert {(int(k), i) for k, lo, hi in zip(*found, strict=True) for i in range(lo, hi)} == want
