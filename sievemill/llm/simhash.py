@@ -174,21 +174,21 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, fp, component_id) for each row."""
+    """(doc_id, th, fp, root, component_id) for each row; root, a fingerprint, tells components apart whose ids don't."""
     marked = stash(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct))
     nodes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(best, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+    named = nodes.join(best, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, all columns: of each component the row with the smallest id (of rows that share it, the one with the
     smallest text hash; of wholly repeated rows, all)."""
     found = classes(docs, id_col, text_col)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.th").alias("_th"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.th").alias("_th"))
     return docs.join(best, docs[id_col].eqNullSafe(best["_id"]) & (F.xxhash64(docs[text_col]) == best["_th"]), "left_semi")
 
 

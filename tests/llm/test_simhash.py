@@ -82,6 +82,14 @@ def test_against_brute_force(spark, sf):
     assert {r[0] for r in kept.select("doc_id").collect()} == {c for _, _, c in want}
 
 
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    texts = ["alpha beta gamma delta", "one two three four", "un deux trois quatre cinq", "eins zwei drei"]
+    assert not any(bin(brute_fp(a) ^ brute_fp(b)).count("1") <= 2 for a in texts for b in texts if a < b)
+    rows = [(None, t) for t in texts] + [(7, t + " end") for t in texts]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(rows, key=str)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.classes(docs).count() == 0
