@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -231,6 +232,20 @@ def test_kneser_ney(spark):
         assert model.log(keys & ((1 << 40) - 1)).tolist() == pytest.approx(want)
 
 
+def test_long_texts_do_not_end_the_sample(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 2 == 0]
+    ids.sort(key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = [(i, "x" * 7000 if k in (0, 3) else f"text of {i}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    taken = [r[0] for r in kneser_ney.sample(docs, labels, 6400).collect()]
+    assert sorted(taken) == sorted(t for _, t in rows if len(t) < 7000)
+    long = docs.filter(F.length("text") == 7000)
+    taken = [r[0] for r in kneser_ney.sample(long, labels, 6400).collect()]
+    assert len(taken) == 1 and 0 < len(taken[0]) <= 6400
+    assert kneser_ney.sample(long, labels.limit(0), 6400).count() == 0
+
+
 def test_classifier_keeps_clean_and_drops_junk(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
