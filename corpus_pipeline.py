@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm import curriculum, decontaminate, exact_dedup, kneser_ney, simhash
+from sievemill.llm import curriculum, decontaminate, exact_dedup, kneser_ney, similar
 from sievemill.llm.common import documents, stash
 
 
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each component of near copies: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    return similar.keep_one(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,7 +187,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, all columns: of each component the row with the smallest id (of rows that share it, the one with the
     smallest text hash; of wholly repeated rows, all)."""
-    found = classes(docs, id_col, text_col)
+    return best_rows(docs, classes(docs, id_col, text_col), id_col, text_col)
+
+
+def best_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs that stand for their component. found: (doc_id, th, root) for each row."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.th").alias("_th"))
     return docs.join(best, docs[id_col].eqNullSafe(best["_id"]) & (F.xxhash64(docs[text_col]) == best["_th"]), "left_semi")
 
