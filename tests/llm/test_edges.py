@@ -259,6 +259,27 @@ def test_classifier_keeps_clean_and_drops_junk(spark, sf):
     assert kept.columns == all_docs.columns and kept.count() == sum(got.values())
 
 
+def test_one_odd_trusted_text_does_not_open_the_bound(spark):
+    # log-perplexity in steps; both languages' trusted texts lie at 1500 to 1539, one of the small language at 3000
+    rows = [(i, 0, "en" if i % 3 else "es", 1000, 1500 + i % 40) for i in range(600)] + [(1001, 0, "es", 1000, 3000), (1003, 0, "es", 1000, 1800)]
+    assert zlib.crc32(b"1001") % 2 == 1
+    scored = spark.createDataFrame(rows, kneser_ney.SCORED)
+    labels = scored.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).filter("doc_id <> 1003")
+    found = kneser_ney.limits(scored, labels, kneser_ney.UPPER, kneser_ney.LOWER, kneser_ney.WEIGHT).collect()
+    assert len(found) == 2
+    for r in found:
+        assert 1500 <= r["low"] <= 1505 and 1535 <= r["high"] <= 1545
+
+
+def test_classifier_catches_labelled_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = kneser_ney.judge(docs, labels).join(labels, "doc_id").collect()
+    junk = [r["keep"] for r in rows if r["quality"] == 0]
+    clean = [r["keep"] for r in rows if r["quality"] == 1 and r["toxic"] == 0]
+    assert sum(junk) <= 0.1 * len(junk) and sum(clean) >= 0.95 * len(clean)
+
+
 def test_classifier_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "some text", "en"), (None, None, None)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
