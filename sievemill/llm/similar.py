@@ -9,8 +9,10 @@ often come last, which keeps the groups that share a shingle small. SimHash keys
 dozen bits apart, by chance even more, and no set of keys covers that.
 
 In a group the sets are compared with up to four leaders; then, where a group is still in several components, with those
-of the other components. That is linear for groups of copies, but quadratic in what else shares a prefix. Only candidates'
-sets are made again from their texts to compare them in full. Equal sets are one node, so texts without words are copies.
+of the other components. That is linear for groups of copies, but quadratic in what else shares a prefix. A pair is first
+judged by how many members its sets have in each of ``CELLS`` ranges of hashes: the lesser numbers add up to a bound on what
+they share. Only the sets of pairs that this leaves are made again from their texts and compared in full. Equal sets are one
+node, so texts without words are copies.
 Null text counts as empty. Empty tables give empty results; other columns are ignored.
 """
 
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import ascii_lower, stash
+from sievemill.llm.common import ascii_lower, drop_stash, stash
 from sievemill.llm.components import components
 from sievemill.llm.simhash import best_rows
 
@@ -30,6 +32,7 @@ SHINGLE = 5
 SEED = 42
 #: One in so many texts is looked at for frequent shingles; of these the most frequent are kept.
 SAMPLE, FREQUENT = 16, 1 << 19
+CELLS = 256
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -61,7 +64,7 @@ def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marker(often: np.ndarray, count: np.ndarray):
-    @F.pandas_udf("sid bigint, n int, prefix array<bigint>")
+    @F.pandas_udf("sid bigint, n int, prefix array<bigint>, cells array<int>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
@@ -71,42 +74,55 @@ def marker(often: np.ndarray, count: np.ndarray):
                 at = np.minimum(np.searchsorted(often, g), len(often) - 1)
                 rank[often[at] == g] = count[at[often[at] == g]]
             first = g[np.lexsort((g, rank))][: len(g) - (4 * len(g) + 4) // 5 + 1]
-            out.append((np.uint64(xxhash.xxh64_intdigest(g.tobytes(), SEED)).astype(np.int64), len(g), first))
-        return pd.DataFrame(out, columns=["sid", "n", "prefix"])
+            out.append((np.uint64(xxhash.xxh64_intdigest(g.tobytes(), SEED)).astype(np.int64), len(g), first, np.bincount(g & (CELLS - 1), minlength=CELLS).astype(np.int32)))
+        return pd.DataFrame(out, columns=["sid", "n", "prefix", "cells"])
 
     return of
 
 
 def linked(pairs: DataFrame, of_set: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are linked. of_set: (sid, th), a text for each set."""
-    pairs = stash(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(of_set, "sid")
+    """Those of the pairs (a, b) of sets that are linked. of_set: (sid, th, cells), a text for each set."""
+    side = lambda df, x, value: df.select(F.col("sid").alias(x), F.col(value).alias(value + x))
+    least = F.aggregate(F.zip_with("cellsa", "cellsb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    size = lambda cells: F.aggregate(cells, F.lit(0), lambda x, y: x + y)
+    likely = pairs.join(side(of_set, "a", "cells"), "a").join(side(of_set, "b", "cells"), "b").filter(9 * least >= 4 * (size("cellsa") + size("cellsb")))
+    likely = stash(likely.select("a", "b"), "likely")
+    wanted = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct().join(of_set.select("sid", "th"), "sid")
     texts = docs.select(F.xxhash64(text_col).alias("th"), lowered(text_col).alias("text")).join(wanted, "th").groupBy("sid").agg(F.min("text").alias("text"))
     full = stash(texts.select("sid", shingle_sets(F.col("text")).alias("g")), "sets")
-    left, right = full.select(F.col("sid").alias("a"), F.col("g").alias("ga")), full.select(F.col("sid").alias("b"), F.col("g").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
-    return stash(pairs.join(left, "a").join(right, "b").filter(9 * shared >= 4 * (F.size("ga") + F.size("gb"))).select("a", "b"), "linked")
+    out = stash(likely.join(side(full, "a", "g"), "a").join(side(full, "b", "g"), "b").filter(9 * shared >= 4 * (F.size("ga") + F.size("gb"))).select("a", "b"), "linked")
+    drop_stash(likely)
+    drop_stash(full)
+    return out
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, root) for each row; rows of a component of near copies have the same root."""
     of = marker(*frequent(docs, text_col))
     marked = stash(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), of(lowered(text_col)).alias("s")), "marked").select("doc_id", "th", "s.*")
-    of_set = marked.groupBy("sid").agg(F.min("th").alias("th"))
-    keys = stash(marked.groupBy("sid", "n").agg(F.min("prefix").alias("prefix")).select("sid", "n", F.explode("prefix").alias("g")), "keys")
+    first = marked.groupBy("sid").agg(F.min("th").alias("th"))
+    of_set = marked.join(first, ["sid", "th"], "left_semi").select("sid", "th", "n", "prefix", "cells").dropDuplicates(["sid"])
+    keys = stash(of_set.select("sid", "n", F.explode("prefix").alias("g")), "keys")
     several = keys.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
     shared = stash(keys.join(several, "g"), "shared")
     near = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
     heads = shared.groupBy("g").agg(F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.pmod("g", F.lit(4)))).alias("h")).select("g", F.col("h.sid").alias("b"), F.col("h.n").alias("m"))
     stars = shared.join(heads, "g").filter(near & (F.col("sid") != F.col("b"))).select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b"))
+    stars = stash(stars.select("a", "b").distinct(), "stars")
+    drop_stash(keys)
+    of_set = stash(of_set.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "th", "cells"), "of_set")
     edges = linked(stars, of_set, docs, text_col)
     roots = components(edges)
     rooted = shared.join(roots, shared["sid"] == roots["node"], "left").select("g", "sid", "n", F.coalesce("root", "sid").alias("root"))
     still = rooted.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g")
     left = stash(rooted.join(still, "g", "left_semi"), "open")
+    drop_stash(shared)
     right = left.select("g", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     cross = left.join(right, "g").filter(near & (F.col("sid") < F.col("b")) & (F.col("root") != F.col("other"))).select(F.col("sid").alias("a"), "b").distinct()
-    more = linked(cross.join(stars.distinct(), ["a", "b"], "left_anti"), of_set, docs, text_col)
+    cross = stash(cross.join(stars, ["a", "b"], "left_anti"), "cross")
+    drop_stash(left)
+    more = linked(cross, of_set, docs, text_col)
     roots = components(edges.union(more))
     return marked.join(roots, marked["sid"] == roots["node"], "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
 
