@@ -51,6 +51,16 @@ def drop_stash(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._stash_path)
 
 
+#: Tables of up to so many rows, each a few numbers wide, may be sent to every task.
+MOST_SENT = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """df, marked to be sent to every task if it has at most ``most`` rows; else as it is, for a join by exchange."""
+    few = df.limit(most + 1).count() <= most
+    return F.broadcast(df) if few else df.hint("shuffle_hash")
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner delete shuffle files of finished steps."""
     import gc

@@ -29,10 +29,9 @@ def brute_kept(rows):
     return sorted(i for _, _, i in best.values())
 
 
-@pytest.mark.parametrize("sample", [16, 1])
-def test_edited_copies_against_brute_force(spark, monkeypatch, sample):
-    monkeypatch.setattr(similar, "SAMPLE", sample)
-    rng = np.random.default_rng(7)
+@pytest.mark.parametrize("seed", [7, 8])
+def test_edited_copies_against_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
     vocab = [f"w{i}" for i in range(500)]
     passage = list(rng.choice(vocab, 30))
     texts = []
@@ -61,6 +60,58 @@ def test_documents_against_brute_force(spark, sf):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(rows[i][0] for i in brute_kept(rows))
 
 
+def test_recall_at_the_least_similarity():
+    """Pairs at a similarity of just 0.8 share a key nearly always, unrelated ones never."""
+    rng = np.random.default_rng(3)
+    for size in (40, 180, 900):
+        shared = size * 8 // 9
+        found = met = 0
+        for _ in range(150):
+            x = rng.integers(0, 1 << 63, 2 * size - shared, dtype=np.int64).astype(np.uint64)
+            a, b = np.sort(x[:size]), np.sort(x[size - shared :])
+            total = similar.sums([a, b, np.sort(rng.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64))])[:, :483]
+            k = similar.keys_of(total)
+            found += bool(set(k[0]) & set(k[1]))
+            met += bool(set(k[0]) & set(k[2]))
+        assert found >= 0.95 * 150
+        assert met == 0
+
+
+def test_sums_against_bits():
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)) for n in (1, 254, 255, 256, 1021)]
+    got = similar.sums(sets)
+    for row, s in zip(got, sets, strict=True):
+        for j in (0, similar.WORDS - 1):
+            hashes = similar.mix(s + np.uint64((j + 1) * int(similar.ODD) & (1 << 64) - 1))
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+            assert row[64 * j : 64 * j + 64].tolist() == (2 * bits - 1).sum(axis=0).tolist()
+
+
+def test_names_that_clash(spark):
+    rows = [(1, "one two three four five six", "a", "b"), (2, "one two three four five  six", "c", "d"), (3, "x", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string, _gone string")
+    assert sorted(r["doc_id"] for r in similar.keep_one(docs).collect()) == [1, 3]
+    assert similar.keep_one(docs).columns == docs.columns
+
+
+def test_a_large_family(spark):
+    """Copies with an edit each, all near one another, and a family whose members aren't."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        copy[rng.integers(0, 300)] = "changed"
+        texts.append(" ".join(copy))
+    for _ in range(60):
+        copy = [w if rng.random() > 0.06 else "other" + str(rng.integers(0, 9999)) for w in base]
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in similar.keep_one(docs).collect()) == [rows[i][0] for i in brute_kept(rows)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert similar.keep_one(docs).count() == 0
