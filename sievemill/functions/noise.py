@@ -107,14 +107,24 @@ _HEAD = r"[^\S\n]*goroutine "
 IDLE_BLOCK = rf"(?m)^{_HEAD}[^\n]*(?:{any_of(IDLE)})[^\n]*(?:\n|\z)(?:(?!{_HEAD})(?!\r?(?:\n|\z))[^\n]+(?:\n|\z))*"
 
 
+def without_idle(text: Column) -> tuple[Column, Column]:
+    """(text without blocks of idle goroutines, number of lines that these had)."""
+    idle = text.rlike(any_of(IDLE))
+    blocks = F.when(idle, F.regexp_extract_all(text, F.lit(IDLE_BLOCK), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(idle, F.regexp_replace(text, IDLE_BLOCK, "")).otherwise(text), F.size(F.flatten(F.transform(blocks, lines)))
+
+
+def kept(text: Column, custom: Iterable[str] = ()) -> Column:
+    """What pruned() keeps, without saying what it drops."""
+    rest, _ = without_idle(text)
+    return F.array_join(F.filter(let(rest, lines), lambda x: ~is_noise(x, custom)), "\n")
+
+
 def pruned(text: Column, custom: Iterable[str] = ()) -> Column:
     """struct(kept, dropped, categories): text without noise lines; number dropped; (category, n), sorted by category.
 
     Blocks of idle goroutines are cut out first, in one pass of a pattern; lines are then judged one by one."""
-    idle = text.rlike(any_of(IDLE))
-    blocks = F.when(idle, F.regexp_extract_all(text, F.lit(IDLE_BLOCK), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    n_idle = F.size(F.flatten(F.transform(blocks, lines)))
-    rest = F.when(idle, F.regexp_replace(text, IDLE_BLOCK, "")).otherwise(text)
+    rest, n_idle = without_idle(text)
     judged = F.transform(let(rest, lines), lambda x: F.struct(x.alias("line"), category(x, custom).alias("c")))
 
     def counts(names: Column) -> Column:

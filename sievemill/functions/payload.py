@@ -47,7 +47,7 @@ def sanitize_conversations(df: DataFrame, role_col: str = "role", text_col: str
 def _compiled() -> dict[str, Any]:
     python = lambda p: re.compile(p.replace(r"\z", r"\Z"))
     return {
-        "rules": [(python(p), re.sub(r"\\(\d)", r"\\g<\1>", r)) for _, p, r in redaction.java_rules(redaction.RULES)],
+        "rules": [(python(p), re.sub(r"\\(\d)", r"\\g<\1>", r)) for _, p, r in redaction.linear_rules()],
         "low": python(noise.LOWER_NOISE),
         "raw": python(noise.PLAIN_NOISE),
         "idle": python(noise.IDLE_BLOCK),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,12 +36,16 @@ def lossless_compact(text: Column) -> Column:
 
 def truncated(text: Column, most: int, marker: str) -> Column:
     """At most ``most`` bytes, never half a character, then the marker; unchanged if it fits."""
+    raw = text.cast("binary")
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else t.encode()[:most].decode("utf-8", "ignore") + marker)
+    def inside(at: int) -> Column:
+        """Whether the byte at a place (from 1) goes on a character that began before it."""
+        return F.hex(F.substring(raw, max(at, 1), 1)).between("80", "BF") if at > 0 else F.lit(False)
 
-    return F.when(F.octet_length(text) <= most, text).otherwise(cut(text))
+    end = F.when(~inside(most + 1), most)
+    for less in (1, 2, 3):
+        end = end.when(~inside(most + 1 - less), max(most - less, 0))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.substring(raw, F.lit(1), end).cast("string"), F.lit(marker)))
 
 
 def tail(text: Column, n: int = 60) -> Column:

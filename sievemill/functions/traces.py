@@ -53,13 +53,13 @@ def locations(text: Column, language: str) -> Column:
 
     Line numbers that don't fit a bigint are dropped."""
     x = BY_NAME[language]
-    pattern = F.lit("(?U)" + x.pattern)
-    group = lambda i: F.regexp_extract_all(text, pattern, F.lit(i))
-    if x.class_group is None:
-        zipped = F.arrays_zip(*[group(g).alias(f"g{g}") for pair in x.pairs for g in pair])
-    else:
-        zipped = F.arrays_zip(group(x.class_group).alias("class"), *[group(g).alias(f"g{g}") for pair in x.pairs for g in pair])
-        zipped = F.filter(zipped, lambda m: ~m["class"].rlike(rf"\A(?:{any_of(JVM_CLASSES)})"))
+    pattern = "(?U)" + x.pattern
+    # one pass over the text; groups are then read from the matches, which are short
+    groups = [*([x.class_group] if x.class_group is not None else []), *(g for pair in x.pairs for g in pair)]
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.transform(matches, lambda m: F.struct(*[F.regexp_extract(m, pattern, g).alias(f"g{g}") for g in groups]))
+    if x.class_group is not None:
+        found = F.filter(found, lambda m: ~m[f"g{x.class_group}"].rlike(rf"\A(?:{any_of(JVM_CLASSES)})"))
 
     def location(m: Column) -> Column:
         out = None
@@ -68,7 +68,7 @@ def locations(text: Column, language: str) -> Column:
             out = F.when(m[f"g{f}"] != "", value) if out is None else out.when(m[f"g{f}"] != "", value)
         return out
 
-    found = F.filter(F.transform(zipped, location), lambda l: l.isNotNull() & l["line"].isNotNull())  # noqa: E741
+    found = F.filter(F.transform(found, location), lambda l: l.isNotNull() & l["line"].isNotNull())  # noqa: E741
     if x.drops_noise:
         found = F.filter(found, lambda l: ~is_noise(l["file"]))  # noqa: E741
     return F.when(x.detect(text), found.cast(EMPTY)).otherwise(F.array().cast(EMPTY))
@@ -77,3 +77,8 @@ def locations(text: Column, language: str) -> Column:
 def all_locations(text: Column) -> Column:
     """Distinct locations of all languages, the first of equal ones stays."""
     return F.array_distinct(F.concat(*[locations(text, x.name) for x in LANGUAGES]))
+
+
+def some(found: Column) -> Column:
+    """A row for a non-empty array, none for an empty one. (A filter on it would compute it a second time.)"""
+    return F.explode(F.filter(F.array(found), lambda l: F.size(l) > 0))  # noqa: E741

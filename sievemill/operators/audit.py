@@ -35,27 +35,37 @@ def grade(pct: Column) -> Column:
     return F.when(pct > CRITICAL, "CRITICAL_BLOAT").when(pct > MODERATE, "MODERATE_BLOAT").otherwise("OPTIMAL")
 
 
+def sized(rows: DataFrame, text_col: str, clean: Column) -> DataFrame:
+    raw = F.octet_length(text_col).cast("long")
+    rows = rows.withColumn("clean_bytes", F.octet_length(clean).cast("long")).withColumns({"raw_bytes": raw, "raw_tokens": tokens(F.col(text_col)), "clean_tokens": F.floor(F.col("clean_bytes") / 4)})
+    rows = rows.withColumns({"noise_reduction_pct": noise_pct(F.col("raw_bytes"), F.col("clean_bytes")), "tokens_saved": saved(F.col("raw_tokens"), F.col("clean_tokens"))})
+    return rows.withColumn("health_grade", grade(F.col("noise_reduction_pct")))
+
+
+def measured(logs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The numbers and the grade of an audit, without labels, hashes and advice: what totals need."""
+    safe = redaction.fresh(logs.columns, "_safe")
+    rows = redaction.redact_counted(logs, text_col, safe, "secrets_count")
+    return sized(rows, text_col, noise.kept(F.col(safe))).drop(safe)
+
+
 def audit(logs: DataFrame, text_col: str = "text") -> DataFrame:
     """logs with the columns of a health audit: secrets masked first, then noise pruned."""
-    rows = redaction.redact_counted(logs, text_col, "_safe", "secrets_count").withColumn("_p", noise.pruned(F.col("_safe")))
-    raw, clean = F.octet_length(text_col).cast("long"), F.octet_length("_p.kept").cast("long")
-    rows = rows.withColumns({"raw_bytes": raw, "clean_bytes": clean, "raw_tokens": tokens(F.col(text_col)), "clean_tokens": tokens(F.col("_p.kept"))})
-    pct, high = noise_pct(F.col("raw_bytes"), F.col("clean_bytes")), F.col("noise_reduction_pct") > MODERATE
-    less = saved(F.col("raw_tokens"), F.col("clean_tokens"))
+    safe, p = redaction.fresh(logs.columns, "_safe"), redaction.fresh(logs.columns, "_p")
+    rows = redaction.redact_counted(logs, text_col, safe, "secrets_count").withColumn(p, noise.pruned(F.col(safe)))
+    rows, high, less = sized(rows, text_col, F.col(p)["kept"]), F.col("noise_reduction_pct") > MODERATE, F.col("tokens_saved")
     compact = F.aggregate(F.filter(F.transform(text.lines(F.col(text_col)), lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")), lambda x: x != ""), F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 1)
-    return rows.withColumn("noise_reduction_pct", pct).withColumns({
-        "tokens_saved": less,
-        "health_grade": grade(F.col("noise_reduction_pct")),
+    return rows.withColumns({
         "state": F.when(high, "REQUIRES_PRUNING").otherwise("OPTIMAL_HEALTH"),
         "suggested_action": F.when(high, "PRUNING_RECOMMENDED").otherwise("DIRECT_INGESTION_OPTIMAL"),
         "recommendation": F.when(high, ADVICE[0]).otherwise(ADVICE[1]),
-        "dropped_frames": noise.summary(F.col("_p.dropped"), F.col("_p.categories")),
-        "dropped_frame_identities": F.col("_p.categories"),
+        "dropped_frames": noise.summary(F.col(p)["dropped"], F.col(p)["categories"]),
+        "dropped_frame_identities": F.col(p)["categories"],
         "raw_hash": F.concat(F.lit("sha256:"), F.sha2(text_col, 256)),
-        "secrets_detected": (F.col("secrets_count") > 0) | (F.col("_safe") != F.col(text_col)),
+        "secrets_detected": (F.col("secrets_count") > 0) | (F.col(safe) != F.col(text_col)),
         "conservative_saved": F.floor(less * 7 / 10).cast("long"),
         "lossless_saved": F.floor(saved(F.col("raw_bytes"), compact) / 4).cast("long"),
-    }).drop("_safe", "_p")
+    }).drop(safe, p)
 
 
 def health(audited: DataFrame, *by: str) -> DataFrame:
@@ -120,7 +130,7 @@ def parsed_envelope(s: Column, tag: str = TAG) -> Column:
 
 def scrubbed(s: Column) -> Column:
     """Noise pruned first, then secrets masked (the other order than audit's)."""
-    return redaction.redact(noise.pruned(s)["kept"])
+    return redaction.redact(noise.kept(s))
 
 
 def verify(hashes: DataFrame, store: DataFrame) -> DataFrame:
@@ -132,6 +142,6 @@ def verify(hashes: DataFrame, store: DataFrame) -> DataFrame:
 
 def diagnosis(log: Column, context: Column, diff: Column | None = None, refs: Column | None = None) -> Column:
     """What is sent for a diagnosis: pruned log, context and, where there are any, diff and references; then masked."""
-    parts = [F.concat(F.lit("Log:\n"), noise.pruned(log)["kept"]), F.concat(F.lit("\n\nContext:\n"), context)]
+    parts = [F.concat(F.lit("Log:\n"), noise.kept(log)), F.concat(F.lit("\n\nContext:\n"), context)]
     parts += [F.when(c.isNotNull() & (c != ""), F.concat(F.lit(head), c)).otherwise("") for head, c in (("\n\nRecent changes:\n", diff), ("\n\nReferences:\n", refs)) if c is not None]
     return redaction.redact(F.concat(*parts))

@@ -32,12 +32,19 @@ def false_positives(samples: DataFrame, truth: DataFrame, scrubbed_col: str = "s
 
 
 def detector_scores(samples: DataFrame, truth: DataFrame, scrubbed_col: str = "scrubbed") -> DataFrame:
-    """A row for each type and one for all (type null): tp, fp, fn and scores. False positives count only for all."""
-    fp = false_positives(samples, truth, scrubbed_col).agg(F.count("*").alias("all_fp"))
-    rows = outcomes(samples, truth, scrubbed_col).rollup("type").agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.sum((~F.col("hit")).cast("long")).alias("fn"), F.grouping("type").alias("all"))
-    rows = rows.crossJoin(F.broadcast(fp)).select("type", F.coalesce("tp", F.lit(0)).alias("tp"), F.when(F.col("all") == 1, F.col("all_fp")).otherwise(0).cast("long").alias("fp"), F.coalesce("fn", F.lit(0)).alias("fn"))
+    """A row for each type and one for all (type null): tp, fp, fn and scores. False positives count only for all.
+
+    One pass over the samples: each meets its labels once, and only counts by type go on."""
+    rows = samples.select("id", F.col(scrubbed_col).alias("s")).join(truth.select("id", "type", "raw", F.lit(True).alias("known")), "id", "left")
+    hit = ~F.col("s").contains(F.col("raw"))
+    one = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    by_type = rows.groupBy("known", "type").agg(one(F.col("known") & hit).alias("tp"), one(F.col("known") & ~hit).alias("fn"), one(F.col("known").isNull() & F.col("s").rlike(MASK)).alias("fp"))
+    sums = by_type.rollup("known", "type").agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp")], F.grouping_id().alias("level"))
+    sums = sums.filter("level = 3 or level = 0 and known")
+    none = F.lit(0).cast("long")
+    sums = sums.select("type", *[F.coalesce(c, none).alias(c) for c in ("tp", "fn")], F.when(F.col("level") == 3, F.coalesce("fp", none)).otherwise(none).alias("fp"))
     p, r, f = scores(F.col("tp"), F.col("fp"), F.col("fn"))
-    return rows.select("type", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    return sums.select("type", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
 def reduction(rows: DataFrame, before: str, after: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievemill.functions import bodies, dialects, lint, noise, patch, payload, redaction, signature, text, traces
 from sievemill.operators import audit, context, evaluation, store, traffic
 from sievemill.plans import synthetic
+from sievemill.sources.tables import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -34,10 +35,6 @@ def oracle_sql() -> dict[str, str]:
     return _SQL
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # Building blocks of the reference SQL
 
 quote = lambda s: "'" + s.replace("'", "''") + "'"
@@ -100,7 +97,7 @@ def redact_logs(spark, sf_dir):
 
 @query(f"WITH {sql_redaction('documents', 'SELECT lang, count(*) AS docs, sum(strlen(text))::BIGINT AS raw_bytes, sum(strlen(t))::BIGINT AS clean_bytes, sum(strlen(text) // 4 - strlen(t) // 4)::BIGINT AS tokens_saved, sum(n)::BIGINT AS secrets FROM red GROUP BY lang')}")
 def redact_documents(spark, sf_dir):
-    rows = redaction.redact_counted(table(spark, sf_dir, "documents"), "text")
+    rows = redaction.redact_counted(texts(spark, sf_dir), "text")
     less = audit.tokens(F.col("text")) - audit.tokens(F.col("redacted"))
     return rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(text.n_bytes(F.col("text"))).alias("raw_bytes"), F.sum(text.n_bytes(F.col("redacted"))).alias("clean_bytes"), F.sum(less).alias("tokens_saved"), F.sum("n_secrets").alias("secrets"))
 
@@ -113,7 +110,7 @@ def secrets_by_rule(spark, sf_dir):
 @query(f"WITH {LOGS}, {sql_redaction('logs', '''SELECT doc_id, md5(regexp_replace(t, 'well[a-z]*', '[W]', 'g')) AS clean_md5 FROM red''')}")
 def redact_custom(spark, sf_dir):
     rows = synthetic.logs(spark, sf_dir)
-    return rows.select("doc_id", F.md5(redaction.redact(F.col("text"), [("well[a-z]*", "[W]"), ("(broken", None)], spark)).alias("clean_md5"))
+    return rows.select("doc_id", F.md5(redaction.redact(F.col("text"), [("well[a-z]*", "[W]"), ("(broken", None)])).alias("clean_md5"))
 
 
 # B: lines, noise, pruning
@@ -122,7 +119,7 @@ def redact_custom(spark, sf_dir):
 @query(f"WITH ln AS ({sql_lines('documents')}), t AS (SELECT doc_id, count(*) AS n_lines, string_agg(rtrim(line), chr(10) ORDER BY pos) FILTER (rtrim(line) <> '') AS c FROM ln GROUP BY doc_id) SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, md5(coalesce(c, '')) AS compact_md5, (strlen(text) - strlen(replace(text, chr(10), '')))::BIGINT AS newlines FROM documents LEFT JOIN t USING (doc_id)")
 def line_stats(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.lines(t)).cast("long").alias("n_lines"), F.md5(text.lossless_compact(t)).alias("compact_md5"), text.n_newlines(t).alias("newlines"))
+    return texts(spark, sf_dir).select("doc_id", F.size(text.lines(t)).cast("long").alias("n_lines"), F.md5(text.lossless_compact(t)).alias("compact_md5"), text.n_newlines(t).alias("newlines"))
 
 
 @query(f"WITH {LOGS}, ln AS ({sql_lines('logs')}) SELECT kind, count(*) AS n_lines, count(*) FILTER ({sql_noise('line')}) AS n_noise, count(*) FILTER ({sql_noise('line')} OR contains(lower(line), 'order')) AS n_custom FROM ln GROUP BY kind")
@@ -170,7 +167,7 @@ def sql_locations(name: str) -> str:
 
 def _frames(name: str) -> None:
     def run(spark, sf_dir):
-        rows = synthetic.logs(spark, sf_dir).select("doc_id", traces.locations(F.col("text"), name).alias("l")).filter("size(l) > 0")
+        rows = synthetic.logs(spark, sf_dir).select("doc_id", traces.some(traces.locations(F.col("text"), name)).alias("l"))
         return rows.select("doc_id", joined(F.transform("l", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"))), "frames"))
 
     run.__name__ = f"frames_{name}"
@@ -186,22 +183,22 @@ _UNION = f"f AS ({_ALL}), u AS (SELECT doc_id, file, line, min(parser * 1000000
 
 @query(f"WITH {LOGS}, {_UNION} SELECT doc_id, string_agg(concat(file, ':', line::VARCHAR), '|' ORDER BY o) AS frames FROM u GROUP BY doc_id")
 def frames_all(spark, sf_dir):
-    rows = synthetic.logs(spark, sf_dir).select("doc_id", traces.all_locations(F.col("text")).alias("l")).filter("size(l) > 0")
+    rows = synthetic.logs(spark, sf_dir).select("doc_id", traces.some(traces.all_locations(F.col("text"))).alias("l"))
     return rows.select("doc_id", joined(F.transform("l", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"))), "frames"))
 
 
 # D: source windows. Documents play the source files: each frame's path is given to the document of the same id.
 
-_SRC = f"src AS (SELECT file AS path, any_value(d.text) AS text FROM u JOIN documents d USING (doc_id) WHERE NOT {sql_noise('file')} AND doc_id % 5 <> 0 GROUP BY file HAVING count(DISTINCT doc_id) = 1)"
+#: A path's source is the text of the first document whose trace names it; paths of Go files have none.
+_SRC = f"src AS (SELECT path, text FROM (SELECT file AS path, min(doc_id) AS doc_id FROM u WHERE NOT {sql_noise('file')} AND NOT ends_with(file, '.go') GROUP BY file) JOIN documents USING (doc_id))"
 _WIN = f"fr AS (SELECT doc_id AS id, file AS path, line, o FROM u WHERE NOT {sql_noise('file')}), sl AS ({sql_lines('src')})"
 
 
 def _sources(spark, sf_dir):
     found = context.frames(synthetic.logs(spark, sf_dir))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    rows = found.select("id", "path").distinct().filter("id % 5 <> 0").join(docs, "id")
-    one = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("text").alias("text")).filter("n = 1")
-    return found, one.select("path", "text")
+    first = found.filter(~F.col("path").endswith(".go")).groupBy("path").agg(F.min("id").alias("id"))
+    return found, first.join(docs, "id").select("path", "text")
 
 
 @query(f"WITH {LOGS}, {_UNION}, {_SRC}, {_WIN} SELECT id, fr.path, fr.line, pos::BIGINT AS line_no, sl.line AS text FROM fr JOIN sl ON fr.path = sl.path AND pos BETWEEN greatest(greatest(fr.line - 2, 0) - 1, 0) + 1 AND fr.line + 2")
@@ -220,9 +217,16 @@ def files_missing(spark, sf_dir):
     return context.missing(*_sources(spark, sf_dir)).select("id", "path").distinct()
 
 
-@query()
+@query(
+    f"""WITH {LOGS}, {_UNION}, {_SRC}, {_WIN},
+n AS (SELECT path, max(pos)::BIGINT AS n FROM sl GROUP BY path),
+w AS (SELECT id, fr.path, fr.line, o, greatest(greatest(fr.line - 2, 0) - 1, 0) + 1 AS a, least(fr.line + 2, coalesce(n, 0)) AS b FROM fr JOIN src ON fr.path = src.path LEFT JOIN n ON n.path = fr.path),
+t AS (SELECT id, o, w.path, concat('--- ', w.path, ' (Lines ', a, '-', b, ') ---', chr(10), coalesce(string_agg(concat(pos, ' | ', sl.line, chr(10)), '' ORDER BY pos) FILTER (pos IS NOT NULL), ''), chr(10)) AS body FROM w LEFT JOIN sl ON w.path = sl.path AND pos BETWEEN a AND b GROUP BY id, o, w.path, a, b),
+g AS (SELECT id, path, min(o) AS o FROM t GROUP BY id, path), gf AS (SELECT id, string_agg(path, '|' ORDER BY o) AS files FROM g GROUP BY id)
+SELECT id, md5(string_agg(body, '' ORDER BY o)) AS context_md5, any_value(files) AS files FROM t JOIN gf USING (id) GROUP BY id"""
+)
 def context_text(spark, sf_dir):
-    return context.contexts(*_sources(spark, sf_dir), 2)
+    return context.contexts(*_sources(spark, sf_dir), 2).select("id", F.md5("context").alias("context_md5"), joined("files", "files"))
 
 
 @query("SELECT page_id, path, (contains(path, chr(0)) OR d < 0) AS escapes FROM (SELECT page_id, path, coalesce(list_min(list_transform(range(1, len(s) + 1), lambda i: list_sum(s[:i]))), 0) AS d FROM (SELECT page_id, path, list_transform(string_split(path, '/'), lambda p: CASE WHEN p = '..' THEN -1 WHEN p IN ('', '.') THEN 0 ELSE 1 END) AS s FROM (SELECT page_id, concat(CASE page_id % 4 WHEN 0 THEN '../' WHEN 1 THEN 'a/../../' WHEN 2 THEN 'a/b/../' ELSE './' END, split_part(url, '/', 4)) AS path FROM pages)))")
@@ -273,7 +277,7 @@ def audit_health(spark, sf_dir):
 
 @query(_AUDIT + " SELECT kind, lang, count(*) AS n, sum(raw)::BIGINT AS raw_bytes, sum(clean)::BIGINT AS clean_bytes, sum(greatest(raw // 4 - clean // 4, 0))::BIGINT AS tokens_saved, sum(n)::BIGINT AS secrets, count(*) FILTER (pct > 60)::BIGINT AS critical FROM h GROUP BY kind, lang")
 def health_by_kind(spark, sf_dir):
-    return audit.health(audit.audit(synthetic.logs(spark, sf_dir)), "kind", "lang")
+    return audit.health(audit.measured(synthetic.logs(spark, sf_dir)), "kind", "lang")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +310,7 @@ _TURNS = "turns AS (SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv
 
 def _turns(spark, sf_dir):
     lead = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("api_key=value"), F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit("\n"))).when(F.col("turn") % 3 == 1, F.lit("    at next (/srv/app/node_modules/next/server.js:10:5)\n")).otherwise("")
-    return table(spark, sf_dir, "conversations").withColumn("text", F.concat(lead, F.coalesce("text", F.lit(""))))
+    return texts(spark, sf_dir, "conversations").withColumn("text", F.concat(lead, F.coalesce("text", F.lit(""))))
 
 
 _CLEANED = f"WITH {_TURNS}, {sql_redaction('turns', '')[:-1]}, {sql_pruned('red', 't')}, c AS (SELECT conv_id, turn, role, role = 'assistant' AS k, text, t, kept FROM red JOIN pruned USING (doc_id))"
@@ -348,14 +352,14 @@ def translate_requests(spark, sf_dir):
 @query()
 def translate_answers(spark, sf_dir):
     body = F.to_json(F.struct(F.concat(F.lit("a"), F.col("conv_id")).alias("id"), F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"), F.lit("length").alias("finish_reason"))).alias("choices")))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", dialects.answer_to_blocks(body).alias("blocks"))
+    rows = texts(spark, sf_dir, "conversations").select("conv_id", "turn", dialects.answer_to_blocks(body).alias("blocks"))
     return rows.select("conv_id", "turn", F.get_json_object("blocks", "$.stop_reason").alias("stop_reason"), F.sha2(dialects.answer_to_choices(F.col("blocks")), 256).alias("choices_sha256"))
 
 
 @query()
 def stream_events(spark, sf_dir):
     chunk = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"), F.when(F.col("role") == "assistant", "stop").alias("finish_reason"))).alias("choices")))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", dialects.stream_events(chunk, F.col("turn") == 0).alias("events"))
+    rows = texts(spark, sf_dir, "conversations").select("conv_id", "turn", dialects.stream_events(chunk, F.col("turn") == 0).alias("events"))
     return rows.select("conv_id", "turn", F.posexplode("events")).select("conv_id", "turn", "pos", F.sha2("col", 256).alias("event_sha256"))
 
 
@@ -404,7 +408,14 @@ def rolling_hour_tokens(spark, sf_dir):
     return traffic.rolling_sum(_events(spark, sf_dir), "user_id", "ts", "tokens").select("event_id", "user_id", "hourly_tokens")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_EV}, k AS (SELECT user_id, event_id, tokens, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev),
+f AS (SELECT user_id, i, event_id, tokens, tokens <= 1500 AS admitted, CASE WHEN tokens <= 1500 THEN [{{'tm': tm, 'n': tokens}}] ELSE [] END AS held FROM k WHERE i = 1
+UNION ALL SELECT user_id, i, event_id, n, ok, CASE WHEN ok THEN list_append(live, {{'tm': tm, 'n': n}}) ELSE live END FROM (
+  SELECT *, coalesce(list_sum(list_transform(live, lambda x: x.n)), 0) + n <= 1500 AS ok FROM (
+    SELECT k.user_id, k.i, k.event_id, k.tokens AS n, k.tm, list_filter(f.held, lambda x: k.tm - x.tm <= 3600000000) AS live FROM f JOIN k ON k.user_id = f.user_id AND k.i = f.i + 1)))
+SELECT user_id, event_id, tokens, admitted FROM f"""
+)
 def token_breaker(spark, sf_dir):
     out = traffic.breaker(_events(spark, sf_dir), "user_id", "ts", "event_id", "tokens", 1500)
     return out.select(F.col("key").alias("user_id"), F.col("order").alias("event_id"), "tokens", "admitted")
@@ -439,7 +450,7 @@ def gateway_checks(spark, sf_dir):
 
 @query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS stored_at FROM documents GROUP BY text")
 def cas_dedupe(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     kept = store.put(None, docs.withColumn("stored_at", F.col("doc_id"))).select("hash", "stored_at")
     return docs.groupBy(store.content_hash(F.col("text")).alias("hash")).agg(F.count("*").alias("n")).join(kept, "hash")
 
@@ -469,36 +480,42 @@ def _code():
     return F.when(F.col("doc_id") % 3 == 0, "python").when(F.col("doc_id") % 3 == 1, "js").otherwise("rust"), out
 
 
-@query("SELECT CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'js' ELSE 'rust' END AS language, rule, sum(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END * k)::BIGINT AS n FROM documents JOIN (VALUES (0, 'python/unclosed-open', 1), (0, 'python/dangerous-exec-eval', 1), (1, 'javascript/no-debugger', 1), (1, 'javascript/dangerous-eval', 2), (2, 'rust/explicit-panic', 2)) r(m, rule, k) ON doc_id % 3 = m GROUP BY ALL")
+#: Where the findings of a single snippet stand: (doc_id % 3, rule, line).
+_FINDINGS = "(VALUES (0, 'python/unclosed-open', 2), (0, 'python/dangerous-exec-eval', 3), (1, 'javascript/no-debugger', 1), (1, 'javascript/dangerous-eval', 2), (1, 'javascript/dangerous-eval', 4), (2, 'rust/explicit-panic', 3), (2, 'rust/explicit-panic', 4)) r(m, rule, pl)"
+
+
+@query(f"SELECT doc_id, CASE m WHEN 0 THEN 'python' WHEN 1 THEN 'js' ELSE 'rust' END AS language, rule, (pl + again * CASE m WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 5 END)::BIGINT AS line FROM documents JOIN {_FINDINGS} ON doc_id % 3 = m JOIN (VALUES (0), (1)) c(again) ON again = 0 OR doc_id % 2 = 0")
 def lint_code(spark, sf_dir):
     language, code = _code()
-    rows = table(spark, sf_dir, "documents").select(lint.lint(language, code).alias("l"))
-    return rows.select("l.language", F.explode("l.findings.rule").alias("rule")).groupBy("language", "rule").agg(F.count("*").alias("n"))
+    rows = texts(spark, sf_dir).select("doc_id", lint.lint(language, code).alias("l"))
+    return rows.select("doc_id", "l.language", F.explode("l.findings").alias("f")).select("doc_id", "language", "f.rule", F.col("f.line").cast("long").alias("line"))
+
+
+_SQL_CODE = "CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN {quote(c)}" for i, c in enumerate(_CODE.values())) + " END"
+_SQL_OLD = "CASE doc_id % 3 WHEN 0 THEN 'return eval(x)' WHEN 1 THEN 'no such line' ELSE 'todo!()' END"
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Error: original_code found 2 times. Please provide a more specific code block.' WHEN doc_id % 3 = 2 THEN 'ok' WHEN doc_id % 3 = 0 THEN 'ok' ELSE 'Error: original_code not found in the file. Make sure it matches exactly.' END AS status FROM documents WHERE doc_id % 3 <> 1 OR doc_id % 2 = 1")
+@query(f"WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat({_SQL_CODE}, {_SQL_CODE}) ELSE {_SQL_CODE} END AS code, {_SQL_OLD} AS old FROM documents), n AS (SELECT *, (strlen(code) - strlen(replace(code, old, ''))) // strlen(old) AS n FROM c) SELECT doc_id, CASE n WHEN 1 THEN 'ok' WHEN 0 THEN 'Error: original_code not found in the file. Make sure it matches exactly.' ELSE concat('Error: original_code found ', n, ' times. Please provide a more specific code block.') END AS status, md5(CASE n WHEN 1 THEN replace(code, old, 'pass') ELSE code END) AS text_md5 FROM n")
 def apply_patches(spark, sf_dir):
     _, code = _code()
     old = F.when(F.col("doc_id") % 3 == 0, "return eval(x)").when(F.col("doc_id") % 3 == 1, "no such line").otherwise("todo!()")
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 1 or doc_id % 2 = 1")
-    return rows.select("doc_id", patch.apply_patch(code, old, F.lit("pass"))["status"].alias("status"))
+    rows = texts(spark, sf_dir).select("doc_id", patch.apply_patch(code, old, F.lit("pass")).alias("p"))
+    return rows.select("doc_id", "p.status", F.md5("p.text").alias("text_md5"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE sha256(text) END AS body_sha256, CASE WHEN doc_id % 4 = 3 THEN 'Incomplete chunk data' END AS error FROM documents WHERE strlen(text) > 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN sha256(text) END AS body_sha256, CASE WHEN doc_id % 4 = 3 AND text IS NOT NULL THEN 'Incomplete chunk data' END AS error FROM documents")
 def decode_bodies(spark, sf_dir):
     size = lambda t: F.lower(F.hex(F.octet_length(t)))
     crlf = F.lit("\r\n")
     body = F.concat(size(F.col("text")), F.lit(";x=1"), crlf, "text", crlf, F.lit("0"), crlf, crlf)
     cut = F.concat(F.hex(F.octet_length("text") + 9), crlf, "text", crlf)
-    rows = table(spark, sf_dir, "documents").filter(F.octet_length("text") > 0).select("doc_id", bodies.decode_chunked(F.when(F.col("doc_id") % 4 == 3, cut).otherwise(body).cast("binary")).alias("b"))
+    rows = texts(spark, sf_dir).select("doc_id", bodies.decode_chunked(F.when(F.col("doc_id") % 4 == 3, cut).otherwise(body).cast("binary")).alias("b"))
     return rows.select("doc_id", F.sha2("b.body", 256).alias("body_sha256"), "b.error")
 
 
-@query("SELECT doc_id, strlen(text) > 500 AS cut FROM documents")
+@query("SELECT doc_id, md5(CASE WHEN strlen(text) <= 500 THEN text ELSE concat(left(text, list_max(list_filter(range(124, 501), lambda i: strlen(left(text, i)) <= 500))), '...') END) AS cut_md5 FROM documents")
 def truncate_texts(spark, sf_dir):
-    out = text.truncated(F.col("text"), 500, "...")
-    fits = (F.octet_length(out) <= 503) & (F.octet_length(out) >= F.least(F.octet_length("text"), F.lit(500)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(fits, out != F.col("text")).alias("cut"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(text.truncated(F.col("text"), 500, "...")).alias("cut_md5"))
 
 
 @query("SELECT event_id, event_type AS method, CASE WHEN event_id % 5 = 0 THEN -32600 WHEN event_id % 5 = 1 THEN -32700 ELSE 0 END::INT AS error FROM (SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE event_type END AS event_type FROM events)")
@@ -521,4 +538,4 @@ def detector_scores(spark, sf_dir):
 
 @query(_AUDIT + ", t AS (SELECT (raw // 4) AS b, (clean // 4) AS a, round(CASE WHEN raw // 4 > 0 THEN (raw // 4 - clean // 4) / (raw // 4) * 100.0::DOUBLE ELSE 0 END, 2) AS pct FROM h) SELECT round(sum(pct) / count(*), 2) AS mean, round(median(pct), 2) AS median, list_sort(list(pct))[least(floor(0.9 * count(*)), count(*) - 1)::INT + 1] AS p90, min(pct) AS min, max(pct) AS max, round((sum(b) - sum(a)) / sum(b) * 100.0::DOUBLE, 2) AS \"all\", count(*) AS n FROM t")
 def reduction_distribution(spark, sf_dir):
-    return evaluation.reduction(audit.audit(synthetic.logs(spark, sf_dir)), "raw_tokens", "clean_tokens")
+    return evaluation.reduction(audit.measured(synthetic.logs(spark, sf_dir)), "raw_tokens", "clean_tokens")

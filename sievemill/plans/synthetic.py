@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievemill.sources.tables import table, texts
+
 KINDS = ("js", "python", "java", "go", "cpp", "csharp", "ruby", "php", "rust", "secrets", "config", "clean")
 ID = "CAST(doc_id AS STRING)"
 LINE = "CAST(doc_id % 90 + 1 AS STRING)"
@@ -63,10 +65,10 @@ TRUTH = f"SELECT doc_id AS id, {SECRET_TYPE} AS type, {SECRET} AS raw FROM docum
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = texts(spark, sf_dir)
     return spark.sql(SELECT.replace("FROM documents", "FROM {docs}"), docs=docs)
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return spark.sql(TRUTH.replace("FROM documents", "FROM {docs}"), docs=docs)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tomllib
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
@@ -28,13 +30,37 @@ def rpc_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path)
 
 
+def put_in_place(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let write() make a folder beside ``path``, then give it that name. A write that fails leaves what was there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = lambda mark: spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{mark}-{uuid.uuid4().hex}")
+    new, old = beside("new"), beside("old")
+    try:
+        write(new.toString())
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"can't move {path} away")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"can't put the new table at {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def write_text(df: DataFrame, path: str, text_col: str = "text") -> None:
     """Texts as they are, each with one newline at its end, replacing what is there once all is written."""
-    df.select(F.regexp_replace(with_newline(F.col(text_col)), "\\n\\z", "").alias("value")).write.mode("overwrite").text(path)
+    rows = df.select(F.regexp_replace(with_newline(F.col(text_col)), "\\n\\z", "").alias("value"))
+    put_in_place(df.sparkSession, path, lambda at: rows.write.text(at))
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """A table, replacing what is there (it may be what df reads) once all is written."""
+    put_in_place(df.sparkSession, path, lambda at: df.write.parquet(at))
 
 
 def sink_metrics(df: DataFrame, before: str, after: str) -> DataFrame:

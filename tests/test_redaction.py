@@ -48,6 +48,36 @@ def test_custom_rules(spark):
     assert out["redacted"] == f"id {redaction.DEFAULT_MASK} Y" and out["n_secrets"] == 2
 
 
+CUSTOM = [
+    ((r"(?P<head>id) (\d+)", "<$head:$2>"), "a <id:42> x"),
+    (("42", "$MASK"), "a id  x"),
+    (("42", "$$5 \\1"), "a id $5 \\1 x"),
+    ((r"(4)2", "${1}0"), "a id 40 x"),
+    ((r"(?<my_name>4)2", "${my_name}7$9"), "a id 47 x"),
+    ((r"(\d)(\d)", None), f"a id {redaction.DEFAULT_MASK} x"),
+    (("(?P<x>42", "y"), "a id 42 x"),
+]
+
+
+@pytest.mark.parametrize("rule, want", CUSTOM)
+def test_replacements_of_custom_rules(spark, rule, want):
+    df = spark.createDataFrame([("a id 42 x", "t0")], "text string, _steps string")
+    out = redaction.redact_counted(df, "text", custom=[rule]).first()
+    assert (out["redacted"], out["_steps"]) == (want, "t0")
+    assert df.select(redaction.redact(F.col("text"), [rule])).first()[0] == want
+
+
+def test_columns_and_python_agree_on_odd_texts(spark):
+    texts = [c[0] for c in CASES] + ["pa\u017fsword = 'abcdefgh'", "TO\u212aEN:abcdefghijkl", "auth\u0131=abcdefghijkl", "secret\u2003:\u00a0hunter22222", "password\x85=abcdefghijkl", "a\x1cpassword\x0b= x" + "y" * 12, "xapi_key_x'=\"abcdef\""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("i", F.monotonically_increasing_id())
+    got = [r[0] for r in df.orderBy("i").select(redaction.redact(F.col("text"))).collect()]
+    plain = df.orderBy("i")
+    for name, p, r in redaction.java_rules():
+        plain = plain.withColumn("text", F.regexp_replace("text", redaction.java(p), r))
+    assert got == [r["text"] for r in plain.collect()]
+    assert got == [payload.mask_text(t) for t in texts]
+
+
 def test_every_made_up_secret_is_masked(spark, sf):
     logs = synthetic.logs(spark, sf).select(F.col("doc_id").alias("id"), redaction.redact(F.col("text")).alias("clean"))
     met = synthetic.truth(spark, sf).join(logs, "id")
