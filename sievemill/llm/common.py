@@ -85,6 +85,14 @@ def bounded_broadcast(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(df) if few else df.hint("shuffle_hash")
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner delete shuffle files of finished steps."""
     import gc

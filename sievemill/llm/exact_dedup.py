@@ -2,9 +2,10 @@
 
 Each row is reduced to (digest of the normalised text, code points of the original, stable identifier, content
 locator) and landed in the shared folder. A Structured Streaming aggregation reads the landed files in
-micro-batches; its RocksDB state store keeps, for every digest, the row that stays and the group's size. No watermark
+micro-batches; its RocksDB state store, on disk within a bound on memory, keeps, for every digest, the row that stays and the group's size. No watermark
 is set, so no key expires, and a stream restarted on the same checkpoint carries on. On a hit (a digest with several
-rows) the full normalised text of each row is compared with that of the row that stays.
+rows) the full normalised text of each row is compared with that of the row that stays; rows whose text differs, which
+takes two texts with one SHA-256, are groups of their own, by the text itself.
 
 Everything is DataFrame and SQL functions.
 
@@ -16,10 +17,10 @@ Other columns are carried or ignored, never read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import documents, drop_path, fresh_path, stash, strip_ws
+from sievemill.llm.common import bounded_broadcast, documents, drop_path, fresh_path, stash, strip_ws, unused
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Landed files that one micro-batch takes at most.
@@ -30,14 +31,23 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.minDeltasForSnapshot": "100",
     # a store takes 4 MB of disk beforehand otherwise, however little it holds
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # all stores of an executor share one bound on memory outside the heap; the rest is on disk
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
 }
 
 
+def digest_of(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(digest, points, id, locator); the locator is the hash that finds this very content again."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.unhex(F.sha2(strip_ws(text), 256)).alias("digest"),
+        digest_of(strip_ws(text)).alias("digest"),
         F.char_length(text).cast("long").alias("points"),
         F.col(id_col).alias("id"),
         F.xxhash64(text).alias("locator"),
@@ -86,30 +96,31 @@ def state_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def differing(docs: DataFrame, state: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Full check of bytes: (id, locator) of rows whose normalised text isn't that of the row that stays.
+    """Full check of bytes: (id, locator, digest, norm) of rows whose normalised text isn't that of the row that stays.
 
-    Only groups of two rows or more are read, the text of the row that stays once per group; a skewed group is split
-    by the adaptive join. A digest of 256 bits makes this empty in practice."""
+    Only rows of groups of two or more are moved, and a group's text to compare with is fetched once, by (id, locator) of
+    the row that stays; a skewed group is split by the adaptive join. A digest of 256 bits makes this empty in practice."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("locator"), strip_ws(text).alias("norm"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    several = state.filter("group_size > 1")
-    at = several.select("digest", "keep_id", "keep_locator")
-    members = rows.join(at, "digest")
-    kept = members.filter(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator")))
-    kept = kept.groupBy("digest").agg(F.first("norm").alias("keep_norm"))
+    several = stash(state.filter("group_size > 1").select("digest", "keep_id", "keep_locator"), "several")
+    stays = bounded_broadcast(several.select(F.col("keep_id").alias("id"), F.col("keep_locator").alias("locator"), F.col("digest").alias("of")))
+    kept = rows.join(stays, rows["id"].eqNullSafe(stays["id"]) & (rows["locator"] == stays["locator"])).groupBy("of").agg(F.min("norm").alias("keep_norm"))
+    members = rows.withColumn("digest", digest_of(F.col("norm"))).join(bounded_broadcast(several), "digest")
     others = members.filter(~(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator"))))
-    return others.join(kept, "digest").filter("norm <> keep_norm").select("id", "locator", "digest")
+    return others.join(kept, others["digest"] == kept["of"]).filter("norm <> keep_norm").select("id", "locator", "digest", "norm")
+
+
+KEY = ("digest", "keep_id", "keep_locator", "group_size")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, locator."""
     landed, state = state_of(docs, id_col, text_col)
     state = stash(state, "kept")
-    clash = differing(docs, state, id_col, text_col).select("digest").distinct()
+    clash = stash(differing(docs, state, id_col, text_col), "clash")
+    out = landed.select("id", "locator", "digest").join(state, "digest")
     if not clash.isEmpty():
-        raise ValueError("two different texts share a SHA-256 digest")
-    out = landed.join(state, "digest")
+        out = parted(out, landed, clash)
     return out.select(
         F.col("id").alias("doc_id"),
         "keep_id",
@@ -120,17 +131,33 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+def parted(out: DataFrame, landed: DataFrame, clash: DataFrame) -> DataFrame:
+    """Rows whose digest another text has: groups of their own, by the normalised text itself."""
+    odd = clash.distinct()
+    ours = landed.join(odd.select(F.col("id").alias("_i"), F.col("locator").alias("_l"), "norm"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("locator") == F.col("_l")))
+    groups = ours.groupBy("norm").agg(F.min(winner()).alias("best"), F.count("*").alias("group_size"))
+    own = ours.select("id", "locator", "digest", "norm").join(groups, "norm").select("id", "locator", "digest", F.col("best.id").alias("keep_id"), F.col("best.locator").alias("keep_locator"), "group_size")
+    less = ours.groupBy("digest").agg(F.count("*").alias("less"))
+    rest = out.join(odd.select(F.col("id").alias("_i"), F.col("locator").alias("_l")), F.col("id").eqNullSafe(F.col("_i")) & (F.col("locator") == F.col("_l")), "left_anti")
+    rest = rest.join(less, "digest", "left").withColumn("group_size", F.col("group_size") - F.coalesce("less", F.lit(0)))
+    cols = ["id", "locator", *KEY]
+    return rest.select(cols).unionByName(own.select(cols))
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns, one of each group."""
-    stay = decisions(docs, id_col, text_col).filter("kept")
-    stay = stay.groupBy(F.col("doc_id").alias("_id"), F.col("locator").alias("_loc")).agg(F.count("*").alias("_n"))
-    rows = docs.withColumn("_at", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = rows.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_loc")))
-    once = out.filter("_n = 1").select(docs.columns)
-    again = out.filter("_n > 1")
-    order = [F.col(c).cast("string") for c in docs.columns if c not in (id_col, text_col)]
-    again = again.groupBy("_id", "_loc").agg(F.min_by(F.struct(*docs.columns), F.concat_ws("\x00", *order) if order else F.lit(0)).alias("r"))
-    return once.unionByName(again.select("r.*"))
+    """The rows that stay, with all their columns, one of each group. Texts aren't moved where few rows go."""
+    found = stash(decisions(docs, id_col, text_col).select("doc_id", "locator", "kept"), "decided")
+    rows = found.groupBy("doc_id", "locator").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    special = stash(rows.filter("not kept or n > 1").select(F.struct("doc_id", "locator", "kept").alias(unused(docs, "row"))), "special")
+    (name,) = special.columns
+    locator = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    same = lambda df: docs[id_col].eqNullSafe(df[name]["doc_id"]) & (locator == df[name]["locator"])
+    special, again = bounded_broadcast(special), bounded_broadcast(special.filter(F.col(name)["kept"]))
+    once = docs.join(special, same(special), "left_anti")
+    several = docs.join(again, same(again), "left_semi")
+    order = F.concat_ws("\x00", *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)], F.lit(""))
+    one = several.groupBy(F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("l")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("r"))
+    return once.unionByName(one.select("r.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

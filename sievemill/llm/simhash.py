@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import ascii_lower, documents, stash
+from sievemill.llm.common import ascii_lower, bounded_broadcast, documents, stash, unused
 from sievemill.llm.components import components
 
 SHINGLE = 3
@@ -191,9 +191,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def best_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of docs that stand for their component. found: (doc_id, th, root) for each row."""
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.th").alias("_th"))
-    return docs.join(best, docs[id_col].eqNullSafe(best["_id"]) & (F.xxhash64(docs[text_col]) == best["_th"]), "left_semi")
+    """Rows of docs that stand for their component. found: (doc_id, th, root) for each row. Texts aren't moved where few go."""
+    found = stash(found.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "root"), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    best = found.groupBy("root").agg(F.min(order).alias("b"), F.max(order).alias("z")).filter("b <> z").select("root", "b")
+    name = unused(docs, "gone")
+    gone = found.join(best, "root").filter(order != F.col("b")).select(F.struct("doc_id", "th").alias(name)).distinct()
+    gone = bounded_broadcast(stash(gone, "gone"))
+    same = docs[id_col].cast("long").eqNullSafe(gone[name]["doc_id"]) & (F.xxhash64(docs[text_col]) == gone[name]["th"])
+    return docs.join(gone, same, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

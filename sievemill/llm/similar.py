@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from sievemill.llm.common import bounded_broadcast, drop_stash, stash
 from sievemill.llm.components import components
 from sievemill.llm.segments import BYTES, word_units
-from sievemill.llm.simhash import syndrome
+from sievemill.llm.simhash import best_rows, syndrome
 from sievemill.llm.url_filter import mix
 
 SHINGLE = 5
@@ -272,13 +272,4 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, all columns: of each component the row with the smallest id (null ids last; of rows that share it, the
     one with the smallest text hash; of wholly repeated rows, all)."""
-    found = stash(classes(docs, id_col, text_col), "classes")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
-    best = found.groupBy("root").agg(F.min(order).alias("b"), F.max(order).alias("z")).filter("b <> z").select("root", "b")
-    gone = found.join(best, "root").filter(order != F.col("b")).select(F.struct("doc_id", "th").alias("_gone")).distinct()
-    # one column that is a struct can't clash with the table's own
-    return docs.join(bounded_broadcast(gone), same_row(docs, gone, id_col, text_col), "left_anti")
-
-
-def same_row(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> Column:
-    return docs[id_col].cast("long").eqNullSafe(gone["_gone"]["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone"]["th"])
+    return best_rows(docs, classes(docs, id_col, text_col), id_col, text_col)

@@ -42,6 +42,23 @@ def test_exact_dedup(spark):
     assert Counter(norm(r["text"]) for r in kept.collect()) == Counter(set(map(norm, (t for _, t in ROWS))))
 
 
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b", 1, "p", "q", "r", "s"), (2, "ab ", 2, "p", "q", "r", "s"), (1, "a b", 0, "p", "q", "r", "s"), (None, None, 3, "x", "y", "z", None), (None, "", 4, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _at int, _id string, _loc string, _n string, row string")
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert [tuple(r) for r in got if r["doc_id"] == 1] == [rows[2]]
+    assert len(got) == 2 and sum(r["doc_id"] is None for r in got) == 1
+
+
+def test_exact_dedup_with_two_texts_of_one_digest(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda norm: F.unhex(F.sha2(F.left(norm, F.lit(1)), 256)))
+    rows = [(1, "ax"), (2, "ay"), (3, "a x"), (4, "b"), (5, "ay"), (6, "ayy"), (None, "a x")]
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 3, 3, False), (3, 3, 3, True), (None, 3, 3, False), (2, 2, 2, True), (5, 2, 2, False), (4, 4, 1, True), (6, 6, 1, True)}
+
+
 def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
     docs = docs_of(spark)
     first, second = docs.filter("doc_id <= 3"), docs.filter("doc_id > 3 or doc_id is null")
