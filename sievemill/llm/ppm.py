@@ -9,7 +9,7 @@ in shorter ones. Below the empty context, the bytes never seen are equally likel
 Nothing that grows with the corpus is broadcast or gathered in one place. Texts are dealt into chunks by a hash. A chunk
 reduces its texts to distinct grams (context and byte) and distinct words with training counts, packed by bucket; all grams
 that end in the same context of two bytes are one branch of the trie and lie in one bucket. Buckets' counts are added up
-in two steps. Each request (the grams of a chunk in a bucket) is joined with its bucket, and the answer goes back to the
+in a tree, ``FAN_IN`` partial counts at a time, so no task holds more of them however many chunks there are. Each request (the grams of a chunk in a bucket) is joined with its bucket, and the answer goes back to the
 chunk, which adds up its documents. Only the counts of byte pairs, at most 65,536, are collected, to be at hand for contexts
 shorter than two bytes.
 
@@ -21,7 +21,6 @@ probability 1/256, and base counts are zero. Empty tables give empty results; ot
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,13 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm.bytegrams import ORDER, blocks, counted, grams, looked_up, merged, streams, summed
+from sievemill.llm.bytegrams import EDGE, ORDER, blocks, counted, grams, looked_up, merged, streams, summed
 from sievemill.llm.common import documents, drop_stash, stash
+from sievemill.llm.segments import BYTES, Prefix
 
 FOLDS, HELD_OUT = 5, 1
 CHUNK_BYTES = 10 << 20
 MOST_BUCKETS = 4096
-#: Chunks whose counts are added up in the first of the two steps.
+#: So many partial counts are added up in one task; more make another step.
 FAN_IN = 64
 ANSWER = "chunk int, kind string, bucket int, payload binary"
 
@@ -113,20 +113,50 @@ def split(values: np.ndarray, where: np.ndarray, buckets: int) -> list[np.ndarra
     return np.split(order, np.searchsorted(where[order], np.arange(1, buckets)))
 
 
+class Words:
+    """The distinct words of a chunk's streams, in the order of a 64-bit hash, and where they stand. (Within a chunk, words
+    are told apart by that hash; from chunk to chunk by their bytes.)"""
+
+    def __init__(self, parts: list[bytes]) -> None:
+        hashes, begins, sizes, self.per_doc, at = [np.empty(0, np.uint64)], [], [], [], 0
+        flat = b"".join(parts)
+        for a, b in blocks(parts):
+            size = sum(map(len, parts[a:b]))
+            data = np.frombuffer(flat, np.uint8, size, at)
+            ends = np.flatnonzero((data == 32) | (data == EDGE[0]))
+            first = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+            full = ends > first
+            hashes.append(Prefix(BYTES[data]).of(first[full], ends[full]))
+            begins.append(first[full] + at)
+            sizes.append(ends[full] - first[full])
+            docs = np.cumsum([len(p) for p in parts[a:b]])
+            self.per_doc.append(np.diff(np.searchsorted(ends[full], docs), prepend=0))
+            at += size
+        self.per_doc = np.concatenate([*self.per_doc, np.empty(0, np.int64)]).astype(np.int64)
+        self.distinct, where, self.which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        begin, size = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)[where] for x in (begins, sizes))
+        self.begin, self.end, self.flat = begin, begin + size, flat
+
+    def names(self, at: np.ndarray) -> bytes:
+        return b" ".join([self.flat[a:b] for a, b in zip(self.begin[at].tolist(), self.end[at].tolist(), strict=True)])
+
+    def by_bucket(self, buckets: int) -> list[np.ndarray]:
+        """Which of the distinct words lie in each bucket; the same for a word in every chunk."""
+        where = (self.distinct % np.uint64(buckets)).astype(np.int64)
+        return split(where, where, buckets)
+
+
 def request(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """What a chunk asks: for each bucket its distinct words and grams, and how often its training texts have them."""
-    words, train = tokens(group["text"]), group["train"].to_numpy(bool)
+    parts, train = streams(tokens(group["text"])), group["train"].to_numpy(bool)
     chunk = int(group["chunk"].iloc[0])
     rows = []
-    ask = {w: 0 for doc in words for w in doc}
-    ask.update(Counter(w for doc, t in zip(words, train, strict=True) if t for w in doc))
-    names = sorted(ask)
-    where = np.array([zlib.crc32(w) % buckets for w in names], np.int64)
-    for b, at in enumerate(split(where, where, buckets)):
+    words = Words(parts)
+    ask = np.bincount(words.which, weights=np.repeat(train, words.per_doc), minlength=len(words.distinct)).astype(np.int64)
+    for b, at in enumerate(words.by_bucket(buckets)):
         if len(at):
-            part = [names[i] for i in at]
-            rows.append((chunk, "word", b, b" ".join(part), np.array([ask[w] for w in part], np.int64).tobytes()))
-    parts = streams(words)
+            rows.append((chunk, "word", b, words.names(at), ask[at].tobytes()))
+    del words
     fit = counted([p for p, t in zip(parts, train, strict=True) if t])
     rest = counted([p for p, t in zip(parts, train, strict=True) if not t])
     keys, counts = merged([fit, (rest[0], np.zeros(len(rest[0]), np.int64))])
@@ -164,12 +194,12 @@ def adder(first: bool):
     def add(group: pd.DataFrame) -> pd.DataFrame:
         kind = group["kind"].iloc[0]
         names, counts = add_words(group) if kind == "word" else add_grams(group, np.uint32 if first else np.int64)
-        return pd.DataFrame({"kind": [kind], "bucket": [group["bucket"].iloc[0]], "names": [names], "counts": [counts], "total": [int(np.frombuffer(counts, np.int64).sum())], "distinct": [len(counts) // 8]})
+        return pd.DataFrame({"kind": [kind], "bucket": [group["bucket"].iloc[0]], "part": [group["part"].iloc[0]], "names": [names], "counts": [counts], "total": [int(np.frombuffer(counts, np.int64).sum())], "distinct": [len(counts) // 8]})
 
     return add
 
 
-COUNTED = "kind string, bucket int, names binary, counts binary, total bigint, distinct bigint"
+COUNTED = "kind string, bucket int, part int, names binary, counts binary, total bigint, distinct bigint"
 
 
 def answerer(pairs: np.ndarray):
@@ -198,35 +228,30 @@ def finisher(buckets: int, n: int, v: int, ends: int):
         return np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
 
     def finish(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        words = tokens(docs["text"])
         got = {(k, b): p for k, b, p in zip(answers["kind"], answers["bucket"], answers["payload"], strict=True)}
-        names = sorted({w for doc in words for w in doc})
-        count = np.zeros(len(names), np.int64)
-        where = np.array([zlib.crc32(w) % buckets for w in names], np.int64)
-        for b, at in enumerate(split(where, where, buckets)):
+        parts = streams(tokens(docs["text"]))
+        words = Words(parts)
+        count = np.zeros(len(words.distinct), np.int64)
+        for b, at in enumerate(words.by_bucket(buckets)):
             if len(at):
                 count[at] = np.frombuffer(got["word", b], np.int64)
-        place = {w: i for i, w in enumerate(names)}
-        log = log10p(count)
-        base, known = np.zeros(len(words)), np.zeros(len(words), np.int64)
-        for i, doc in enumerate(words):
-            at = np.fromiter(map(place.__getitem__, doc), np.int64, len(doc))
-            base[i] = log[at].sum() + log10p(np.array(ends)).item()
-            known[i] = (count[at] > 0).sum() + (ends > 0)
-        parts = streams(words)
+        doc, n_words = np.repeat(np.arange(len(parts)), words.per_doc), words.per_doc
+        base = np.bincount(doc, weights=log10p(count)[words.which], minlength=len(parts)) + log10p(np.array(ends)).item()
+        known = np.bincount(doc, weights=(count > 0)[words.which], minlength=len(parts)).astype(np.int64) + (ends > 0)
+        del words, doc
         keys, _ = counted(parts)
         value = np.zeros(len(keys))
         for b, at in enumerate(split(keys, branch(keys, buckets), buckets)):
             if len(at):
                 value[at] = np.frombuffer(got["gram", b], np.float32)
-        score = np.zeros(len(words))
+        score = np.zeros(len(parts))
         for a, b in blocks(parts):
             g, begins = grams(parts[a:b])
             order = np.argsort(g)
             each = np.empty(len(g))
             each[order] = value[np.searchsorted(keys, g[order])]
             score[a:b] = np.add.reduceat(each, begins)
-        return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": ~docs["train"], "n_tokens": [len(w) + 1 for w in words], "n_known": known, "train_tokens": n, "base_score": base, "score": score})
+        return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": ~docs["train"], "n_tokens": n_words + 1, "n_known": known, "train_tokens": n, "base_score": base, "score": score})
 
     return finish
 
@@ -244,8 +269,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), train.alias("train"), chunk.alias("chunk"))
     asked = stash(rows.groupBy("chunk").applyInPandas(lambda g: request(g, buckets), REQUEST), "asked")
-    first = asked.filter("kind <> 'pair'").groupBy("kind", "bucket", (F.col("chunk") % FAN_IN).alias("part")).applyInPandas(adder(True), COUNTED)
-    known = stash(first.groupBy("kind", "bucket").applyInPandas(adder(False), COUNTED), "known")
+    known, parts, first = asked.filter("kind <> 'pair'").withColumnRenamed("chunk", "part"), chunks, True
+    while first or parts > 1:
+        parts = -(-parts // FAN_IN)
+        known = known.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("kind", "bucket", "part").applyInPandas(adder(first), COUNTED)
+        first = False
+    known = stash(known, "known")
     pairs, ends = pair_counts(asked)
     n, v = known.filter("kind = 'word'").agg(F.sum("total"), F.sum("distinct")).first()
     n, v = (n or 0) + ends, (v or 0) + (ends > 0)

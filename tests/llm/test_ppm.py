@@ -50,8 +50,10 @@ class Brute:
         return total
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 24, 3000])
-def test_against_brute_force(spark, chunk_bytes):
+@pytest.mark.parametrize("chunk_bytes, fan_in", [(1 << 24, 64), (3000, 64), (100, 3)])
+def test_against_brute_force(spark, monkeypatch, chunk_bytes, fan_in):
+    """Chunks of 100 bytes are shorter than some texts and take several steps of the tree."""
+    monkeypatch.setattr(ppm, "FAN_IN", fan_in)
     texts = ["The cat sat on the mat.\nThe CAT sat.", "", None, "a b", "Ünïcode wörds, the cat", "zzzz qqq the mat", "the cat sat on the mat " * 30]
     rows = [(i, texts[i % 7] and texts[i % 7] + " x%d" % (i % 3)) for i in range(60)] + [(None, "the cat"), (5, "the cat"), (5, "the cat")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit("x")).withColumn("train", F.lit(1))
