@@ -34,7 +34,7 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, depth: int) -> None:
         self.depth = depth
-        order = suffix_array(text, 1, depth)
+        order, _ = suffix_array(text, 1, depth)
         bwt = text[order - 1]
         size = int(text.max()) + 1 if len(text) else 1
         self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(text, minlength=size))])

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(first: np.ndarray, width: int, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` units or more. first: ranks of the suffixes by their first ``width``
-    units. Every round doubles the width; only groups of suffixes that are still equal are sorted again, by the rank of
-    what follows."""
+def suffix_array(first: np.ndarray, width: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, tied): suffixes in the order of their first ``depth`` units or more; by place, whether the suffix is still
+    equal to the one before it. first: ranks of the suffixes by their first ``width`` units. Every round doubles the width;
+    only groups of suffixes that are still equal are sorted again, by the rank of what follows."""
     n = len(first)
     order = np.argsort(first, kind="stable")
     rank = np.empty(n + 1, np.int64)
@@ -30,7 +30,9 @@ def suffix_array(first: np.ndarray, width: int, depth: int) -> np.ndarray:
         size = np.diff(np.flatnonzero(np.concatenate([[True], last])))
         todo = todo[np.repeat(size > 1, size)]
         width *= 2
-    return order
+    tied = np.zeros(n, bool)
+    tied[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+    return order, tied
 
 
 def group_ends(ordered: np.ndarray) -> np.ndarray:
@@ -63,27 +65,33 @@ def words8(data: np.ndarray, extra: int) -> np.ndarray:
     return out
 
 
+#: The least 64-bit words with 1, 2, ... 8 bytes from the first that isn't zero.
+STEPS = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
+
+
 def common(words: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix from places a and b on, of which ``known`` bytes are known, up to ``most``."""
-    out = known.copy()
-    live = np.flatnonzero(out < most)
-    while len(live):
-        x = words[a[live] + out[live]] ^ words[b[live] + out[live]]
-        same = np.zeros(len(x), np.int64)
-        for bits in range(0, 64, 8):
-            same += x < np.uint64(1) << np.uint64(bits)
-        differ = x != 0
-        out[live] += same
-        live = live[~differ & (out[live] < most)]
+    last = len(words) - 1
+    x, y = a + known, b + known
+    same = 8 - STEPS.searchsorted(words[x] ^ words[y], side="right")
+    out = known + same
+    on = np.flatnonzero((same == 8) & (out < most))
+    if len(on):
+        # few are left as a rule, with long prefixes: all their words at once
+        ahead = 8 * np.arange(1, -(-most // 8) + 1)
+        differ = words[np.minimum(x[on, None] + ahead, last)] ^ words[np.minimum(y[on, None] + ahead, last)]
+        stop = (differ != 0).argmax(axis=1)
+        word = differ[np.arange(len(on)), stop]
+        out[on] += np.where(word == 0, most, 8 * stop + 8 - STEPS.searchsorted(word, side="right"))
     return np.minimum(out, most)
 
 
-def kasai(words: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+def kasai(words: np.ndarray, order: np.ndarray, tied: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
     """By text place: the common prefix with the suffix before it in the order, up to ``most``.
 
     Kasai's bound (a place's common prefix is at least its left neighbour's less one) is used along all the pieces that
-    begin at ``starts`` at once, one place of each at a time. The order may be by the first ``most`` bytes or more only, so
-    behind a prefix of ``most`` bytes the bound holds just for the place that follows the same suffix; else it starts at 0."""
+    begin at ``starts`` at once, one place of each at a time. It needs a strict order: behind a suffix that is tied with the
+    one before it, it holds just for the place that follows that same suffix; else it starts at 0."""
     n = len(order)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
@@ -91,18 +99,18 @@ def kasai(words: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int) -
     sizes = np.diff(np.append(starts, n))
     by = np.argsort(-sizes, kind="stable")
     heads, sizes = starts[by], sizes[by]
-    held, past = np.zeros(len(heads), np.int64), np.full(len(heads), -1, np.int64)
+    held, past, loose = np.zeros(len(heads), np.int64), np.full(len(heads), -1, np.int64), np.zeros(len(heads), bool)
     for t in range(int(sizes[0]) if len(sizes) else 0):
         k = int(np.searchsorted(-sizes, -t, side="left"))
         at = heads[:k] + t
         prev = before[at]
         low = np.maximum(held[:k] - 1, 0)
-        low[(prev < 0) | (held[:k] >= most) & (prev != past[:k] + 1)] = 0
+        low[(prev < 0) | loose[:k] & (prev != past[:k] + 1)] = 0
         length = np.zeros(k, np.int64)
         ok = np.flatnonzero(prev >= 0)
         length[ok] = common(words, at[ok], prev[ok], low[ok], most)
         out[at] = length
-        held[:k], past[:k] = length, prev
+        held[:k], past[:k], loose[:k] = length, prev, tied[at]
     return out
 
 

@@ -40,14 +40,15 @@ def judge(length: int):
         at = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
         places = begin[seg] + at
         if other is None:
-            order = suffix.suffix_array(suffix.packed(data, 7), 7, length)
-            shared = suffix.kasai(words, order, begin, length) >= length
+            # to the end of the longest piece, so that few suffixes stay tied
+            order, tied = suffix.suffix_array(suffix.packed(data, 7), 7, max(map(len, pieces)) + 1)
+            shared = suffix.kasai(words, order, tied, begin, length) >= length
             either = shared.copy()
             either[order[:-1]] |= shared[order[1:]]
             hit = either[places]
         else:
             theirs, _ = joined(other)
-            order = suffix.suffix_array(suffix.packed(theirs, 7), 7, length)
+            order, _ = suffix.suffix_array(suffix.packed(theirs, 7), 7, length)
             hit = suffix.find_equal(suffix.words8(theirs, length + 8), order, words, places, length)
         return ranges(seg, at, hit)
 
