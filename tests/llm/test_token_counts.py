@@ -31,6 +31,16 @@ def test_against_brute_force(spark, sf):
         assert sorted(r["n_tokens"] for r in t.count_tokens(docs, pieces, most=most).collect()) == want
 
 
+def test_counts_are_near_those_of_the_files_own_merges(spark, sf):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=t.VOCABULARY)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    own = sum(len(model.encode(r["text"] or "")) for r in docs.collect())
+    ours = t.count_tokens(docs).groupBy().sum("n_tokens").first()[0]
+    assert abs(ours - own) < 0.02 * own
+
+
 def test_shared_prefixes_are_scored_once():
     trie = t.Trie({c: -1.0 for c in "abcdefgh"})
     assert trie.counts(["abcd", "abce", "abf"]) == [4, 4, 3]
