@@ -1,17 +1,18 @@
 """URL filter by a cascade of Bloom filters: exact membership without joins.
 
 A rule is (host, path, verdict). It fits its host and every subdomain if the url's path starts with the rule's path.
-The keys that could name a rule for a url are each suffix of its host (cut at dots) with each prefix of its path that is
-as long as some rule's path. The universe is all such keys of the whole corpus. For the rules of each verdict, level 1 of
+The keys that could name a rule for a url are each suffix of its host that has as many labels as some rule's host, with
+each prefix of its path that is as long as some rule's path. The universe is all such keys of the whole corpus. For the rules of each verdict, level 1 of
 the cascade encodes the listed keys, level 2 the keys of the universe that level 1 wrongly holds, level 3 the listed keys
 that level 2 wrongly holds, and so on until no error is left: over this universe, membership is exact. A key belongs to
 the list if the first level that doesn't hold it has an even number. The longest key that belongs gives rule and verdict;
 with none, the url isn't listed and is allowed.
 
-Size: level 1 has 10 bits and more for each listed key, so that few keys of the universe pass it; every later level
+Size: level 1 has about 35 bits for each listed key, so that few keys of the universe pass it; every later level
 encodes errors, of which there are fewer each time. The size is measured: a cascade of more than ``max_bytes`` is refused
 (``OverflowError``) rather than broadcast. Later levels are built from distinct keys that passed, which are found in the
-executors; only those (at most ``max_errors``) reach the driver.
+executors; only those (at most ``max_errors``) reach the driver. One scan finds them for the lists of all verdicts. A key with the hash of a
+listed one would pass all levels; then all is built again with salted hashes.
 
 Null urls and urls without ``://`` have empty host and path and fit no rule. Rules with an empty path fit every path.
 Rows that repeat give equal rows; an empty table gives an empty result; other columns are ignored.
@@ -40,6 +41,8 @@ RULES = (
 DEFAULT = "allow"
 MAX_BYTES = 64 << 20
 MAX_ERRORS = 5_000_000
+#: Share of other keys that level 1 holds: about 35 bits for each listed key.
+FIRST_RATE = 2.0**-24
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -51,20 +54,26 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Keys host suffix + path prefix, longest first (of equally long ones, the longer host first)."""
-    labels = F.split(host, "\\.")
-    suffixes = F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    per_host = F.transform(suffixes, lambda h: F.array(*[F.when(F.char_length(path) >= n, F.struct((-(F.char_length(h) + n)).alias("less"), (-F.char_length(h)).alias("host"), F.concat(h, F.lit("\x00"), F.substring(path, 1, n)).alias("key"))) for n in lengths]))
-    keys = F.array_sort(F.filter(F.flatten(per_host), lambda k: k.isNotNull()))
-    return F.transform(keys, lambda k: k["key"])
+def candidates(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """Keys host suffix + path prefix, longest first (of equally long ones, the longer host first). labels: how many labels
+    rules' hosts have; lengths: how long rules' paths are."""
+    n = F.when(host == "", 0).otherwise(F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1)
+    suffix = lambda k: F.substring_index(host, ".", -k)
+    pairs = [
+        F.when((n >= k) & (F.char_length(path) >= m), F.struct((-(F.char_length(suffix(k)) + m)).alias("less"), (-F.char_length(suffix(k))).alias("host"), F.concat(suffix(k), F.lit("\x00"), F.substring(path, 1, m)).alias("key")))
+        for k in labels
+        for m in lengths
+    ]
+    if not pairs:
+        return F.array().cast("array<string>")
+    return F.transform(F.array_sort(F.filter(F.array(*pairs), lambda k: k.isNotNull())), lambda k: k["key"])
 
 
-def with_keys(pages: DataFrame, lengths: list[int], id_col: str, url_col: str) -> DataFrame:
+def with_keys(pages: DataFrame, labels: list[int], lengths: list[int], id_col: str, url_col: str) -> DataFrame:
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url"))
     host, path = split_url(F.col("_url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
-    return rows.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
+    return rows.withColumn("keys", candidates(F.col("host"), F.col("path"), labels, lengths))
 
 
 class Bloom:
@@ -103,8 +112,13 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def key_hash(keys: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(k.encode(), 42) for k in keys], np.uint64)
+def key_hash(keys: list[str], salt: str = "") -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest((salt + k).encode(), 42) for k in keys], np.uint64)
+
+
+def hashed(key: Column, salt: str) -> Column:
+    """What key_hash gives, as a signed long."""
+    return F.xxhash64(F.concat(F.lit(salt), key) if salt else key)
 
 
 class Cascade:
@@ -128,46 +142,75 @@ class Cascade:
         return self.passed(hashes) % 2 == 1
 
 
-def build(universe: DataFrame, listed: list[str], max_bytes: int = MAX_BYTES, max_errors: int = MAX_ERRORS) -> Cascade:
-    """Cascade for listed keys over universe (a DataFrame of one column, key; it may repeat keys)."""
-    listed = sorted(set(listed))
-    if not listed:
-        return Cascade([])
-    ours = key_hash(listed)
-    first = Bloom(ours, 2.0**-24, 1)
-    if len(first.data) > max_bytes:
-        raise OverflowError(f"level 1 takes {len(first.data)} bytes")
+class Clash(Exception):
+    """A key of the universe has the hash of a listed one, so no filter over hashes can tell them apart."""
+
 
-    @F.pandas_udf("boolean")
+def build(universe: DataFrame, lists: list[list[str]], max_bytes: int = MAX_BYTES, max_errors: int = MAX_ERRORS, salt: str = "") -> list[Cascade]:
+    """A cascade for each list of keys over universe (a DataFrame of one column, key; it may repeat keys), in one scan."""
+    lists = [sorted(set(x)) for x in lists]
+    firsts = [Bloom(key_hash(x, salt), FIRST_RATE, 1) if x else None for x in lists]
+    size = sum(len(x.data) for x in firsts if x)
+    if size > max_bytes:
+        raise OverflowError(f"level 1 takes {size} bytes")
+    if len(lists) > 62:
+        raise ValueError("more than 62 lists")
+
+    @F.pandas_udf("bigint")
     def passes(h: pd.Series) -> pd.Series:
-        return pd.Series(first.holds(h.to_numpy().astype(np.int64).view(np.uint64)))
+        values = h.to_numpy().astype(np.int64).view(np.uint64)
+        out = np.zeros(len(values), np.int64)
+        for i, x in enumerate(firsts):
+            if x:
+                out |= x.holds(values).astype(np.int64) << i
+        return pd.Series(out)
 
-    wrong = universe.filter(passes(F.xxhash64("key"))).distinct()
-    known = set(listed)
-    theirs = [r[0] for r in wrong.limit(max_errors + len(known) + 1).collect()]
-    theirs = [k for k in theirs if k not in known]
-    if len(theirs) > max_errors:
+    listed = sum(map(len, lists))
+    passed = universe.select("key", passes(hashed(F.col("key"), salt)).alias("which")).filter("which <> 0").distinct() if listed else None
+    found = passed.limit(max_errors + listed + 1).collect() if listed else []
+    out = []
+    for i, (ours, first) in enumerate(zip(lists, firsts, strict=True)):
+        known = set(ours)
+        theirs = [r["key"] for r in found if r["which"] >> i & 1 and r["key"] not in known]
+        if len(theirs) > max_errors:
+            raise OverflowError(f"more than {max_errors} keys pass level 1")
+        out.append(cascade(first, key_hash(ours, salt), key_hash(theirs, salt)) if first else Cascade([]))
+    if len(found) > max_errors + listed:
         raise OverflowError(f"more than {max_errors} keys pass level 1")
-    levels, even, odd = [first], key_hash(theirs), ours
+    if sum(c.n_bytes for c in out) > max_bytes:
+        raise OverflowError(f"the cascades take more than {max_bytes} bytes")
+    return out
+
+
+def cascade(first: Bloom, odd: np.ndarray, even: np.ndarray) -> Cascade:
+    """All levels: each encodes the keys that the last one wrongly holds. odd: listed keys; even: others that first holds."""
+    if np.isin(even, odd).any():
+        raise Clash
+    levels = [first]
     while len(even):
         level = Bloom(even, 0.5 if len(levels) > 1 else 2.0**-8, len(levels) + 1)
         levels.append(level)
         odd = odd[level.holds(odd)]
         even, odd = odd, even
-    out = Cascade(levels)
-    if out.n_bytes > max_bytes:
-        raise OverflowError(f"the cascade takes {out.n_bytes} bytes")
-    return out
+    return Cascade(levels)
 
 
 def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT, id_col: str = "page_id", url_col: str = "url", max_bytes: int = MAX_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row. rules: (host, path, verdict) triples; of rules for the same host and path the last counts."""
     table = {(h.lower(), p): v for h, p, v in rules}
-    lengths = sorted({len(p) for _, p in table}) or [0]
-    rows = with_keys(pages, lengths, id_col, url_col)
+    lengths, labels = sorted({len(p) for _, p in table}), sorted({h.count(".") + 1 for h, _ in table})
+    rows = with_keys(pages, labels, lengths, id_col, url_col)
     universe = rows.select(F.explode("keys").alias("key"))
     verdicts = sorted(set(table.values()))
-    cascades = [build(universe, [f"{h}\x00{p}" for (h, p), v in table.items() if v == verdict], max_bytes) for verdict in verdicts]
+    lists = [[f"{h}\x00{p}" for (h, p), v in table.items() if v == verdict] for verdict in verdicts]
+    for salt in ("", "1", "2", "3"):
+        try:
+            cascades = build(universe, lists, max_bytes, salt=salt)
+            break
+        except Clash:
+            continue
+    else:
+        raise ValueError("keys share hashes, however salted")
 
     @F.pandas_udf("array<int>")
     def find(hashes: pd.Series) -> pd.Series:
@@ -186,7 +229,7 @@ def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT, id_col: str = "
             out[r] = [int(x - ends[r] + sizes[r] + 1), int(which[x] - 1)]
         return pd.Series(out)
 
-    found = rows.withColumn("found", find(F.transform("keys", lambda k: F.xxhash64(k))))
+    found = rows.withColumn("found", find(F.transform("keys", lambda k: hashed(k, salt))))
     rule = F.translate(F.element_at("keys", F.col("found")[0]), "\x00", "")
     names = F.array(*[F.lit(v) for v in verdicts]) if verdicts else F.array(F.lit(default))
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(F.when(F.col("found").isNotNull(), names[F.col("found")[1]]), F.lit(default)).alias("verdict"))

@@ -135,6 +135,30 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_filter_with_hosts_of_very_many_labels(spark):
+    urls = ["http://" + "a." * 200_000 + "www.example.com/en/", "http://" + "." * 300_000, "http://" + "x" * 500_000 + ".net/fr/" + "y" * 500_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [(r["rule"], r["verdict"]) for r in url_filter.judge(pages).orderBy("page_id").collect()] == [("www.example.com/en/", "allow"), (None, "allow"), ("net/fr/", "block")]
+
+
+def test_url_filter_salts_hashes_that_clash(spark, monkeypatch):
+    asked = []
+
+    def cascade(*levels):
+        asked.append(levels)
+        if len(asked) < 3:
+            raise url_filter.Clash
+        return real(*levels)
+
+    real = url_filter.cascade
+    monkeypatch.setattr(url_filter, "cascade", cascade)
+    pages = spark.createDataFrame([(1, "http://a.example.com/en/x"), (2, "http://x.net/es/")], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.judge(pages).orderBy("page_id").collect()] == ["block", "block"]
+    assert [r["verdict"] for r in url_filter.judge(pages, rules=()).collect()] == ["allow", "allow"]
+    with pytest.raises(url_filter.Clash):
+        real(url_filter.Bloom(np.array([1], np.uint64), 0.5, 1), np.array([1], np.uint64), np.array([1], np.uint64))
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = [f"k{i}" for i in range(20000)]
     listed = universe[::7]
@@ -148,13 +172,13 @@ def test_cascade_is_exact_over_its_universe(spark):
 
     url_filter.Bloom = Weak
     try:
-        c = url_filter.build(spark.createDataFrame([(k,) for k in universe], "key string").repartition(3), listed)
+        c = url_filter.build(spark.createDataFrame([(k,) for k in universe], "key string").repartition(3), [listed, []])[0]
     finally:
         url_filter.Bloom = first
     assert len(c.levels) > 3
     assert c.belongs(url_filter.key_hash(universe)).tolist() == [i % 7 == 0 for i in range(20000)]
     with pytest.raises(OverflowError):
-        url_filter.build(spark.createDataFrame([("a",)], "key string"), listed, max_bytes=10)
+        url_filter.build(spark.createDataFrame([("a",)], "key string"), [listed], max_bytes=10)
 
 
 # Mixing
