@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm import curriculum, decontaminate, exact_dedup, kneser_ney, similar
-from sievemill.llm.common import documents, stash
+from sievemill.llm.common import documents, stash, sweep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +46,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark, docs)
     return docs
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -15,12 +16,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 _OWN: list[str] = []
+_MADE: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local master gets one of its own (tests);
+    on a cluster that is an error, as executors wouldn't see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="sievemill-"))
         named = _OWN[0]
@@ -28,7 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
+
+
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete all that operators have left in the shared folder, once their results are written; but for stashed tables."""
+    kept = {df._stash_path for df in keep}
+    for path in sorted(_MADE - kept):
+        drop_path(spark, path)
 
 
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -68,6 +82,7 @@ def _stash(df: DataFrame, name: str) -> DataFrame:
 def drop_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.discard(path)
 
 
 def drop_stash(df: DataFrame) -> None:
