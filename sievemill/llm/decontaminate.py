@@ -1,14 +1,14 @@
-"""Benchmark decontamination with a broadcast set of normalised test windows.
+"""Benchmark decontamination with a broadcast hash set of normalised test windows.
 
 Normal form: A-Z lower-cased, then maximal runs of digits, lower-case letters and non-ASCII characters are words. A
 benchmark item of ten words or more gives every window of ten consecutive words; a shorter one that isn't empty is a
-window by itself. A document is scanned once: a position is looked at only if its word is the longest word of some
-window (its anchor, the first of several). From each such position the words around it are cut out, joined with the
-windows of that anchor on the hash of the anchor, and compared word by word. Spans of verified windows are united per
-document.
+window by itself. A document is scanned once: every window of its words, of each length that test windows have, is looked
+up by its hash in the set, a hash of word hashes, and what is found is compared word by word. Spans of verified windows are
+united per document. Generating, looking up and comparing are one stage, so windows that aren't in the set are never
+written anywhere.
 
-The set of windows is broadcast only while its measured size is at most ``broadcast_bytes``; beyond that the join is
-shuffled on the anchor and the anchors are not listed in the scan. Only DataFrame functions are used.
+The set is broadcast only while its measured size is at most ``broadcast_bytes``; beyond that the join is by exchange on
+the hash. Only DataFrame functions are used.
 
 Null and empty texts have no words and no hits. Ids that repeat are told apart by the text; rows that repeat wholly give
 equal rows. Benchmark items with a null text give no window; a null item id is written as an empty string. Empty tables
@@ -20,12 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import ascii_lower, documents
+from sievemill.llm.common import ascii_lower, bounded_broadcast, documents, stash, unused
 
 WINDOW = 10
-BROADCAST_BYTES = 16 << 20
-#: Anchors listed as a literal set in the scan at most; more are joined.
-LISTED = 20_000
+BROADCAST_BYTES = 64 << 20
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -34,68 +32,63 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
 
+def window_hash(hashes: Column, at: Column, n: int | Column) -> Column:
+    """Hash of n words from a place on (from 0), from the words' hashes."""
+    return F.xxhash64(F.slice(hashes, at + 1, n))
+
+
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def windows(benchmark: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, win, n, anchor, at): distinct windows of each item, win being the joined words, at the anchor's place."""
+    """(win, n, h, items): distinct windows as joined words, their number, their hash, and the items that have them."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"), words_of(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).alias("words")).filter("size(words) > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))
-    rows = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i + 1, size))).alias("w")).distinct()
-    longest = F.array_max(F.transform("w", lambda x: F.char_length(x)))
-    at = F.array_position(F.transform("w", lambda x: F.char_length(x)), longest)
-    return rows.select("item_id", F.array_join("w", " ").alias("win"), F.size("w").alias("n"), F.element_at("w", at.cast("int")).alias("anchor"), (at - 1).cast("int").alias("at"))
-
-
-def scan(docs: DataFrame, wins: DataFrame, size: int, id_col: str, text_col: str, broadcast_bytes: int) -> DataFrame:
-    """A row for each document row that has no candidate, else one for each candidate position, with what it hit."""
-    cached = wins.groupBy("anchor", "win", "n", "at").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    bytes_, count = cached.agg(F.sum(F.octet_length("win") + F.octet_length("anchor") + F.size("items") * 16 + 64), F.countDistinct("anchor")).first()
-    small = (bytes_ or 0) <= broadcast_bytes
-    by_anchor = cached.groupBy("anchor").agg(F.collect_list(F.struct("win", "n", "at", "items")).alias("wins"))
-    if small and (count or 0) <= LISTED:
-        listed = [r[0] for r in by_anchor.select("anchor").collect()]
-        is_anchor = (lambda w: w.isin(listed)) if listed else (lambda w: F.lit(False))
-    else:
-        is_anchor = lambda w: F.lit(True)
+    rows = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i + 1, size))).alias("w"))
+    return rows.groupBy(F.array_join("w", " ").alias("win"), F.size("w").alias("n"), F.xxhash64(hashes_of(F.col("w"))).alias("h")).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
+def scan(docs: DataFrame, wins: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> DataFrame:
+    """(doc_id, th, n_words, s, e, items): a row for each document row, with nulls, and one for each window that it has."""
+    sizes, bytes_ = wins.agg(F.array_sort(F.collect_set("n")), F.sum(F.octet_length("win") + F.size("items") * 16 + 64)).first()
+    wins = F.broadcast(wins) if (bytes_ or 0) <= broadcast_bytes else wins.hint("shuffle_hash")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), words_of(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).alias("words"))
-    indexed = F.transform("words", lambda w, i: F.when(is_anchor(w), i))
-    places = F.filter(indexed, lambda i: i.isNotNull())
-    cut = F.transform(
-        places,
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.greatest(i - (size - 1), F.lit(0)).alias("first"),
-            F.element_at("words", i + 1).alias("anchor"),
-            F.slice("words", F.greatest(i - (size - 1), F.lit(0)) + 1, F.least(i, F.lit(size - 1)) + size).alias("near"),
-        ),
-    )
-    kind = "struct<pos:int,first:int,anchor:string,near:array<string>>"
-    mark = F.array(F.lit(None).cast(kind))
-    rows = rows.select("doc_id", "th", F.size("words").alias("n_words"), F.explode(F.concat(mark, cut.cast(f"array<{kind}>"))).alias("c")).select("doc_id", "th", "n_words", "c.*")
-    rows = rows.join(F.broadcast(by_anchor) if small else by_anchor, "anchor", "left")
-    fits = F.filter("wins", lambda x: (F.col("pos") >= x["at"]) & (F.array_join(F.slice("near", F.col("pos") - x["at"] - F.col("first") + 1, x["n"]), " ") == x["win"]))
-    hits = F.transform(F.when(F.col("pos").isNotNull(), fits), lambda x: F.struct((F.col("pos") - x["at"]).alias("s"), (F.col("pos") - x["at"] + x["n"]).alias("e"), x["items"].alias("items")))
-    return rows.select("doc_id", "th", "n_words", F.col("pos").isNull().alias("mark"), hits.alias("hits")).filter("mark or size(hits) > 0")
+    rows = rows.withColumn("hashes", hashes_of(F.col("words")))
+    place = lambda i, h: F.struct(i.cast("int").alias("s"), h.alias("h"))
+
+    def places(n: int) -> Column:
+        starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: place(i, window_hash(F.col("hashes"), i, n)))
+
+    mark = F.array(place(F.lit(-1), F.lit(None).cast("bigint")))
+    rows = rows.select("doc_id", "th", "words", F.explode(F.concat(mark, *[places(n) for n in sizes])).alias("p")).select("doc_id", "th", "words", "p.s", "p.h")
+    met = rows.join(wins, "h", "left")
+    same = F.array_join(F.slice("words", F.col("s") + 1, F.col("n")), " ") == F.col("win")
+    met = met.filter((F.col("s") < 0) | F.col("win").isNotNull() & same)
+    found = lambda c: F.when(F.col("s") >= 0, c)
+    return met.select("doc_id", "th", F.size("words").alias("n_words"), found(F.col("s")).alias("s"), found(F.col("s") + F.col("n")).alias("e"), found(F.col("items")).alias("items"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row per input row: doc_id, th, n_words, spans (disjoint [s, e) word ranges, sorted), items (sorted ids).
 
     What a group holds is bounded by the length of one document times the number of its copies under the same id."""
-    rows = scan(docs, windows(benchmark, size), size, id_col, text_col, broadcast_bytes)
-    flat = rows.select("doc_id", "th", "n_words", "mark", F.explode_outer("hits").alias("h"))
-    groups = flat.groupBy("doc_id", "th", "n_words").agg(
-        F.sum(F.col("mark").cast("long")).alias("copies"),
-        F.array_sort(F.collect_set(F.struct(F.col("h.s").alias("s"), F.col("h.e").alias("e")))).alias("pairs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("h.items")))).alias("items"),
+    rows = scan(docs, windows(benchmark, size), id_col, text_col, broadcast_bytes)
+    groups = rows.groupBy("doc_id", "th", "n_words").agg(
+        F.sum(F.col("s").isNull().cast("long")).alias("copies"),
+        F.array_sort(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "e")))).alias("pairs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    empty = F.array().cast("array<struct<s:int,e:int>>")
     pair = "struct<s:int,e:int>"
+    empty = F.array().cast(f"array<{pair}>")
     merged = F.aggregate(
-        F.filter("pairs", lambda p: p["s"].isNotNull()).cast(f"array<{pair}>"),
+        F.col("pairs").cast(f"array<{pair}>"),
         empty,
         lambda acc, p: F.when((F.size(acc) > 0) & (p["s"] <= F.element_at(acc, -1)["e"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], p["e"]).alias("e")).cast(pair)))).otherwise(F.concat(acc, F.array(p))),
     )
-    out = groups.select("doc_id", "th", "n_words", "copies", merged.alias("spans"), "items")
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_i", "copies")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return groups.select("doc_id", "th", "n_words", merged.alias("spans"), "items", each.alias("copy")).drop("copy")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -111,19 +104,26 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
     )
 
 
+def hit_rows(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, str, Column]:
+    """(one column with (doc_id, th, spans) of rows with hits, its name, which of docs' rows it means)."""
+    name = unused(docs, "hit")
+    bad = hits(docs, benchmark, size, id_col, text_col).filter("size(spans) > 0").select(F.struct("doc_id", "th", "spans").alias(name)).distinct()
+    bad = bounded_broadcast(stash(bad, "hits"))
+    return bad, name, docs[id_col].eqNullSafe(bad[name]["doc_id"]) & (F.xxhash64(docs[text_col]) == bad[name]["th"])
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, all columns, in which no window occurs."""
-    bad = hits(docs, benchmark, size, id_col, text_col).filter("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_col]) == bad["_th"]), "left_anti")
+    bad, _, same = hit_rows(docs, benchmark, size, id_col, text_col)
+    return docs.join(bad, same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, all columns; where windows occur, text is its normal form without the hit words."""
-    bad = hits(docs, benchmark, size, id_col, text_col).filter("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "spans").distinct()
-    rows = docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_col]) == bad["_th"]), "left")
-    words = words_of(ascii_lower(F.col(text_col)))
-    left = F.filter(words, lambda w, i: ~F.exists("spans", lambda p: (p["s"] <= i) & (i < p["e"])))
-    return rows.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.array_join(left, " "))).select(docs.columns)
+    bad, name, same = hit_rows(docs, benchmark, size, id_col, text_col)
+    spans = F.col(name)["spans"]
+    left = F.filter(words_of(ascii_lower(F.col(text_col))), lambda w, i: ~F.exists(spans, lambda p: (p["s"] <= i) & (i < p["e"])))
+    return docs.join(bad, same, "left").withColumn(text_col, F.when(spans.isNull(), F.col(text_col)).otherwise(F.array_join(left, " "))).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

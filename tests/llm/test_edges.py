@@ -113,6 +113,9 @@ def test_decontaminate(spark, limit):
     assert decontaminate.remove_documents(docs, b).count() == sum(n == 0 for _, _, n, _ in want)
     left = decontaminate.remove_spans(docs, b)
     assert left.columns == docs.columns and left.count() == len(rows)
+    named = docs.withColumnsRenamed({c: n for c, n in zip([c for c in docs.columns if c not in ("doc_id", "text")], ("spans", "hit", "_id", "_th"), strict=False)})
+    assert decontaminate.remove_spans(named, b).columns == named.columns
+    assert decontaminate.remove_spans(named, b).count() == len(rows)
 
 
 # URL filter
