@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,10 +113,12 @@ def unused(df: DataFrame, stem: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner delete shuffle files of finished steps."""
-    import gc
-
+    """Let the context cleaner delete shuffle files of finished steps, and give the driver's freed memory back."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
     spark._jvm.System.gc()
 
 

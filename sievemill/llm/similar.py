@@ -11,7 +11,7 @@ group's keys leave another group whole (pigeonhole): at a similarity of just 0.8
 probability 0.42 and of any with 0.98; at 0.85 with 0.998. The README has the recall measured on documents.
 
 Texts that share a key are compared by their fingerprints first: a pair further apart than ``APART`` bits can't be linked
-(its similarity would have to be a deviation of five and more sigma). What is left is compared in full, by its sets, made
+(it would be four deviations above what 0.8 gives; for sets of a few shingles the bound is wider). What is left is compared in full, by its sets, made
 again from the texts. Pairs come in three rounds, each leaving out pairs that are in one component already: every text
 with the nearest of its keys' heads (a key's head is its text with the least hash, the same for most keys of a family),
 then with its keys' other heads, then, within keys whose texts are still in several components, with texts of other
@@ -46,7 +46,9 @@ WIDTH = 23
 #: 64-bit words of a fingerprint.
 WORDS = -(-GROUPS * SEGMENTS * WIDTH // 64)
 #: Of 483 bits, pairs at 0.8 differ in 73 on the average, with a deviation of 8; unrelated ones in 241.
-APART = 130
+APART = 105
+#: Sets of fewer shingles get a wider bound.
+FEW = 30
 BLOCK = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MARKED = "doc_id bigint, th bigint, sid bigint, n int, bits array<bigint>, keys array<bigint>"
@@ -200,10 +202,14 @@ def side(df: DataFrame, x: str, *values: str) -> DataFrame:
     return df.select(F.col("sid").alias(x), *[F.col(v).alias(v + x) for v in values])
 
 
+def apart(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.col(f"bits{x}")[i].bitwiseXOR(F.col(f"bits{y}")[i])) for i in range(WORDS)), F.lit(0))
+
+
 def near(x: str, y: str) -> Column:
-    """Whether two rows' sizes and fingerprints allow a link."""
-    apart = sum((F.bit_count(F.col(f"bits{x}")[i].bitwiseXOR(F.col(f"bits{y}")[i])) for i in range(WORDS)), F.lit(0))
-    return (5 * F.least(f"n{x}", f"n{y}") >= 4 * F.greatest(f"n{x}", f"n{y}")) & (apart <= APART)
+    """Whether two rows' sizes and fingerprints allow a link. Sums over few shingles are often zero, so their signs vary."""
+    least, most = F.least(f"n{x}", f"n{y}"), F.greatest(f"n{x}", f"n{y}")
+    return (5 * least >= 4 * most) & (apart(x, y) <= F.when(least < FEW, APART + 30).otherwise(APART))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -218,14 +224,14 @@ def rooted(df: DataFrame, roots: DataFrame, x: str) -> DataFrame:
     return df.join(roots.select(F.col("node").alias(x), F.col("root").alias("r")), x, "left").withColumn(f"root{x}", F.coalesce("r", x)).drop("r")
 
 
-def links(nodes: DataFrame, keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of linked sets. nodes: (sid, n, bits); keys: (g, sid), of keys that several sets have."""
-    heads = keys.groupBy("g").agg(F.min_by("sid", F.xxhash64("sid")).alias("b"))
-    stars = keys.join(heads, "g").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+def links(nodes: DataFrame, pairs: DataFrame, keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of linked sets. nodes: (sid, n, bits); pairs: (a, b) that share a key with nobody else; keys: (g, sid),
+    of keys that more sets have."""
     of = nodes.select("sid", "n", "bits")
-    apart = sum((F.bit_count(F.col("bitsa")[i].bitwiseXOR(F.col("bitsb")[i])) for i in range(WORDS)), F.lit(0))
+    heads = keys.groupBy("g").agg(F.min_by("sid", F.xxhash64("sid")).alias("b"))
+    stars = keys.join(heads, "g").filter("sid <> b").select(F.col("sid").alias("a"), "b").union(pairs).distinct()
     stars = stars.join(side(of, "a", "n", "bits"), "a").join(side(of, "b", "n", "bits"), "b").filter(near("a", "b"))
-    stars = stash(stars.select("a", "b", apart.alias("apart")), "stars")
+    stars = stash(stars.select("a", "b", apart("a", "b").alias("apart")), "stars")
     one = stash(stars.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "one")
     edges = linked(one, sets)
     roots = stash(components(edges), "roots")
@@ -238,9 +244,12 @@ def links(nodes: DataFrame, keys: DataFrame, sets: DataFrame) -> DataFrame:
     roots = stash(components(edges), "roots")
     placed = rooted(keys.withColumnRenamed("sid", "a"), roots, "a")
     still = placed.groupBy("g").agg(F.min("roota").alias("x"), F.max("roota").alias("y")).filter("x <> y").select("g")
-    placed = stash(placed.join(still, "g", "left_semi").join(side(of, "a", "n", "bits"), "a"), "open")
-    other = placed.select("g", *[F.col(f"{c}a" if c else "a").alias(f"{c}b" if c else "b") for c in ("", "root", "n", "bits")])
-    cross = placed.join(other, "g").filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near("a", "b")).select("a", "b").distinct()
+    placed = stash(placed.join(still, "g", "left_semi"), "open")
+    own = placed.groupBy("a").agg(F.collect_set("g").alias("keysa"))
+    rows = placed.join(own, "a").join(side(of, "a", "n", "bits"), "a")
+    other = rows.withColumnsRenamed({f"{c}a": f"{c}b" for c in ("", "root", "keys", "n", "bits")})
+    first = F.array_min(F.array_intersect("keysa", "keysb")) == F.col("g")
+    cross = rows.join(other, "g").filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near("a", "b") & first).select("a", "b")
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     last = linked(cross.join(seen, ["a", "b"], "left_anti"), sets)
     for t in (stars, roots, placed):
@@ -257,14 +266,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows_of(docs, id_col, text_col)
     marked = stash(rows.mapInArrow(mark, MARKED), "marked")
     spread = marked.filter("n > 0").select(F.explode("keys").alias("g"), "sid")
-    several = spread.groupBy("g").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x <> y").select("g")
-    keys = stash(spread.join(stash(several, "several").hint("shuffle_hash"), "g", "left_semi").distinct(), "keys")
-    wanted = keys.select("sid").distinct()
+    several = spread.groupBy("g").agg(F.count("*").alias("k"), F.min("sid").alias("a"), F.max("sid").alias("b")).filter("a <> b")
+    several = stash(several, "several")
+    pairs = stash(several.filter("k = 2").select("a", "b").distinct(), "pairs")
+    keys = stash(spread.join(several.filter("k > 2").select("g").hint("shuffle_hash"), "g", "left_semi").distinct(), "keys")
+    wanted = keys.select("sid").union(pairs.select("a")).union(pairs.select("b")).distinct()
     nodes = stash(marked.join(wanted, "sid", "left_semi").select("sid", "th", "n", "bits").dropDuplicates(["sid"]), "nodes")
     texts = rows.select("th", "raw").join(bounded_broadcast(nodes.select("sid", "th")), "th").dropDuplicates(["sid"])
     sets = stash(texts.select("sid", "raw").mapInArrow(sets_of, "sid bigint, g array<bigint>"), "sets")
-    roots = stash(links(nodes, keys, sets), "roots")
-    for t in (keys, nodes, sets):
+    roots = stash(links(nodes, pairs, keys, sets), "roots")
+    for t in (several, pairs, keys, nodes, sets):
         drop_stash(t)
     return marked.select("doc_id", "th", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
 

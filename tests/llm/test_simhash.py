@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from sievemill.llm import simhash
+from sievemill.llm import components, simhash
 
 
 def brute_fp(text):
@@ -93,3 +93,18 @@ def test_one_row_of_each_component_whatever_the_ids(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.classes(docs).count() == 0
+
+
+def test_components_in_one_task_and_by_contraction(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-60, 60, (70, 2))] + [(i, i + 1) for i in range(1000, 1030)]
+    want = {}
+    for a, b in edges:
+        ra, rb = want.get(a, {a}), want.get(b, {b})
+        for x in (both := ra | rb):
+            want[x] = both
+    want = {x: min(c) for x, c in want.items() if len(c) > 1}
+    for few in (1000, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
