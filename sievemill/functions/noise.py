@@ -116,26 +116,27 @@ def without_idle(text: Column) -> tuple[Column, Column]:
 
 def kept(text: Column, custom: Iterable[str] = ()) -> Column:
     """What pruned() keeps, without saying what it drops."""
-    rest, _ = without_idle(text)
-    return F.array_join(F.filter(let(rest, lines), lambda x: ~is_noise(x, custom)), "\n")
+    return let(text, lambda t: F.array_join(F.filter(let(without_idle(t)[0], lines), lambda x: ~is_noise(x, custom)), "\n"))
 
 
 def pruned(text: Column, custom: Iterable[str] = ()) -> Column:
     """struct(kept, dropped, categories): text without noise lines; number dropped; (category, n), sorted by category.
 
     Blocks of idle goroutines are cut out first, in one pass of a pattern; lines are then judged one by one."""
-    rest, n_idle = without_idle(text)
-    judged = F.transform(let(rest, lines), lambda x: F.struct(x.alias("line"), category(x, custom).alias("c")))
-
     def counts(names: Column) -> Column:
         return F.transform(F.array_sort(F.array_distinct(names)), lambda c: F.struct(c.alias("category"), F.size(F.filter(names, lambda n: n == c)).cast("long").alias("n")))
 
-    def result(j: Column) -> Column:
+    def result(j: Column, n_idle: Column) -> Column:
         kept = F.array_join(F.transform(F.filter(j, lambda x: x["c"].isNull()), lambda x: x["line"]), "\n")
         names = F.concat(F.transform(F.filter(j, lambda x: x["c"].isNotNull()), lambda x: x["c"]), F.array_repeat(F.lit(IDLE_LABEL), n_idle))
         return let(names, lambda n: F.struct(kept.alias("kept"), F.size(n).cast("long").alias("dropped"), counts(n).alias("categories")))
 
-    return let(judged, result)
+    def of(t: Column) -> Column:
+        rest, n_idle = without_idle(t)
+        judged = F.transform(let(rest, lines), lambda x: F.struct(x.alias("line"), category(x, custom).alias("c")))
+        return let(judged, lambda j: result(j, n_idle))
+
+    return let(text, of)
 
 
 def summary(dropped: Column, categories: Column) -> Column:

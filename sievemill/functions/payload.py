@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.functions import noise, redaction
+from sievemill.functions.text import let
 from sievemill.functions.jsontext import dump, load
 
 # Blocks that stay as they are.
@@ -25,22 +26,25 @@ KIND = "struct<payload:string,raw_bytes:bigint,clean_bytes:bigint,secrets:bigint
 
 def clean_turn(role: Column, text: Column) -> Column:
     """struct(text, raw_bytes, clean_bytes, changed) of a turn; turns of the assistant stay as they are."""
-    masked = redaction.redact(text)
-    clean = noise.pruned(masked)["kept"]
-    keep = role == "assistant"
     zero = F.lit(0).cast("long")
-    return F.struct(
-        F.when(keep, text).otherwise(clean).alias("text"),
-        F.when(keep, zero).otherwise(F.octet_length(text).cast("long")).alias("raw_bytes"),
-        F.when(keep, zero).otherwise(F.octet_length(clean).cast("long")).alias("clean_bytes"),
-        F.when(keep, zero).otherwise((masked != text).cast("long")).alias("changed"),
-    )
+
+    def of(t: Column) -> Column:
+        unchanged = F.struct(t.alias("text"), zero.alias("raw_bytes"), zero.alias("clean_bytes"), zero.alias("changed"))
+
+        def cleaned(masked: Column) -> Column:
+            sizes = lambda clean: F.struct(clean.alias("text"), F.octet_length(t).cast("long").alias("raw_bytes"), F.octet_length(clean).cast("long").alias("clean_bytes"), (masked != t).cast("long").alias("changed"))
+            return let(noise.kept(masked), sizes)
+
+        return F.when(role == "assistant", unchanged).otherwise(let(redaction.redact(t), cleaned))
+
+    return let(text, of)
 
 
 def sanitize_conversations(df: DataFrame, role_col: str = "role", text_col: str = "text") -> DataFrame:
     """df with text cleaned and raw_bytes, clean_bytes, changed added."""
-    out = df.withColumn("_c", clean_turn(F.coalesce(F.col(role_col), F.lit("")), F.col(text_col)))
-    return out.select(*[F.col("_c.text").alias(c) if c == text_col else c for c in df.columns], "_c.raw_bytes", "_c.clean_bytes", "_c.changed")
+    turn = redaction.fresh(df.columns, "_turn")
+    out = df.withColumn(turn, clean_turn(F.coalesce(F.col(role_col), F.lit("")), F.col(text_col)))
+    return out.select(*[F.col(turn)["text"].alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns], *[F.col(turn)[x].alias(x) for x in ("raw_bytes", "clean_bytes", "changed")])
 
 
 @lru_cache(1)

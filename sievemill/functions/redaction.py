@@ -176,7 +176,8 @@ def custom_rules(rules: Iterable[tuple[str, str | None]]) -> list[tuple[str, str
 
 def redact(text: Column, custom: Iterable[tuple[str, str | None]] = ()) -> Column:
     """The text with all secrets masked."""
-    out = masked(text, lambda now, rule, may: F.when(may, replaced(rule, now)).otherwise(now), text)
+    step = lambda now, rule, may: F.when(may, replaced(rule, now)).otherwise(now)
+    out = let(text, lambda t: masked(t, step, t))
     return reduce(lambda now, rule: replaced(rule, now), custom_rules(custom), out)
 
 

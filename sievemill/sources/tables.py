@@ -11,7 +11,7 @@ def spread(df: DataFrame) -> DataFrame:
     A small table in one row group would else be one task's work, however many cores wait. A table with enough partitions,
     as any large one has, is returned as it is: nothing is shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *df.columns[:2]) if df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
