@@ -26,11 +26,11 @@ from sievemill.llm.common import drop_stash, keyed, stash
 from sievemill.llm.segments import BYTES, segments, word_units
 
 BLOCK = 1 << 20
-PLACES = "doc_id bigint, th bigint, h bigint, s bigint, first bigint, windows int"
-FOUND = "h bigint, s bigint, lo int, hi int"
+PLACES = "doc_id bigint, th bigint, h bigint, s bigint, first bigint, windows int, size int"
+FOUND = "h bigint, s bigint, level int, lo int, hi int"
 
 
-def scanner(by_words: bool, length: int, gram: int) -> Callable:
+def scanner(by_words: bool, lengths: tuple[int, ...], gram: int) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, th, raw = batch.column("doc_id"), batch.column("th"), batch.column("raw")
@@ -44,22 +44,22 @@ def scanner(by_words: bool, length: int, gram: int) -> Callable:
                 data = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
                 offsets = offsets - offsets[0]
                 units, starts = word_units(data, offsets) if by_words else (BYTES[data], offsets)
-                text, first, windows, h, s = segments(units, starts, length, gram)
+                text, first, windows, size, h, s = segments(units, starts, lengths[0], gram, lengths[-1])
                 at = pa.array(text + a)
-                yield pa.RecordBatch.from_arrays([doc.take(at), th.take(at), pa.array(h), pa.array(s), pa.array(first), pa.array(windows.astype(np.int32))], ["doc_id", "th", "h", "s", "first", "windows"])
+                yield pa.RecordBatch.from_arrays([doc.take(at), th.take(at), pa.array(h), pa.array(s), pa.array(first), pa.array(windows.astype(np.int32)), pa.array(size.astype(np.int32))], ["doc_id", "th", "h", "s", "first", "windows", "size"])
                 a = b
 
     return scan
 
 
-def cutter(by_words: bool, length: int) -> Callable:
+def cutter(by_words: bool) -> Callable:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for raw, asked in zip(batch["raw"], batch["asked"], strict=True):
                 words = raw.split() if by_words else None
                 for x in asked:
-                    end = x["first"] + x["windows"] - 1 + length
+                    end = x["first"] + x["size"]
                     piece = b" ".join(words[x["first"] : end]) if by_words else raw[x["first"] : end]
                     out.append((x["h"], x["s"], x["k"], x["windows"], piece))
             yield pd.DataFrame(out, columns=["h", "s", "k", "windows", "piece"])
@@ -67,28 +67,29 @@ def cutter(by_words: bool, length: int) -> Callable:
     return cut
 
 
-def repeated(docs: DataFrame, by_words: bool, length: int, gram: int, judge: Callable, cap: int, shard_units: int) -> DataFrame:
-    """(doc_id, th, spans): texts with repeated windows; spans: [a, b) ranges of units that such windows cover (sorted by
-    a, they may overlap). docs: as keyed() gives them.
+def repeated(docs: DataFrame, by_words: bool, lengths: tuple[int, ...], gram: int, judge: Callable, cap: int, shard_units: int) -> DataFrame:
+    """(doc_id, th, spans0, spans1, ...): texts with repeated windows. spans of a level: [a, b) ranges of units that repeated
+    windows of that level's length cover (sorted by a, they may overlap). docs: as keyed() gives them; lengths: windows'
+    lengths, the shortest first.
 
-    judge(own, other) -> (segment, lo, hi) arrays: of own's segments (pieces, windows) the window ranges that occur twice
-    in own or, where other is given, once in other."""
+    judge(own, other=None) -> for each level (segment, lo, hi) arrays: of own's segments (pieces, windows) the ranges of
+    places whose windows occur twice in own or, where other (the same) is given, once in other."""
     raw = docs.select("doc_id", "th", F.col("text").cast("binary").alias("raw"))
-    places = stash(raw.mapInArrow(scanner(by_words, length, gram), PLACES), "places")
+    places = stash(raw.mapInArrow(scanner(by_words, lengths, gram), PLACES), "places")
     # written first, so that both sides of the join are plain exchanges and a hot hash is split
     often = stash(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     likely = stash(places.join(often.hint("shuffle_hash"), "h", "left_semi"), "likely")
     drop_stash(places)
     drop_stash(often)
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "first", "windows")).alias("one")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "first", "windows", "size")).alias("one")
     kinds = stash(likely.groupBy("h", "s").agg(F.count("*").alias("n"), one), "kinds")
     shared = kinds.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
     alike = stash(kinds.join(shared, "h").select("h", "s", "k", "one.*"), "alike")
-    asked = alike.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "s", "k", "first", "windows")).alias("asked"))
+    asked = alike.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "s", "k", "first", "windows", "size")).alias("asked"))
     d, a = raw.alias("d"), asked.alias("a")
     met = d.join(a.hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.th") == F.col("a.th")))
-    pieces = stash(met.select("raw", "asked").mapInPandas(cutter(by_words, length), "h bigint, s bigint, k bigint, windows int, piece binary"), "pieces")
-    units = alike.agg(F.sum(F.col("windows") + length - 1)).first()[0] or 0
+    pieces = stash(met.select("raw", "asked").mapInPandas(cutter(by_words), "h bigint, s bigint, k bigint, windows int, piece binary"), "pieces")
+    units = alike.agg(F.sum("size")).first()[0] or 0
     shards = int(max(1, -(-units // shard_units)))
     parts, part = F.ceil(F.col("k") / cap), lambda p: F.pmod(F.col("s"), p)
     place = lambda g, own, other, role: F.struct(g.alias("g"), own.cast("long").alias("own"), other.cast("long").alias("other"), F.lit(role).alias("role"))
@@ -104,26 +105,31 @@ def repeated(docs: DataFrame, by_words: bool, length: int, gram: int, judge: Cal
         apart = rows["own"].iloc[0] != rows["other"].iloc[0]
         other = rows[rows["role"] == 1] if apart else None
         if not len(own) or apart and not len(other):
-            return pd.DataFrame({"h": [], "s": [], "lo": [], "hi": []})
-        seg, lo, hi = judge((own["piece"].tolist(), own["windows"].to_numpy(np.int64)), None if other is None else other["piece"].tolist())
-        return pd.DataFrame({"h": own["h"].to_numpy()[seg], "s": own["s"].to_numpy()[seg], "lo": lo, "hi": hi})
+            return pd.DataFrame({"h": [], "s": [], "level": [], "lo": [], "hi": []})
+        parts = [(x["piece"].tolist(), x["windows"].to_numpy(np.int64)) for x in (own, other) if x is not None]
+        found = judge(*parts)
+        rows = [pd.DataFrame({"h": own["h"].to_numpy()[seg], "s": own["s"].to_numpy()[seg], "level": level, "lo": lo, "hi": hi}) for level, (seg, lo, hi) in enumerate(found)]
+        return pd.concat(rows, ignore_index=True)
 
     judged = dealt.groupBy("g", "own", "other").applyInPandas(group, FOUND)
-    whole = kinds.filter("n > 1").select("h", "s", F.lit(0).alias("lo"), F.col("one.windows").alias("hi"))
-    runs = stash(judged.union(whole).groupBy("h", "s").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
+    ends = F.array(*[F.struct(F.lit(i).alias("level"), F.least("one.windows", F.col("one.size") - x + 1).alias("hi")) for i, x in enumerate(lengths)])
+    whole = kinds.filter("n > 1").select("h", "s", F.explode(ends).alias("e")).filter("e.hi > 0").select("h", "s", "e.level", F.lit(0).alias("lo"), "e.hi")
+    runs = stash(judged.union(whole).groupBy("h", "s").agg(F.collect_set(F.struct("level", "lo", "hi")).alias("runs")), "runs")
     back = likely.join(runs, ["h", "s"]).select("doc_id", "th", "first", F.explode("runs").alias("r"))
-    span = F.struct((F.col("first") + F.col("r.lo")).alias("a"), (F.col("first") + F.col("r.hi") - 1 + length).alias("b"))
-    out = stash(back.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(span)).alias("spans")), "spans")
+    long = F.element_at(F.array(*map(F.lit, lengths)), F.col("r.level") + 1)
+    span = F.struct((F.col("first") + F.col("r.lo")).alias("a"), (F.col("first") + F.col("r.hi") - 1 + long).alias("b"))
+    spans = [F.array_sort(F.collect_set(F.when(F.col("r.level") == i, span))).alias(f"spans{i}") for i in range(len(lengths))]
+    out = stash(back.groupBy("doc_id", "th").agg(*spans), "spans")
     for t in (likely, kinds, alike, pieces, runs):
         drop_stash(t)
     return out
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (as keyed() gives them) with spans, null where there are none."""
+    """docs (as keyed() gives them) with the ranges of each level, null where there are none."""
     d, s = docs.alias("d"), spans.alias("s")
     met = d.join(s.hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.th") == F.col("s.th")), "left")
-    return met.select("d.doc_id", F.col("d.text").cast("binary").alias("raw"), "s.spans")
+    return met.select("d.doc_id", F.col("d.text").cast("binary").alias("raw"), *[f"s.{c}" for c in spans.columns if c.startswith("spans")])
 
 
 def united(spans) -> list[tuple[int, int]]:
@@ -138,12 +144,14 @@ def united(spans) -> list[tuple[int, int]]:
 
 
 def remove(docs: DataFrame, spans: DataFrame, by_words: bool) -> DataFrame:
-    """(doc_id, n_units, spans, kept): the operators' real output: kept bytes (words joined by one space)."""
+    """(doc_id, n_units, spans, kept, n_shared): the operators' real output: what the longest windows cover is removed; kept
+    bytes (words joined by one space); how many units the shortest windows cover."""
+    levels = [c for c in spans.columns if c.startswith("spans")]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, runs, kept = [], [], []
-            for raw, found in zip(batch["raw"], batch["spans"], strict=True):
+            sizes, runs, kept, shared = [], [], [], []
+            for raw, short, found in zip(batch["raw"], batch[levels[0]], batch[levels[-1]], strict=True):
                 units = raw.split() if by_words else raw
                 gone = united(found)
                 left, at = [], 0
@@ -154,9 +162,10 @@ def remove(docs: DataFrame, spans: DataFrame, by_words: bool) -> DataFrame:
                 sizes.append(len(units))
                 runs.append([{"a": a, "b": b} for a, b in gone])
                 kept.append(b" ".join(w for x in left for w in x) if by_words else b"".join(left))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_units": sizes, "spans": runs, "kept": kept})
+                shared.append(sum(b - a for a, b in united(short)))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_units": sizes, "spans": runs, "kept": kept, "n_shared": shared})
 
-    return with_spans(docs, spans).mapInPandas(cut, "doc_id bigint, n_units bigint, spans array<struct<a:bigint,b:bigint>>, kept binary")
+    return with_spans(docs, spans).mapInPandas(cut, "doc_id bigint, n_units bigint, spans array<struct<a:bigint,b:bigint>>, kept binary, n_shared bigint")
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -72,11 +72,12 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def segments(units: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, first, windows, h, s): text's number, first unit in it, number of windows, minimiser hash, content hash."""
+def segments(units: np.ndarray, starts: np.ndarray, length: int, gram: int, reach: int) -> tuple[np.ndarray, ...]:
+    """(text, first, windows, size, h, s): text's number, first unit in it, number of windows, number of units, minimiser
+    hash, content hash. A segment's units end where a window of ``reach`` units from its last place would, or with the text."""
     none = np.empty(0, np.int64)
     if len(units) < length:
-        return none, none, none, none, none
+        return (none,) * 6
     prefix = Prefix(units)
     at = np.arange(len(units) - gram + 1)
     grams = prefix.of(at, at + gram)
@@ -84,12 +85,13 @@ def segments(units: np.ndarray, starts: np.ndarray, length: int, gram: int) -> t
     text_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     i = np.flatnonzero(text_of[: len(best)] == text_of[length - 1 :])
     if not len(i):
-        return none, none, none, none, none
+        return (none,) * 6
     m = best[i]
     new = np.flatnonzero(np.concatenate([[True], (np.diff(i) > 1) | (np.diff(m) != 0)]))
     windows = np.diff(np.append(new, len(i)))
     first = i[new]
     h = grams[m[new]].view(np.int64)
-    s = prefix.of(first, first + windows - 1 + length).view(np.int64)
     text = text_of[first]
-    return text, first - starts[text], windows, h, s
+    end = np.minimum(first + windows - 1 + reach, starts[text + 1])
+    s = prefix.of(first, end).view(np.int64)
+    return text, first - starts[text], windows, end - first, h, s

@@ -29,10 +29,10 @@ CAP, SHARD_WORDS = 8192, 400_000
 
 
 def judge(length: int):
-    def of(own: tuple[list[bytes], np.ndarray], other: list[bytes] | None):
+    def of(own: tuple[list[bytes], np.ndarray], other: tuple[list[bytes], np.ndarray] | None = None):
         pieces, windows = own
         rows = [p.split() for p in pieces]
-        index_rows = rows if other is None else [p.split() for p in other]
+        index_rows = rows if other is None else [p.split() for p in other[0]]
         flat = [w for r in index_rows for w in (*r, b"")]
         codes, names = pd.factorize(np.array(flat, object))
         # 0 ends a row; words follow
@@ -47,7 +47,7 @@ def judge(length: int):
         else:
             query = np.array([number.get(w, -1) for r in rows for w in r], np.int64)
             begin = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]]).astype(np.int64)
-        return report(index, query, begin, windows, length, 2 if other is None else 1)
+        return [report(index, query, begin, windows, length, 2 if other is None else 1)]
 
     return of
 
@@ -80,8 +80,8 @@ def report(index: FMIndex, query: np.ndarray, begin: np.ndarray, windows: np.nda
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = CAP, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, n_units, spans, kept) for each row: number of words, removed word ranges, kept words as UTF-8."""
     rows = repeats.rows_of(docs, id_col, text_col)
-    spans = repeats.repeated(rows, True, length, gram, judge(length), cap, shard_words)
-    return repeats.remove(rows, spans, True)
+    spans = repeats.repeated(rows, True, (length,), gram, judge(length), cap, shard_words)
+    return repeats.remove(rows, spans, True).drop("n_shared")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

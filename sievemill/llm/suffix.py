@@ -114,6 +114,30 @@ def kasai(words: np.ndarray, order: np.ndarray, tied: np.ndarray, starts: np.nda
     return out
 
 
+def only(order: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The suffixes at some places, in order."""
+    mine = np.zeros(len(order), bool)
+    mine[places] = True
+    return order[mine[order]]
+
+
+def among(prefix: np.ndarray, order: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """By text place: the longest common prefix with any other of the suffixes at ``places``, for these; 0 elsewhere.
+
+    prefix: common prefixes with the suffix before. Two suffixes share what all between them share with their neighbours,
+    and of the chosen ones the nearest on either side share most."""
+    out = np.zeros(len(order), np.int64)
+    mine = np.zeros(len(order), bool)
+    mine[places] = True
+    rank = np.flatnonzero(mine[order])
+    if len(rank) > 1:
+        shared = np.minimum.reduceat(prefix[order[: rank[-1] + 1]], rank[:-1] + 1)
+        chosen = order[rank]
+        out[chosen[1:]] = shared
+        out[chosen[:-1]] = np.maximum(out[chosen[:-1]], shared)
+    return out
+
+
 def find_equal(words: np.ndarray, order: np.ndarray, other: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     """Whether the ``size`` bytes (a multiple of 8) of another text from each place on start a suffix of this one.
 

@@ -6,6 +6,10 @@ are joined by a byte that UTF-8 never has; the suffix array is refined after Lar
 from Kasai's bound (suffix.py), and a string is repeated if either neighbour in the array shares 400 bytes. Parts of a split
 hash are merged by binary search: the strings of one part are looked up in the other part's array.
 
+Shorter passages that texts share stay, but are reported: ``n_shared`` counts the bytes that strings of 280 bytes cover which
+also start elsewhere. Both lengths come from the same common prefixes: segments are made for the shorter strings, and reach
+on far enough for the longer ones.
+
 Null text is empty. Texts shorter than 400 bytes are never touched. A removed run may cut a character of several bytes, so
 the kept text is binary. Ids that repeat are told apart by the text; a row that repeats wholly is a second place for all its
 strings. Empty tables give empty results; other columns are ignored.
@@ -21,6 +25,8 @@ from sievemill.llm import repeats, suffix
 from sievemill.llm.common import documents
 
 LENGTH, GRAM = 400, 48
+#: Strings of this length that repeat are reported, not removed: passages of 50 words and more are that long.
+SHORTER = 280
 CAP, SHARD_BYTES = 2048, 1_200_000
 GAP = b"\xff"
 
@@ -31,26 +37,36 @@ def joined(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])[:-1]]).astype(np.int64)
 
 
-def judge(length: int):
-    def of(own: tuple[list[bytes], np.ndarray], other: list[bytes] | None):
+def window_places(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place in it) of all windows. What follows the last window of a segment is there to be compared only: as a
+    place it belongs to another segment."""
+    seg = np.repeat(np.arange(len(windows)), windows)
+    return seg, np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
+
+
+def judge(*lengths: int):
+    longest = lengths[-1]
+
+    def of(own: tuple[list[bytes], np.ndarray], other: tuple[list[bytes], np.ndarray] | None = None):
         pieces, windows = own
         data, begin = joined(pieces)
-        words = suffix.words8(data, length + 8)
-        seg = np.repeat(np.arange(len(pieces)), windows)
-        at = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
+        words = suffix.words8(data, longest + 8)
+        seg, at = window_places(windows)
         places = begin[seg] + at
+        left = np.array([len(p) for p in pieces], np.int64)[seg] - at
         if other is None:
             # to the end of the longest piece, so that few suffixes stay tied
             order, tied = suffix.suffix_array(suffix.packed(data, 7), 7, max(map(len, pieces)) + 1)
-            shared = suffix.kasai(words, order, tied, begin, length) >= length
-            either = shared.copy()
-            either[order[:-1]] |= shared[order[1:]]
-            hit = either[places]
+            prefix = suffix.among(suffix.kasai(words, order, tied, begin, longest), order, places)
+            hits = [prefix[places] >= x for x in lengths]
         else:
-            theirs, _ = joined(other)
-            order, _ = suffix.suffix_array(suffix.packed(theirs, 7), 7, length)
-            hit = suffix.find_equal(suffix.words8(theirs, length + 8), order, words, places, length)
-        return ranges(seg, at, hit)
+            theirs, their_begin = joined(other[0])
+            order, _ = suffix.suffix_array(suffix.packed(theirs, 7), 7, longest)
+            their_seg, their_at = window_places(other[1])
+            order = suffix.only(order, their_begin[their_seg] + their_at)
+            others = suffix.words8(theirs, longest + 8)
+            hits = [suffix.find_equal(others, order, words, places, x) for x in lengths]
+        return [ranges(seg, at, hit & (left >= x)) for x, hit in zip(lengths, hits, strict=True)]
 
     return of
 
@@ -65,16 +81,18 @@ def ranges(seg: np.ndarray, at: np.ndarray, hit: np.ndarray):
     return seg[new], at[new], at[end] + 1
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = CAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_units, spans, kept) for each row: number of bytes, removed byte ranges, kept bytes. length: a multiple of 8."""
-    if length % 8:
-        raise ValueError("length must be a multiple of 8")
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = CAP, shard_bytes: int = SHARD_BYTES, shorter: int = SHORTER) -> DataFrame:
+    """(doc_id, n_units, spans, kept, n_shared) for each row: number of bytes, removed byte ranges, kept bytes, bytes that
+    repeated strings of ``shorter`` bytes cover. length, shorter: multiples of 8, shorter at most length."""
+    if length % 8 or shorter % 8 or not gram < shorter <= length:
+        raise ValueError("length and shorter must be multiples of 8, shorter above gram and at most length")
     rows = repeats.rows_of(docs, id_col, text_col)
-    spans = repeats.repeated(rows, False, length, gram, judge(length), cap, shard_bytes)
+    lengths = (shorter, length) if shorter < length else (length,)
+    spans = repeats.repeated(rows, False, lengths, gram, judge(*lengths), cap, shard_bytes)
     return repeats.remove(rows, spans, False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
-    return out.select("doc_id", F.col("n_units").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("n_units").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")

@@ -56,9 +56,13 @@ def test_words_against_brute_force(spark, cap, shard):
 def test_bytes_against_brute_force(spark, cap, shard):
     rows = corpus(2)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("s", F.lit("x"))
-    out = suffix_dedup.dedup(docs, length=40, gram=10, cap=cap, shard_bytes=shard).collect()
-    got = sorted(((r["doc_id"], r["n_units"], sum(x["b"] - x["a"] for x in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in out), key=str)
-    assert got == brute(rows, lambda t: [bytes([b]) for b in (t or "").encode()], 40, b"".join)
+    chars = lambda t: [bytes([b]) for b in (t or "").encode()]
+    for shorter in (24, 40):
+        out = suffix_dedup.dedup(docs, length=40, gram=10, cap=cap, shard_bytes=shard, shorter=shorter).collect()
+        got = sorted(((r["doc_id"], r["n_units"], sum(x["b"] - x["a"] for x in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in out), key=str)
+        assert got == brute(rows, chars, 40, b"".join)
+        got = sorted(((r["doc_id"], r["n_units"], r["n_shared"]) for r in out), key=str)
+        assert got == sorted((x[:3] for x in brute(rows, chars, shorter, b"".join)), key=str)
 
 
 @pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
@@ -107,5 +111,5 @@ def test_pieces_that_share_more_than_the_sorted_depth():
         pieces = [text(int(rng.integers(1, 60))) + shared[rng.integers(0, 3)] + text(int(rng.integers(1, 60))) for _ in range(12)]
         count = Counter(p[i : i + 400] for p in pieces for i in range(len(p) - 399))
         want = {(k, i) for k, p in enumerate(pieces) for i in range(len(p) - 399) if count[p[i : i + 400]] > 1}
-        found = suffix_dedup.judge(400)((pieces, np.array([len(p) - 399 for p in pieces])), None)
+        (found,) = suffix_dedup.judge(400)((pieces, np.array([len(p) - 399 for p in pieces])))
         assert {(int(k), i) for k, lo, hi in zip(*found, strict=True) for i in range(lo, hi)} == want
