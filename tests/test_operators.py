@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sievemill.functions import text
 from sievemill.operators import audit, context, evaluation, store, traffic
+from sievemill.sources import tables
 from sievemill.sources import text as sources
 from sievemill.streaming import gateway
 
@@ -158,3 +160,35 @@ def test_entry(spark, name):
         assert __spark_entry__.entry(spark).count() > 0
     else:
         assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_write_that_fails_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sources.write_table(spark.range(3).selectExpr("id", "'a' as text"), path)
+    bad = spark.range(3).selectExpr("id", "raise_error('no') as text")
+    with pytest.raises(Exception, match="no"):
+        sources.write_table(bad, path)
+    assert spark.read.parquet(path).count() == 3
+    sources.write_table(spark.read.parquet(path).filter("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2
+    sources.write_text(spark.read.parquet(path), str(tmp_path / "x"))
+    with pytest.raises(Exception, match="no"):
+        sources.write_text(bad, str(tmp_path / "x"))
+    assert spark.read.text(str(tmp_path / "x")).count() == 2
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t", "x"]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 4, 7, 12, 40])
+def test_cuts_never_split_a_character(spark, most):
+    texts = ["", "abc", "aé", "日本語テキスト", "a😀b😀", "x" * 12, "é" * 9, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r[0] for r in df.orderBy("i").select(text.truncated(F.col("text"), most, "~")).collect()]
+    want = [t if t is None or len(t.encode()) <= most else t.encode()[:most].decode("utf-8", "ignore") + "~" for t in texts]
+    assert got == want
+
+
+def test_small_tables_are_dealt_over_the_cores(spark):
+    df = spark.range(10, numPartitions=1).selectExpr("id", "'x' as text")
+    assert tables.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100, numPartitions=50)
+    assert tables.spread(many) is many
