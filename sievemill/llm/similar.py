@@ -11,7 +11,7 @@ group's keys leave another group whole (pigeonhole): at a similarity of just 0.8
 probability 0.42 and of any with 0.98; at 0.85 with 0.998. The README has the recall measured on documents.
 
 Texts that share a key are compared by their fingerprints first: a pair further apart than ``APART`` bits can't be linked
-(it would be four deviations above what 0.8 gives; for sets of a few shingles the bound is wider). What is left is compared in full, by its sets, made
+(nearly three deviations above what 0.8 gives on the average; for sets of a few shingles the bound is wider). What is left is compared in full, by its sets, made
 again from the texts. Pairs come in three rounds, each leaving out pairs that are in one component already: every text
 with the nearest of its keys' heads (a key's head is its text with the least hash, the same for most keys of a family),
 then with its keys' other heads, then, within keys whose texts are still in several components, with texts of other
@@ -46,7 +46,8 @@ WIDTH = 23
 #: 64-bit words of a fingerprint.
 WORDS = -(-GROUPS * SEGMENTS * WIDTH // 64)
 #: Of 483 bits, pairs at 0.8 differ in 73 on the average, with a deviation of 8; unrelated ones in 241.
-APART = 105
+#: The last round takes the nearer pairs first; what they link needs no further ones.
+NEARER, APART = 80, 95
 #: Sets of fewer shingles get a wider bound.
 FEW = 30
 BLOCK = 1 << 20
@@ -206,10 +207,12 @@ def apart(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(f"bits{x}")[i].bitwiseXOR(F.col(f"bits{y}")[i])) for i in range(WORDS)), F.lit(0))
 
 
-def near(x: str, y: str) -> Column:
-    """Whether two rows' sizes and fingerprints allow a link. Sums over few shingles are often zero, so their signs vary."""
+def near(x: str, y: str, above: int = -1, upto: int = APART) -> Column:
+    """Whether two rows' sizes and fingerprints allow a link and the distance, for sets of some size, is over ``above`` and
+    at most ``upto``. Sums over few shingles are often zero, so their signs vary and the distances of small sets more."""
     least, most = F.least(f"n{x}", f"n{y}"), F.greatest(f"n{x}", f"n{y}")
-    return (5 * least >= 4 * most) & (apart(x, y) <= F.when(least < FEW, APART + 30).otherwise(APART))
+    distance = apart(x, y) - F.when(least < FEW, 30).otherwise(0)
+    return (5 * least >= 4 * most) & (distance <= upto) & ((distance > above) if above >= 0 else F.lit(True))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,7 +244,18 @@ def links(nodes: DataFrame, pairs: DataFrame, keys: DataFrame, sets: DataFrame)
     drop_stash(roots)
     edges = stash(edges.union(more), "edges")
     drop_stash(more)
-    roots = stash(components(edges), "roots")
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for above, upto in ((-1, NEARER), (NEARER, APART)):
+        more = linked(unlike(of, keys, components(edges), above, upto).join(seen, ["a", "b"], "left_anti"), sets)
+        edges = stash(edges.union(more), "edges")
+        drop_stash(more)
+    drop_stash(stars)
+    return components(edges)
+
+
+def unlike(of: DataFrame, keys: DataFrame, roots: DataFrame, above: int, upto: int) -> DataFrame:
+    """(a, b): sets that share a key, are in different components and lie so far apart."""
+    roots = stash(roots, "roots")
     placed = rooted(keys.withColumnRenamed("sid", "a"), roots, "a")
     still = placed.groupBy("g").agg(F.min("roota").alias("x"), F.max("roota").alias("y")).filter("x <> y").select("g")
     placed = stash(placed.join(still, "g", "left_semi"), "open")
@@ -249,12 +263,11 @@ def links(nodes: DataFrame, pairs: DataFrame, keys: DataFrame, sets: DataFrame)
     rows = placed.join(own, "a").join(side(of, "a", "n", "bits"), "a")
     other = rows.withColumnsRenamed({f"{c}a": f"{c}b" for c in ("", "root", "keys", "n", "bits")})
     first = F.array_min(F.array_intersect("keysa", "keysb")) == F.col("g")
-    cross = rows.join(other, "g").filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near("a", "b") & first).select("a", "b")
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = linked(cross.join(seen, ["a", "b"], "left_anti"), sets)
-    for t in (stars, roots, placed):
+    out = rows.join(other, "g").filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near("a", "b", above, upto) & first)
+    out = stash(out.select("a", "b"), "unlike")
+    for t in (roots, placed):
         drop_stash(t)
-    return components(edges.union(last))
+    return out
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
