@@ -105,6 +105,7 @@ def differing(docs: DataFrame, state: DataFrame, id_col: str = "doc_id", text_co
     several = stash(state.filter("group_size > 1").select("digest", "keep_id", "keep_locator"), "several")
     stays = bounded_broadcast(several.select(F.col("keep_id").alias("id"), F.col("keep_locator").alias("locator"), F.col("digest").alias("of")))
     kept = rows.join(stays, rows["id"].eqNullSafe(stays["id"]) & (rows["locator"] == stays["locator"])).groupBy("of").agg(F.min("norm").alias("keep_norm"))
+    kept = stash(kept, "stays")  # written first, so that the join below can split a group of very many rows
     members = rows.withColumn("digest", digest_of(F.col("norm"))).join(bounded_broadcast(several), "digest")
     others = members.filter(~(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator"))))
     return others.join(kept, others["digest"] == kept["of"]).filter("norm <> keep_norm").select("id", "locator", "digest", "norm")

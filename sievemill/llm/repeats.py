@@ -83,8 +83,8 @@ def repeated(docs: DataFrame, by_words: bool, lengths: tuple[int, ...], gram: in
     drop_stash(often)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "first", "windows", "size")).alias("one")
     kinds = stash(likely.groupBy("h", "s").agg(F.count("*").alias("n"), one), "kinds")
-    shared = kinds.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
-    alike = stash(kinds.join(shared, "h").select("h", "s", "k", "one.*"), "alike")
+    shared = stash(kinds.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"), "shared")
+    alike = stash(kinds.join(shared.hint("shuffle_hash"), "h").select("h", "s", "k", "one.*"), "alike")
     asked = alike.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "s", "k", "first", "windows", "size")).alias("asked"))
     d, a = raw.alias("d"), asked.alias("a")
     met = d.join(a.hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.th") == F.col("a.th")))
@@ -120,7 +120,7 @@ def repeated(docs: DataFrame, by_words: bool, lengths: tuple[int, ...], gram: in
     span = F.struct((F.col("first") + F.col("r.lo")).alias("a"), (F.col("first") + F.col("r.hi") - 1 + long).alias("b"))
     spans = [F.array_sort(F.collect_set(F.when(F.col("r.level") == i, span))).alias(f"spans{i}") for i in range(len(lengths))]
     out = stash(back.groupBy("doc_id", "th").agg(*spans), "spans")
-    for t in (likely, kinds, alike, pieces, runs):
+    for t in (likely, kinds, shared, alike, pieces, runs):
         drop_stash(t)
     return out
 
