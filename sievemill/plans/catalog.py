@@ -343,24 +343,47 @@ def sanitize_payloads(spark, sf_dir):
 # H: dialects, routes
 
 
-@query()
+@query(
+    f"""WITH {_TURNS}, m AS (SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) FILTER (role <> 'system') AS said, md5(string_agg(text, chr(10) ORDER BY turn) FILTER (role <> 'system')) AS told,
+  string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'system') AS systems, string_agg(CASE WHEN role = 'assistant' THEN role ELSE 'user' END, ',' ORDER BY turn) FILTER (role <> 'system') AS sides FROM turns GROUP BY conv_id)
+SELECT conv_id, 'm' AS model, n + 1 AS n_messages, said AS choices_roles, told AS choices_md5, md5(concat_ws(chr(10) || chr(10), 'be kind', systems)) AS system_md5, sides AS blocks_roles, told AS blocks_md5, 100::BIGINT AS max_tokens FROM m"""
+)
 def translate_requests(spark, sf_dir):
     rows = _payloads(spark, sf_dir).withColumn("choices", dialects.to_choices(F.col("payload")))
-    return rows.select("conv_id", F.sha2("choices", 256).alias("choices_sha256"), F.sha2(dialects.to_blocks(F.col("choices")), 256).alias("blocks_sha256"))
+    messages = "messages array<struct<role:string,content:string>>"
+    rows = rows.select("conv_id", F.from_json("choices", f"model string, {messages}").alias("c"), F.from_json(dialects.to_blocks(F.col("choices")), f"system string, max_tokens bigint, {messages}").alias("b"))
+    some = lambda x: F.filter(F.col(f"{x}.messages"), lambda m: m["role"] != "system")
+    part = lambda x, name, by: F.array_join(F.transform(some(x), lambda m: m[name]), by)
+    return rows.select(
+        "conv_id", "c.model", F.size("c.messages").cast("long").alias("n_messages"), part("c", "role", ",").alias("choices_roles"), F.md5(part("c", "content", "\n")).alias("choices_md5"),
+        F.md5("b.system").alias("system_md5"), part("b", "role", ",").alias("blocks_roles"), F.md5(part("b", "content", "\n")).alias("blocks_md5"), "b.max_tokens",
+    )
 
 
-@query()
+@query("SELECT conv_id, turn, concat('msg_a', conv_id) AS id, 'max_tokens' AS stop_reason, md5(nullif(text, '')) AS text_md5, 'length' AS finish_reason, md5(nullif(text, '')) AS again_md5 FROM conversations")
 def translate_answers(spark, sf_dir):
     body = F.to_json(F.struct(F.concat(F.lit("a"), F.col("conv_id")).alias("id"), F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"), F.lit("length").alias("finish_reason"))).alias("choices")))
     rows = texts(spark, sf_dir, "conversations").select("conv_id", "turn", dialects.answer_to_blocks(body).alias("blocks"))
-    return rows.select("conv_id", "turn", F.get_json_object("blocks", "$.stop_reason").alias("stop_reason"), F.sha2(dialects.answer_to_choices(F.col("blocks")), 256).alias("choices_sha256"))
+    rows = rows.withColumn("choices", dialects.answer_to_choices(F.col("blocks")))
+    at = lambda x, path: F.get_json_object(x, path)
+    return rows.select(
+        "conv_id", "turn", at("blocks", "$.id").alias("id"), at("blocks", "$.stop_reason").alias("stop_reason"), F.md5(at("blocks", "$.content[0].text")).alias("text_md5"),
+        at("choices", "$.choices[0].finish_reason").alias("finish_reason"), F.md5(at("choices", "$.choices[0].message.content")).alias("again_md5"),
+    )
 
 
-@query()
+@query(
+    """WITH e AS (SELECT conv_id, turn, text, list_concat(list_concat(CASE WHEN turn = 0 THEN ['message_start', 'content_block_start'] ELSE [] END, CASE WHEN coalesce(text, '') <> '' THEN ['content_block_delta'] ELSE [] END),
+  CASE WHEN role = 'assistant' THEN ['content_block_stop', 'message_delta', 'message_stop'] ELSE [] END) AS es FROM conversations),
+u AS (SELECT conv_id, turn, text, unnest(es) AS event, unnest(range(0, len(es))) AS pos FROM e)
+SELECT conv_id, turn, pos::BIGINT AS pos, event, CASE WHEN event = 'content_block_delta' THEN md5(text) END AS text_md5, CASE WHEN event = 'message_delta' THEN 'end_turn' END AS stop_reason FROM u"""
+)
 def stream_events(spark, sf_dir):
     chunk = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"), F.when(F.col("role") == "assistant", "stop").alias("finish_reason"))).alias("choices")))
     rows = texts(spark, sf_dir, "conversations").select("conv_id", "turn", dialects.stream_events(chunk, F.col("turn") == 0).alias("events"))
-    return rows.select("conv_id", "turn", F.posexplode("events")).select("conv_id", "turn", "pos", F.sha2("col", 256).alias("event_sha256"))
+    rows = rows.select("conv_id", "turn", F.posexplode("events")).withColumn("data", F.regexp_extract("col", r"(?s)\Aevent: [a-z_]+\ndata: (.*)\n\n\z", 1))
+    delta = lambda name: F.get_json_object("data", f"$.delta.{name}")
+    return rows.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.get_json_object("data", "$.type").alias("event"), F.md5(delta("text")).alias("text_md5"), delta("stop_reason").alias("stop_reason"))
 
 
 _HEADERS = lambda: F.when(F.col("page_id") % 3 == 0, F.create_map(F.lit("X-Api-Key"), F.lit("k"))).when(F.col("page_id") % 3 == 1, F.create_map(F.lit("X-Target-Provider"), F.lit("OpenAI"))).otherwise(F.create_map(F.lit("accept"), F.lit("*")))
