@@ -96,3 +96,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
+
+
+def _runs(name: str, length: int) -> str:
+    """CTEs up to {name} (doc_id, a, b): maximal runs of bytes that repeated strings cover, from d (doc_id, x: hex, n)."""
+    return f"""{name}_w AS (SELECT doc_id, i, md5(substring(x, 2 * i + 1, {2 * length})) AS g FROM (SELECT doc_id, x, unnest(range(0, n - {length - 1})) AS i FROM d WHERE n >= {length})),
+{name}_r AS (SELECT doc_id, i FROM {name}_w WHERE g IN (SELECT g FROM {name}_w GROUP BY g HAVING count(*) > 1)),
+{name}_m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 0 ELSE 1 END AS new FROM {name}_r),
+{name}_k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM {name}_m),
+{name} AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM {name}_k GROUP BY doc_id, k)"""
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+{_runs("gone", LENGTH)},
+{_runs("shared", SHORTER)},
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM gone UNION ALL SELECT doc_id, max(b), 9223372036854775807 FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substring(x, 2 * s + 1, 2 * (least(e, n) - s)), '' ORDER BY s) AS k FROM pieces JOIN d USING (doc_id) GROUP BY doc_id),
+g AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM gone GROUP BY doc_id),
+h AS (SELECT doc_id, sum(b - a)::BIGINT AS n_shared FROM shared GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256, coalesce(n_shared, 0)::BIGINT AS n_shared
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
