@@ -11,7 +11,7 @@ group's keys leave another group whole (pigeonhole): at a similarity of just 0.8
 probability 0.42 and of any with 0.98; at 0.85 with 0.998. The README has the recall measured on documents.
 
 Texts that share a key are compared by their fingerprints first: a pair further apart than ``APART`` bits can't be linked
-(nearly three deviations above what 0.8 gives on the average; for sets of a few shingles the bound is wider). What is left is compared in full, by its sets, made
+(more than two deviations above what 0.8 gives on the average; for sets of a few shingles the bound is wider). What is left is compared in full, by its sets, made
 again from the texts. Pairs come in three rounds, each leaving out pairs that are in one component already: every text
 with the nearest of its keys' heads (a key's head is its text with the least hash, the same for most keys of a family),
 then with its keys' other heads, then, within keys whose texts are still in several components, with texts of other
@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemill.llm.common import bounded_broadcast, drop_stash, stash
@@ -46,8 +46,7 @@ WIDTH = 23
 #: 64-bit words of a fingerprint.
 WORDS = -(-GROUPS * SEGMENTS * WIDTH // 64)
 #: Of 483 bits, pairs at 0.8 differ in 73 on the average, with a deviation of 8; unrelated ones in 241.
-#: The last round takes the nearer pairs first; what they link needs no further ones.
-NEARER, APART = 80, 95
+APART = 92
 #: Sets of fewer shingles get a wider bound.
 FEW = 30
 BLOCK = 1 << 20
@@ -207,12 +206,10 @@ def apart(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(f"bits{x}")[i].bitwiseXOR(F.col(f"bits{y}")[i])) for i in range(WORDS)), F.lit(0))
 
 
-def near(x: str, y: str, above: int = -1, upto: int = APART) -> Column:
-    """Whether two rows' sizes and fingerprints allow a link and the distance, for sets of some size, is over ``above`` and
-    at most ``upto``. Sums over few shingles are often zero, so their signs vary and the distances of small sets more."""
+def near(x: str, y: str) -> Column:
+    """Whether two rows' sizes and fingerprints allow a link. Sums over few shingles are often zero, so their signs vary."""
     least, most = F.least(f"n{x}", f"n{y}"), F.greatest(f"n{x}", f"n{y}")
-    distance = apart(x, y) - F.when(least < FEW, 30).otherwise(0)
-    return (5 * least >= 4 * most) & (distance <= upto) & ((distance > above) if above >= 0 else F.lit(True))
+    return (5 * least >= 4 * most) & (apart(x, y) <= F.when(least < FEW, APART + 30).otherwise(APART))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -228,13 +225,13 @@ def rooted(df: DataFrame, roots: DataFrame, x: str) -> DataFrame:
 
 
 def links(nodes: DataFrame, pairs: DataFrame, keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of linked sets. nodes: (sid, n, bits); pairs: (a, b) that share a key with nobody else; keys: (g, sid),
-    of keys that more sets have."""
-    of = nodes.select("sid", "n", "bits")
-    heads = keys.groupBy("g").agg(F.min_by("sid", F.xxhash64("sid")).alias("b"))
-    stars = keys.join(heads, "g").filter("sid <> b").select(F.col("sid").alias("a"), "b").union(pairs).distinct()
-    stars = stars.join(side(of, "a", "n", "bits"), "a").join(side(of, "b", "n", "bits"), "b").filter(near("a", "b"))
-    stars = stash(stars.select("a", "b", apart("a", "b").alias("apart")), "stars")
+    """(node, root) of linked sets. nodes: (sid, n, bits); pairs: (a, b) that share a key with nobody else; keys: (g, sid, n,
+    bits), of keys that more sets have."""
+    heads = keys.groupBy("g").agg(F.min_by(F.struct("sid", "n", "bits"), F.xxhash64("sid")).alias("h")).select("g", F.col("h.sid").alias("b"), F.col("h.n").alias("nb"), F.col("h.bits").alias("bitsb"))
+    to_heads = side(keys, "a", "g", "n", "bits").join(heads, F.col("ga") == F.col("g")).filter("a <> b")
+    alone = pairs.join(side(nodes, "a", "n", "bits"), "a").join(side(nodes, "b", "n", "bits"), "b")
+    met = [x.filter(near("a", "b")).select("a", "b", apart("a", "b").alias("apart")) for x in (to_heads, alone)]
+    stars = stash(met[0].union(met[1]).distinct(), "stars")
     one = stash(stars.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "one")
     edges = linked(one, sets)
     roots = stash(components(edges), "roots")
@@ -245,27 +242,22 @@ def links(nodes: DataFrame, pairs: DataFrame, keys: DataFrame, sets: DataFrame)
     edges = stash(edges.union(more), "edges")
     drop_stash(more)
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for above, upto in ((-1, NEARER), (NEARER, APART)):
-        more = linked(unlike(of, keys, components(edges), above, upto).join(seen, ["a", "b"], "left_anti"), sets)
-        edges = stash(edges.union(more), "edges")
-        drop_stash(more)
+    more = linked(unlike(keys, components(edges)).join(seen, ["a", "b"], "left_anti"), sets)
     drop_stash(stars)
-    return components(edges)
+    return components(edges.union(more))
 
 
-def unlike(of: DataFrame, keys: DataFrame, roots: DataFrame, above: int, upto: int) -> DataFrame:
-    """(a, b): sets that share a key, are in different components and lie so far apart."""
-    roots = stash(roots, "roots")
-    placed = rooted(keys.withColumnRenamed("sid", "a"), roots, "a")
-    still = placed.groupBy("g").agg(F.min("roota").alias("x"), F.max("roota").alias("y")).filter("x <> y").select("g")
-    placed = stash(placed.join(still, "g", "left_semi"), "open")
-    own = placed.groupBy("a").agg(F.collect_set("g").alias("keysa"))
-    rows = placed.join(own, "a").join(side(of, "a", "n", "bits"), "a")
+def unlike(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): near sets that share a key and are in different components."""
+    placed = stash(rooted(keys, roots, "sid"), "placed")
+    still = placed.groupBy("g").agg(F.min("rootsid").alias("x"), F.max("rootsid").alias("y")).filter("x <> y").select("g")
+    rows = placed.join(still, "g").withColumn("shared", F.collect_set("g").over(Window.partitionBy("sid")))
+    rows = stash(rows.select("g", *[F.col(c).alias(f"{x}a") for c, x in (("sid", ""), ("rootsid", "root"), ("n", "n"), ("bits", "bits"), ("shared", "keys"))]), "open")
     other = rows.withColumnsRenamed({f"{c}a": f"{c}b" for c in ("", "root", "keys", "n", "bits")})
     first = F.array_min(F.array_intersect("keysa", "keysb")) == F.col("g")
-    out = rows.join(other, "g").filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near("a", "b", above, upto) & first)
+    out = rows.join(other, "g").filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near("a", "b") & first)
     out = stash(out.select("a", "b"), "unlike")
-    for t in (roots, placed):
+    for t in (placed, rows):
         drop_stash(t)
     return out
 
@@ -286,9 +278,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = keys.select("sid").union(pairs.select("a")).union(pairs.select("b")).distinct()
     nodes = stash(marked.join(wanted, "sid", "left_semi").select("sid", "th", "n", "bits").dropDuplicates(["sid"]), "nodes")
     texts = rows.select("th", "raw").join(bounded_broadcast(nodes.select("sid", "th")), "th").dropDuplicates(["sid"])
+    keyed = stash(keys.join(nodes.select("sid", "n", "bits"), "sid"), "keyed")
     sets = stash(texts.select("sid", "raw").mapInArrow(sets_of, "sid bigint, g array<bigint>"), "sets")
-    roots = stash(links(nodes, pairs, keys, sets), "roots")
-    for t in (several, pairs, keys, nodes, sets):
+    roots = stash(links(nodes, pairs, keyed, sets), "roots")
+    for t in (several, pairs, keys, keyed, nodes, sets):
         drop_stash(t)
     return marked.select("doc_id", "th", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
 
