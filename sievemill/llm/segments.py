@@ -1,7 +1,7 @@
 """Minimiser segments: which parts of texts can hold a window that stands elsewhere too.
 
 A text is a row of units (words or bytes). A window is ``length`` units in a row; its minimiser is the leftmost of its
-``gram``-unit substrings with the least hash. Equal windows have equal minimisers at equal places. Windows in a row with
+``gram``-unit substrings whose hash is least in its upper bits. Equal windows have equal minimisers at equal places. Windows in a row with
 one minimiser make a segment, so each window lies in exactly one segment, and equal windows lie in segments with the same
 minimiser hash.
 """
@@ -61,15 +61,15 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
-    """For each run of width values the place of its leftmost least one."""
-    val, at, span = values, np.arange(len(values), dtype=np.int64), 1
+    """For each run of width values the place of its leftmost least one, by the upper bits of the values: the lower ones
+    give way to the place, so that one minimum finds both."""
+    bits = np.uint64(max(20, len(values).bit_length()))
+    out, span = values >> bits << bits | np.arange(len(values), dtype=np.uint64), 1
     while span < width:
         step = min(span, width - span)
-        right = val[step:] < val[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        val = np.where(right, val[step:], val[:-step])
+        out = np.minimum(out[:-step], out[step:])
         span += step
-    return at
+    return (out & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def segments(units: np.ndarray, starts: np.ndarray, length: int, gram: int, reach: int) -> tuple[np.ndarray, ...]:

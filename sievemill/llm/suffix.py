@@ -10,7 +10,7 @@ def suffix_array(first: np.ndarray, width: int, depth: int) -> tuple[np.ndarray,
     equal to the one before it. first: ranks of the suffixes by their first ``width`` units. Every round doubles the width;
     only groups of suffixes that are still equal are sorted again, by the rank of what follows."""
     n = len(first)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     ranks = group_ends(first[order])

@@ -27,7 +27,7 @@ from sievemill.llm.common import documents
 LENGTH, GRAM = 400, 48
 #: Strings of this length that repeat are reported, not removed: passages of 50 words and more are that long.
 SHORTER = 280
-CAP, SHARD_BYTES = 2048, 1_200_000
+CAP, SHARD_BYTES = 2048, 320_000
 GAP = b"\xff"
 
 
@@ -55,8 +55,7 @@ def judge(*lengths: int):
         places = begin[seg] + at
         left = np.array([len(p) for p in pieces], np.int64)[seg] - at
         if other is None:
-            # to the end of the longest piece, so that few suffixes stay tied
-            order, tied = suffix.suffix_array(suffix.packed(data, 7), 7, max(map(len, pieces)) + 1)
+            order, tied = suffix.suffix_array(suffix.packed(data, 7), 7, longest)
             prefix = suffix.among(suffix.kasai(words, order, tied, begin, longest), order, places)
             hits = [prefix[places] >= x for x in lengths]
         else:
