@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievemill.llm import curriculum, decontaminate, exact_dedup, kneser_ney, ppm, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
+from sievemill.llm import curriculum, decontaminate, exact_dedup, kneser_ney, ppm, resample, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash,
     "op9_exact_dedup": exact_dedup,
     "op10_curriculum": curriculum,
+    "op11_resample": resample,
 }
 
 
