@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievemill.llm import curriculum, decontaminate, exact_dedup, kneser_ney, ppm, resample, simhash, substring_dedup, suffix_dedup, token_counts, url_filter, vector_codes
+from sievemill.llm import curriculum, decontaminate, exact_dedup, kneser_ney, ppm, resample, simhash, substring_dedup, suffix_dedup, token_counts, top_k, url_filter, vector_codes
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_curriculum": curriculum,
     "op11_resample": resample,
     "op12_vector_codes": vector_codes,
+    "op13_top_k": top_k,
 }
 
 
