@@ -41,11 +41,13 @@ AT_ONCE = 65_536
 def buckets_of(words: Column, n: int, longest: int) -> Column:
     """Buckets of all runs of 1 to ``longest`` words."""
     bucket = lambda s: (F.crc32(s) % n).cast("int")
-    runs = [F.transform(words, bucket)]
-    for size in range(2, longest + 1):
+
+    def runs(size: int) -> Column:
         starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, size=size: bucket(F.array_join(F.slice(words, i, size), " "))))
-    return runs[0] if longest == 1 else F.concat(*runs)
+        return F.transform(starts, lambda i: bucket(F.array_join(F.slice(words, i, size), " ")))
+
+    singles = F.transform(words, bucket)
+    return singles if longest == 1 else F.concat(singles, *[runs(size) for size in range(2, longest + 1)])
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, n: int = BUCKETS, longest: int = LONGEST_RUN) -> DataFrame:
