@@ -1,21 +1,21 @@
 """Static checks of code snippets: five rules over Python, JavaScript/TypeScript and Rust.
 
 Python is parsed with ast; code that doesn't parse is cut back to the part before the error, once. The other languages are
-read by blanking strings and comments and searching what is left. Deviations from a full syntax tree: node counts are those
-of ast, the depth limit is that of ast's nesting, and a word after a dot isn't a call of its own.
+read as tokens. Deviations from a full syntax tree: limits are on ast's nodes and nesting, and on tokens and brackets.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_BYTES, MAX_NODES, MAX_DEPTH = 1 << 20, 50_000, 128
+from sievemill.functions.tokens import MAX_DEPTH, MAX_TOKENS, TooMuch, js_tokens, partners, rust_tokens, without_macros
+
+MAX_BYTES = 1 << 20
 KIND = "struct<status:string,error:string,language:string,total_findings:int,findings:array<struct<rule:string,severity:string,message:string,line:int,`column`:int,snippet:string>>>"
 # Names of languages, rules and messages.
 LANGUAGES = {"python": "python", "py": "python", "javascript": "js", "js": "js", "mjs": "js", "cjs": "js", "typescript": "js", "ts": "js", "mts": "js", "cts": "js", "tsx": "js", "rust": "rust", "rs": "rust"}
@@ -29,10 +29,6 @@ PANIC = ("rust/explicit-panic", "warning", "Reliability Hazard: Explicit '{}!()'
 Finding = tuple[str, str, str, int, int, str]
 
 
-class TooMuch(Exception):
-    """A limit is passed."""
-
-
 def utf16_column(prefix: str) -> int:
     """Column, from 1, of what follows prefix on its line, in UTF-16 units."""
     return len(prefix.encode("utf-16-le", "surrogatepass")) // 2 + 1
@@ -65,10 +61,10 @@ def paths(tree: ast.AST) -> Iterator[tuple[ast.AST, tuple[ast.AST, ...]]]:
     while todo:
         node, above = todo.pop()
         seen += 1
-        if seen > MAX_NODES:
-            raise TooMuch(f"AST node limit exceeded ({MAX_NODES} nodes)")
+        if seen > MAX_TOKENS:
+            raise TooMuch(f"AST node count limit exceeded (visited > {MAX_TOKENS} nodes)")
         if len(above) > MAX_DEPTH:
-            raise TooMuch(f"AST depth limit exceeded ({MAX_DEPTH})")
+            raise TooMuch(f"AST nesting depth limit exceeded (depth > {MAX_DEPTH})")
         yield node, above
         todo.extend((c, (*above, node)) for c in reversed(list(ast.iter_child_nodes(node))))
 
@@ -141,38 +137,39 @@ def lint_python(code: str) -> list[Finding]:
 
 # JavaScript, TypeScript, Rust
 
-_JS = re.compile(r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:\\[\s\S]|[^"\\\n])*"|'(?:\\[\s\S]|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`""")
-_RUST = re.compile(r'''//[^\n]*|/\*[\s\S]*?\*/|r(#*)"[\s\S]*?"\1|b?"(?:\\[\s\S]|[^"\\])*"|b?'(?:\\[^\n]|[^'\\\n])'(?!')''')
-
-
-def blanked(code: str, pattern: re.Pattern) -> str:
-    return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
-
-
-def closing(code: str, at: int) -> int:
-    """Where the bracket that opens at a place is closed; the end if it isn't."""
-    pairs, depth = {"(": ")", "[": "]", "{": "}"}, 0
-    for i in range(at, len(code)):
-        depth += (code[i] in pairs) - (code[i] in pairs.values())
-        if not depth:
-            return i + 1
-    return len(code)
-
 
 def lint_js(code: str) -> list[Finding]:
-    plain = blanked(code, _JS)
-    calls = []
-    for m in re.finditer(r"(?<![\w$.#])(new\s+)?(eval|Function)\s*(\()", plain):
-        if m[1] and m[2] == "eval" or re.search(r"\b(?:function|class)\s*\*?\s*$", plain[: m.start(2)]):
+    tokens = list(js_tokens(code))
+    ends, calls, stops = partners(tokens), [], []
+    text = lambda i: tokens[i].text if 0 <= i < len(tokens) else ""
+    for i, t in enumerate(tokens):
+        if t.kind != "name" or text(i - 1) in (".", "?.", "function") or text(i - 1) == "*" and text(i - 2) == "function":
             continue
-        calls.append(finding(NEW if m[1] else EVAL, m[2], code, m.start(), closing(plain, m.start(3))))
-    stops = [finding(DEBUGGER, "", code, m.start(), m.end()) for m in re.finditer(r"(?<![\w$.#])debugger(?![\w$])(?!\s*[:=.(,)\]])\s*;?", plain)]
-    return calls + [(*f[:5], f[5].rstrip()) for f in stops]
+        at = i + 1 + (text(i + 1) == "?.")
+        if t.text == "debugger" and text(i + 1) not in (":", "=", ".", "(", ",", ")", "]"):
+            stops.append(finding(DEBUGGER, "", code, t.at, tokens[i + 1].end if text(i + 1) == ";" else t.end))
+        elif t.text == "Function" and text(i - 1) == "new" and text(i + 1) not in (".", "?.", "["):
+            calls.append(finding(NEW, t.text, code, tokens[i - 1].at, tokens[ends[at]].end if text(at) == "(" else t.end))
+        elif t.text in ("eval", "Function") and text(i - 1) not in ("new", "class"):
+            if text(at) == "(" and text(ends[at] + 1) != "{":
+                calls.append(finding(EVAL, t.text, code, t.at, tokens[ends[at]].end))
+            elif text(at)[:1] == "`":
+                calls.append(finding(EVAL, t.text, code, t.at, tokens[at].end))
+    return calls + stops
 
 
 def lint_rust(code: str) -> list[Finding]:
-    plain = blanked(code, _RUST)
-    return [finding(PANIC, m[1], code, m.start(), closing(plain, m.end() - 1)) for m in re.finditer(r"(?<![\w:])(?:::)?(?:\w+\s*::\s*)*(panic|todo|unimplemented)\s*!\s*[(\[{]", plain)]
+    """Macros inside another macro's brackets are that macro's business, not invocations in the code."""
+    tokens, whole = list(rust_tokens(code)), partners(list(rust_tokens(code)))
+    ends = {tokens[a].at: tokens[b].end for a, b in whole.items()}
+    tokens, out = without_macros(tokens), []
+    for i, t in enumerate(tokens[:-2]):
+        if t.kind == "name" and t.text in ("panic", "todo", "unimplemented") and tokens[i + 1].text == "!" and tokens[i + 2].text in ("(", "[", "{"):
+            first = i
+            while first >= 1 and tokens[first - 1].text == "::":
+                first -= 2 if first >= 2 and tokens[first - 2].kind == "name" else 1
+            out.append(finding(PANIC, t.text, code, tokens[first].at, ends[tokens[i + 2].at]))
+    return out
 
 
 RULES: dict[str, list[Callable[[str], list[Finding]]]] = {"python": [lint_python], "js": [lint_js], "rust": [lint_rust]}
@@ -183,14 +180,6 @@ def register(language: str, rule: Callable[[str], list[Finding]]) -> None:
     RULES[language].append(rule)
 
 
-def nesting(code: str) -> int:
-    depth = most = 0
-    for c in code:
-        depth += (c in "([{") - (c in ")]}")
-        most = max(most, depth)
-    return most
-
-
 def analyze(language: str, code: str) -> tuple:
     kind = LANGUAGES.get(language.lower())
     size = len(code.encode())
@@ -199,8 +188,6 @@ def analyze(language: str, code: str) -> tuple:
     if kind is None:
         return "error", f"Unsupported language: '{language.lower()}'", language, 0, []
     try:
-        if kind != "python" and nesting(blanked(code, _JS if kind == "js" else _RUST)) > MAX_DEPTH:
-            raise TooMuch(f"AST depth limit exceeded ({MAX_DEPTH})")
         found = [f for rule in RULES[kind] for f in rule(code)]
     except TooMuch as e:
         return "error", str(e), language, 0, []

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievemill.functions import lint
+from sievemill.functions.tokens import TooMuch, js_error, rust_error
+from sievemill.functions.yamlcheck import yaml_error
 
 KIND = "struct<status:string,text:string>"
 FOUND_NONE = "Error: original_code not found in the file. Make sure it matches exactly."
@@ -80,20 +82,12 @@ def syntax_error(kind: str, code: str) -> str | None:
         elif kind == "toml":
             tomllib.loads(code)
         elif kind in ("yaml", "yml"):
-            bad = next((i for i, r in enumerate(code.split("\n"), 1) if r[: indent(r)].count("\t") and r.strip()), None)
-            return f"line {bad}: tab in indent" if bad else None
+            return yaml_error(code)
         elif lint.LANGUAGES.get(kind) == "python":
             ast.parse(code)
         elif kind in lint.LANGUAGES:
-            plain = lint.blanked(code, lint._RUST if lint.LANGUAGES[kind] == "rust" else lint._JS)
-            stack = []
-            for c in plain:
-                if c in "([{":
-                    stack.append(")]}"["([{".index(c)])
-                elif c in ")]}" and (not stack or stack.pop() != c):
-                    return f"unexpected '{c}'"
-            return f"missing '{stack[-1]}'" if stack else None
-    except (ValueError, SyntaxError, RecursionError) as e:
+            return rust_error(code) if lint.LANGUAGES[kind] == "rust" else js_error(code)
+    except (ValueError, SyntaxError, RecursionError, TooMuch) as e:
         return str(e)[:200]
     return None
 
