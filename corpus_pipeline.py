@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm import curriculum, decontaminate, exact_dedup, kneser_ney, similar
-from sievemill.llm.common import documents, stash, sweep
+from sievemill.llm.common import documents, stash
+from sievemill.sources.scratch import scope, sweep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +44,14 @@ STAGES = [("quality classifier", quality), ("exact dedup", exact), ("near dedup"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages in turn. What a stage has left in the shared folder goes once its result is written, and so does the result
+    of the stage before; tables of other queries stay."""
+    docs, before = documents(spark, sf_dir), set()
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        sweep(spark, docs)
+        with scope() as made:
+            docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark, made | before, docs)
+        before = {docs._stash_path}
     return docs
 
 

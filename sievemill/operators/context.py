@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.functions import noise, text, traces
+from sievemill.operators.skew import join_unique
+from sievemill.sources.scratch import written
 
 
 def source_lines(sources: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -47,9 +49,43 @@ def windows_by_lines(found: DataFrame, lines: DataFrame, context: int = 5) -> Da
     return met.select("f.id", "f.pos", "f.path", "f.line", "s.line_no", F.col("s.line").alias("text"))
 
 
-def contexts(found: DataFrame, sources: DataFrame, context: int = 5) -> DataFrame:
-    """(id, context, files): windows in frame order as one text, files in order of first sight."""
-    rows = windows(found, sources, context).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "path", "body"))).alias("w"))
+def windows_binned(found: DataFrame, lines: DataFrame, context: int = 5, root: str | None = None) -> DataFrame:
+    """What ``windows`` gives, from source_lines, for files of any length and paths of any frequency.
+
+    Each place (path, line) is cut out once, however many frames name it: its window lies in two bins of lines at most, so
+    places and lines meet by equal (path, bin) and a long file is spread over its bins. The windows then go to their frames;
+    places that a thousandth of all frames name are sent to every task. root: only paths within it are read."""
+    if root is not None:
+        found = found.filter(inside(F.col("path"), root))
+    width = 2 * context + 1
+    places = written(found.groupBy("path", "line").agg(F.count("*").alias("frames")), "places")
+    first, last = window(F.col("line"), F.col("line") + context, context)
+    bins = F.sequence(F.floor((first - 1) / width), F.floor((F.greatest(last, first) - 1) / width))
+    wanted = places.select("path", "line", F.explode(bins).alias("bin")).withColumns({"first": first, "last": last})
+    rows = lines.select(F.col("path").alias("p"), F.floor((F.col("line_no") - 1) / width).alias("b"), "line_no", F.col("line").alias("s"))
+    met = wanted.join(rows, (F.col("path") == F.col("p")) & (F.col("bin") == F.col("b")) & F.col("line_no").between(F.col("first"), F.col("last")))
+    cut = met.groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("line_no", "s"))).alias("rows"), F.max("line_no").alias("end"))
+    files = lines.groupBy("path").agg(F.max("n_lines").alias("n_lines"))
+    known = places.join(files, "path").join(cut, ["path", "line"], "left")
+    end = F.coalesce("end", F.least(F.col("line") + context, F.col("n_lines"))).cast("long")
+    body = F.array_join(F.transform("rows", lambda r: F.concat(r["line_no"].cast("string"), F.lit(" | "), r["s"], F.lit("\n"))), "")
+    head = F.format_string("--- %s (Lines %d-%d) ---\n", F.col("path"), first, end)
+    known = known.select("path", "line", "frames", first.alias("first"), end.alias("last"), F.concat(head, F.coalesce(body, F.lit("")), F.lit("\n")).alias("body"))
+    total = places.agg(F.sum("frames")).first()[0] or 0
+    return join_unique(found, known, ["path", "line"], "frames", total).select("id", "pos", "path", "line", "first", "last", "body")
+
+
+def contexts(found: DataFrame, sources: DataFrame, context: int = 5, root: str | None = None) -> DataFrame:
+    """(id, context, files): windows in frame order as one text, files in order of first sight. root: only paths within it
+    are read; without one, all are."""
+    if root is not None:
+        found = found.filter(inside(F.col("path"), root))
+    return put_together(windows(found, sources, context))
+
+
+def put_together(cut: DataFrame) -> DataFrame:
+    """(id, context, files) of windows."""
+    rows = cut.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "path", "body"))).alias("w"))
     return rows.select("id", F.array_join(F.transform("w", lambda x: x["body"]), "").alias("context"), F.array_distinct(F.transform("w", lambda x: x["path"])).alias("files"))
 
 

@@ -3,8 +3,8 @@
 A log is (file, pos, line) with pos counting lines from 0. What a line means may depend on lines far before it (the header
 of an idle goroutine, the BEGIN of a key) and, for keys, on whether an END comes later. ``scanned`` finds that in two
 passes over blocks of consecutive lines: each block is first summed up in one row (the latest event in it); those rows are
-carried over a file's blocks; then each block goes on from what the blocks before it have left. A task holds a block, never
-a file, and lines are shuffled once.
+carried over a file's blocks, in the same way; then each block goes on from what the blocks before it have left. A task
+holds a block, never a file, and lines are shuffled once.
 
 Null lines are kept as they are and mean nothing to others. Null file names are a file of their own. Positions must be unique within a
 file; gaps in them do no harm.
@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemill.functions import noise, redaction, text
+from sievemill.sources.scratch import written
 
-#: Consecutive lines of a block.
-LINES = 20_000
+#: Consecutive lines of a block, and of blocks of a block above; levels of blocks.
+LINES, LEVELS = 20_000, 2
 
 
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,26 +38,34 @@ def raw_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def scanned(rows: DataFrame, last: dict[str, Column], most: dict[str, Column] | None = None, block: int = LINES) -> DataFrame:
     """rows with, for each event in last, its latest value that isn't null in the file: ``name`` up to and with the row,
     ``name_before`` without it; and for each of most, its largest value in the whole file."""
-    most = most or {}
-    pos = F.col("pos")
-    kept = rows.columns
-    events = {f"_{n}": c for n, c in (last | most).items()}
-    rows = rows.withColumns({"_file": F.struct("file"), "_block": F.floor(pos / block), **events})
-    latest = lambda n: F.max_by(F.col(n), F.when(F.col(n).isNotNull(), pos)).alias(n)
-    per = rows.groupBy("_file", "_block").agg(*[latest(f"_{n}") for n in last], *[F.max(f"_{n}").alias(f"_{n}") for n in most])
-    of_file = Window.partitionBy("_file")
-    earlier = of_file.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = {f"_{n}_in": F.last(f"_{n}", True).over(earlier) for n in last} | {n: F.max(f"_{n}").over(of_file) for n in most}
-    known = reduce(lambda a, n: a | F.col(n).isNotNull(), carried, F.lit(False))
-    carry = per.select("_file", "_block", *[c.alias(n) for n, c in carried.items()]).filter(known)
-    met = rows.join(carry, ["_file", "_block"], "left")
-    inside = Window.partitionBy("_file", "_block").orderBy("pos")
-    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    most, kept = most or {}, rows.columns
+    rows = rows.withColumns({"_file": F.struct("file"), "_at": F.col("pos"), **{f"_{n}": c for n, c in (last | most).items()}})
+    met = carried(rows, [f"_{n}" for n in last], [f"_{n}" for n in most], block, LEVELS)
     out = {}
     for n in last:
-        out[n] = F.coalesce(F.last(f"_{n}", True).over(upto), F.col(f"_{n}_in"))
-        out[f"{n}_before"] = F.coalesce(F.last(f"_{n}", True).over(before), F.col(f"_{n}_in"))
-    return met.select(*kept, *[c.alias(n) for n, c in out.items()], *most)
+        out[n] = F.coalesce(f"_{n}", f"_{n}_before")
+        out[f"{n}_before"] = F.col(f"_{n}_before")
+    return met.select(*kept, *[c.alias(n) for n, c in out.items()], *[F.col(f"_{n}_most").alias(n) for n in most])
+
+
+def carried(rows: DataFrame, last: list[str], most: list[str], block: int, levels: int) -> DataFrame:
+    """rows (_file, _at, events) with the latest value of each of last before the row, ``_before``, and the largest of each
+    of most in the file, ``_most``. Blocks are summed up and carried on in the same way, as rows of a level above; at the top
+    level, of some thousand blocks for a hundred terabytes, a file is one window."""
+    before = lambda n, over: F.last(n, True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    of_file = Window.partitionBy("_file")
+    if levels == 0:
+        return rows.select("*", *[before(n, of_file.orderBy("_at")).alias(f"{n}_before") for n in last], *[F.max(n).over(of_file).alias(f"{n}_most") for n in most])
+    rows = rows.withColumn("_block", F.floor(F.col("_at") / block))
+    latest = [F.max_by(F.col(n), F.when(F.col(n).isNotNull(), F.col("_at"))).alias(n) for n in last]
+    sums = rows.groupBy("_file", F.col("_block").alias("_at")).agg(*latest, *[F.max(n).alias(n) for n in most])
+    above = carried(sums, last, most, block, levels - 1)
+    known = reduce(lambda a, n: a | F.col(n).isNotNull(), [*(f"{n}_before" for n in last), *(f"{n}_most" for n in most)], F.lit(False))
+    above = above.filter(known).select("_file", F.col("_at").alias("_block"), *[F.col(f"{n}_before").alias(f"{n}_in") for n in last], *[f"{n}_most" for n in most])
+    inside = Window.partitionBy("_file", "_block").orderBy("_at")
+    met = rows.join(above, ["_file", "_block"], "left")
+    out = met.withColumns({f"{n}_before": F.coalesce(before(n, inside), F.col(f"{n}_in")) for n in last})
+    return out.drop("_block", *[f"{n}_in" for n in last])
 
 
 # Pruning
@@ -127,6 +136,7 @@ def redacted_lines(rows: DataFrame, custom: Iterable[tuple[str, str | None]] = (
     to_last = yes(F.col("tail_before") == 1) | in_key
     to_next = yes(F.col("tail") == 1) | yes((F.col("key") == 1) & (pos < F.col("end")))
     met = met.filter(~(in_key & F.col("marks").isNull())).select("file", "pos", "line", to_last.alias("to_last"), to_next.alias("to_next"))
+    met = written(met, "bound-lines")
     alone = met.filter(~F.col("to_last") & ~F.col("to_next")).select("file", "pos", "line")
     bound = scanned(met.filter(F.col("to_last") | F.col("to_next")), {"first": F.when(~F.col("to_last"), pos)}, block=block)
     stitched = bound.groupBy(F.struct("file").alias("f"), "first").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))

@@ -33,9 +33,11 @@ def get(store: DataFrame, hashes: DataFrame, now: Column, seconds: int = DAY) ->
 
 
 def save_response(store: DataFrame, responses: DataFrame) -> DataFrame:
-    """The store with responses (hash, content, stored_at) written over it: the latest for each key."""
+    """The store with responses (hash, content, stored_at) written over it: the latest for each key; of several with one
+    time stamp, the one with the largest hash of its content, so that reruns agree."""
     both = store.select("hash", "content", "stored_at").unionByName(responses.select("hash", "content", "stored_at"))
-    return both.groupBy("hash").agg(F.max_by("content", "stored_at").alias("content"), F.max("stored_at").alias("stored_at"))
+    latest = F.max(F.struct("stored_at", F.sha2(F.coalesce("content", F.lit("")), 256), "content")).alias("r")
+    return both.groupBy("hash").agg(latest).select("hash", "r.content", "r.stored_at")
 
 
 def evict(store: DataFrame, now: Column, seconds: int = DAY, most: int = MOST) -> DataFrame:

@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemill.operators.ordered import dealt, prefix_sum
+from sievemill.operators.skew import join_unique
+from sievemill.sources.scratch import written
+
 HOUR, TTL, MOST_ENTRIES = 3600, 300, 1000
 PRICE = 3.0
 # Headers that a proxy doesn't pass on; loopback names.
@@ -50,6 +54,28 @@ def rolling_sum(log: DataFrame, key: str, ts: str, tokens: str, seconds: int = H
     return log.withColumn("hourly_tokens", F.sum(tokens).over(over).cast("long"))
 
 
+def rolling_total(log: DataFrame, ts: str, tokens: str, key: str | None = None, seconds: int = HOUR) -> DataFrame:
+    """log with hourly_tokens as ``rolling_sum`` gives them, for one budget that all share, or for keys of any size.
+
+    A sum over the last hour is the difference of two prefix sums: up to the request's time, and before an hour earlier.
+    Both are asked for as points of one order, which is cut into ranges, so that no key is one task's work. Requests of
+    one time are added up first. Requests without a time or a key are left with null."""
+    whose = F.lit("all") if key is None else F.col(key).cast("string")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = log.withColumns({"_whose": whose, "_at": at})
+    per = written(rows.filter("_whose is not null and _at is not null").groupBy("_whose", "_at").agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("n"), F.count("*").alias("requests")), "times")
+    point = lambda when, n, kind: F.struct(when.cast("long").alias("when"), n.cast("long").alias("n"), F.lit(kind).alias("kind"))
+    both = F.array(point(F.col("_at") - seconds * 1_000_000, F.lit(0), 0), point(F.col("_at"), F.col("n"), 1))
+    points = per.select("_whose", "_at", F.explode(both).alias("p")).select("_whose", "_at", "p.*")
+    sums = prefix_sum(points, [F.col("_whose"), F.col("when"), F.col("kind")], F.col("n"), "before")
+    upto = F.sum(F.when(F.col("kind") == 1, F.col("before") + F.col("n")).otherwise(-F.col("before")))
+    known = sums.groupBy("_whose", "_at").agg(upto.cast("long").alias("hourly_tokens")).join(per.select("_whose", "_at", "requests"), ["_whose", "_at"])
+    total = per.agg(F.sum("requests")).first()[0] or 0
+    met = join_unique(rows, known, ["_whose", "_at"], "requests", total)
+    timeless = rows.filter("_whose is null or _at is null").withColumn("hourly_tokens", F.lit(None).cast("long"))
+    return met.unionByName(timeless).drop("_whose", "_at")
+
+
 def admit(at: np.ndarray, tokens: np.ndarray, limit: int | None, span: float = HOUR, history: list | None = None) -> tuple[np.ndarray, list]:
     """(admitted, history): a request is admitted if the admitted tokens of the last hour and its own are within the limit.
     What isn't admitted isn't recorded. history: (second, tokens) that still count, in order."""
@@ -126,16 +152,78 @@ def response_cache(log: DataFrame, key: str, ts: str, order: str, seconds: int =
 def shared_cache(requests: pd.DataFrame, seconds: int = TTL, most: int = MOST_ENTRIES) -> np.ndarray:
     """Hits of one cache that all keys share: it is emptied when it holds ``most`` entries and another is to be stored.
     requests (key, at) in order; this is one sequence by nature, for a single gateway's log."""
-    stored: dict = {}
-    out = np.zeros(len(requests), bool)
-    for i, (k, at) in enumerate(zip(requests["key"], requests["at"], strict=True)):
-        if k in stored and at - stored[k] < seconds:
+    return shared_run(list(requests["key"]), list(requests["at"]), {}, seconds, most)[0]
+
+
+#: Requests that are replayed in one go.
+REPLAYED = 50_000
+
+
+def shared_hits(log: DataFrame, key: str, ts: str, order: str, seconds: int = TTL, most: int = MOST_ENTRIES, replayed: int = REPLAYED) -> DataFrame:
+    """(key, order, hit) of one cache that all keys share, as ``shared_cache`` gives them, over a log of any size.
+
+    The log is cut into ranges of time, which are replayed at the same time, each from a guessed state (what the range
+    before it left, at first from an empty cache). The states that ranges leave are then handed on; only ranges whose start
+    was guessed wrongly are replayed again, until all starts are what came before. A cache that was emptied within a range
+    at the same request leaves the same state whatever it started from, so few rounds are the rule; a log whose ranges all
+    depend on each other takes as many rounds as there are ranges, and is right nevertheless. A state has ``most`` entries
+    at most; a task holds one range. Requests go in order of (ts, order), which should be unique."""
+    rows = log.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(order).alias("order"))
+    rows = dealt(rows, [F.col("at"), F.col("order")], "part", max(1, -(-log.count() // replayed)))
+    kinds = dict(rows.dtypes)
+    state = f"keys array<{kinds['key']}>, ats array<bigint>"
+    parts = sorted(r["part"] for r in rows.select("part").distinct().collect())
+    spark = rows.sparkSession
+
+    def replay(found: pd.DataFrame, start: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, dict]:
+        found = found.sort_values(["at", "order"], kind="stable", ignore_index=True)
+        stored = dict(zip(start["keys"].iloc[0], start["ats"].iloc[0], strict=True)) if len(start) and start["keys"].iloc[0] is not None else {}
+        return found, *shared_run(found["key"].tolist(), found["at"].tolist(), stored, seconds * 1_000_000, most)
+
+    def left(found: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(found):
+            return pd.DataFrame({"part": [], "keys": [], "ats": []})
+        entries = sorted(replay(found, start)[2].items(), key=lambda e: (e[1], str(e[0])))
+        return pd.DataFrame({"part": [found["part"].iloc[0]], "keys": [[k for k, _ in entries]], "ats": [[a for _, a in entries]]})
+
+    def hits(found: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(found):
+            return pd.DataFrame({"key": [], "order": [], "hit": []})
+        found, hit, _ = replay(found, start)
+        return pd.DataFrame({"key": found["key"], "order": found["order"], "hit": hit})
+
+    def met(which: list[int], starts: DataFrame, run, schema: str) -> DataFrame:
+        mine = F.col("part").isin(which)
+        return rows.filter(mine).groupBy("part").cogroup(starts.filter(mine).groupBy("part")).applyInPandas(run, schema)
+
+    nothing = spark.createDataFrame([], f"part int, {state}")
+    ends = written(met(parts, nothing, left, f"part int, {state}"), "states") if parts else nothing
+    starts = nothing
+    place = F.struct("keys", "ats")
+    while True:
+        handed = ends.select(F.lead("part").over(Window.orderBy("part")).alias("part"), "keys", "ats").filter("part is not null")
+        old = starts.select("part", place.alias("old"))
+        changed = sorted(r["part"] for r in handed.join(old, "part", "left").filter(~place.eqNullSafe(F.col("old")) & ((F.size("keys") > 0) | F.col("old").isNotNull())).select("part").collect())
+        if not changed:
+            break
+        starts = written(handed, "starts")
+        again = met(changed, starts, left, f"part int, {state}")
+        ends = written(ends.filter(~F.col("part").isin(changed)).unionByName(again), "states")
+    out = met(parts, starts, hits, f"key {kinds['key']}, `order` {kinds['order']}, hit boolean") if parts else spark.createDataFrame([], f"key {kinds['key']}, `order` {kinds['order']}, hit boolean")
+    return out.select(F.col("key").alias(key), F.col("order").alias(order), "hit")
+
+
+def shared_run(keys: list, at: list, stored: dict, span: float, most: int) -> tuple[np.ndarray, dict]:
+    """(hits, what is stored in the end) of one cache that starts with what is stored."""
+    out = np.zeros(len(keys), bool)
+    for i, (k, now) in enumerate(zip(keys, at, strict=True)):
+        if k in stored and now - stored[k] < span:
             out[i] = True
             continue
         if len(stored) >= most:
             stored.clear()
-        stored[k] = at
-    return out
+        stored[k] = now
+    return out, stored
 
 
 def estimated(request: Column, response: Column) -> Column:

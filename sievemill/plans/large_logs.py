@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.functions import text
 from sievemill.operators import line_logs
-from sievemill.operators.ordered import prefix_sum
 from sievemill.plans import synthetic
 from sievemill.plans.catalog import _IDLE, LOGS, query, quote, sql_category, sql_lines, sql_pruned, sql_redaction
 
@@ -34,12 +32,9 @@ def prune_line_rows(spark, sf_dir):
 
 
 def one_log(docs: DataFrame, raw: bool = False) -> DataFrame:
-    """(file, pos, line, doc_id, at): all texts, in the order of their ids, as the lines of one log."""
-    n = F.size(F.split("text", "\n", -1) if raw else text.lines(F.col("text")))
-    starts = prefix_sum(docs.select("doc_id", n.cast("long").alias("n")), [F.col("doc_id")], F.col("n"), "start").select(F.col("doc_id").alias("file"), "start")
+    """(file, pos, line, doc_id, at): all texts, in the order of their ids, as the lines of one log. Positions have gaps."""
     rows = (line_logs.raw_rows if raw else line_logs.line_rows)(docs)
-    met = rows.join(starts, "file")
-    return met.select(F.lit("all").alias("file"), (F.col("start") + F.col("pos")).alias("pos"), "line", F.col("file").alias("doc_id"), F.col("pos").alias("at"))
+    return rows.select(F.lit("all").alias("file"), (F.shiftleft(F.col("file"), 32) + F.col("pos")).alias("pos"), "line", F.col("file").alias("doc_id"), F.col("pos").alias("at"))
 
 
 #: A header of an idle goroutine ends every seventh log, so that what follows depends on it.
