@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 import sys
-import tempfile
-import uuid
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemill.sources.scratch import drop_path, fresh_path, written  # noqa: F401 (fresh_path is used by other modules)
 from sievemill.sources.tables import texts
 
 #: The ASCII white space that separates words, as a Java character class.
@@ -21,36 +19,6 @@ WS = "[\\x20\\x09-\\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-_OWN: list[str] = []
-_MADE: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local master gets one of its own (tests);
-    on a cluster that is an error, as executors wouldn't see it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="sievemill-"))
-        named = _OWN[0]
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _MADE.add(path)
-    return path
-
-
-def sweep(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete all that operators have left in the shared folder, once their results are written; but for stashed tables."""
-    kept = {df._stash_path for df in keep}
-    for path in sorted(_MADE - kept):
-        drop_path(spark, path)
-
-
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
@@ -76,21 +44,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def _stash(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    release(spark)
+    out = written(df, name)
+    release(df.sparkSession)
     return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _MADE.discard(path)
-
-
 def drop_stash(df: DataFrame) -> None:
     """Delete a stashed table's files once nothing reads it any more."""
     drop_path(df.sparkSession, df._stash_path)

@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against plain versions of its stages on a small table."""
 
+import os
 from collections import defaultdict
 
 import pytest
@@ -8,8 +9,9 @@ from test_edges import fold, norm
 from test_similar import brute_kept
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from sievemill.llm import common, kneser_ney  # noqa: E402
+from sievemill.llm import kneser_ney, simhash, substring_dedup  # noqa: E402
 from sievemill.llm.common import stash  # noqa: E402
+from sievemill.sources import scratch  # noqa: E402
 
 
 def exact(rows):
@@ -88,10 +90,17 @@ def test_stages_with_nulls_repeats_and_empty_tables(spark, sf):
         assert stage(spark, empty, sf).count() == 0
 
 
-def test_nothing_is_left_in_the_shared_folder(spark, sf):
+def test_a_run_leaves_its_result_only_and_others_alone(spark, sf):
+    """Queries that were built before the run, but not yet read, can still be read after it."""
+    others = [substring_dedup.query(spark, sf), simhash.query(spark, sf)]
+    folder = scratch.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0
-    assert common._MADE == {out._stash_path}
+    assert set(os.listdir(folder)) - before == {os.path.basename(out._stash_path)}
+    assert before <= set(os.listdir(folder))
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert [df.count() for df in others] == [n, n]
 
 
 def test_names_in_order():
