@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.functions.text import let, lines
@@ -143,3 +145,39 @@ def summary(dropped: Column, categories: Column) -> Column:
     """One line about what was dropped."""
     parts = F.array_join(F.transform(categories, lambda c: F.concat(c["category"], F.lit(": "), c["n"].cast("string"))), ", ")
     return F.when(dropped == 0, F.lit("0 frames (lossless)")).otherwise(F.concat(dropped.cast("string"), F.lit(" frames ("), parts, F.lit(")")))
+
+
+# Rules by the thousand
+
+#: Bytes of patterns that are sent to every task at once; more of them take more passes.
+RULE_BYTES = 16 << 20
+
+
+def first_rules(lines: DataFrame, line_col: str, rules: DataFrame, out: str = "rule", most_bytes: int = RULE_BYTES) -> DataFrame:
+    """lines with the smallest ``rule`` (a number) whose ``pattern`` a line holds, whatever its case; null if none.
+
+    The patterns are one automaton, which reads a line once however many they are. Their total size is measured; they are
+    sent in passes of about ``most_bytes`` each. Null and empty patterns hold nowhere."""
+    known = rules.filter("pattern <> '' and rule is not null").select(F.col("rule").cast("long").alias("rule"), F.lower("pattern").alias("pattern"))
+    known = known.groupBy("pattern").agg(F.min("rule").alias("rule"))
+    passes = -(-(known.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0) // most_bytes)
+    found = [hits_of(F.col(line_col), known.filter(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i).collect()) for i in range(passes)]
+    least = F.lit(None).cast("long") if not found else found[0] if len(found) == 1 else F.least(*found)
+    return lines.withColumn(out, least)
+
+
+def hits_of(line: Column, rules: list) -> Column:
+    """The smallest of some rules that a line holds."""
+    pairs = [(r["pattern"], r["rule"]) for r in rules]
+
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = ahocorasick.Automaton()
+        for p, n in pairs:
+            words.add_word(p, n)
+        words.make_automaton()
+        for batch in batches:
+            found = [None if x is None else min((n for _, n in words.iter(x)), default=None) for x in batch]
+            yield pd.Series(found, dtype="Int64")
+
+    return run(F.lower(line)) if pairs else F.lit(None).cast("long")

@@ -259,9 +259,9 @@ def error_signature(spark, sf_dir):
     return synthetic.logs(spark, sf_dir).select("doc_id", signature.error_query(F.col("text")).alias("signature"))
 
 
-@query(f"WITH {LOGS}, {_SIG}, g AS (SELECT substring({_CLEAN}, 1, 100) AS signature FROM s) SELECT signature, count(*) AS n FROM g GROUP BY signature HAVING count(*) > 1")
+@query(f"WITH {LOGS}, {_SIG}, g AS (SELECT substring({_CLEAN}, 1, 100) AS signature FROM s) SELECT signature, count(*) AS n FROM g GROUP BY signature")
 def signature_counts(spark, sf_dir):
-    return error_signature(spark, sf_dir).groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1")
+    return error_signature(spark, sf_dir).groupBy("signature").agg(F.count("*").alias("n"))
 
 
 # F: audits
@@ -453,9 +453,9 @@ def response_cache_hits(spark, sf_dir):
     return traffic.response_cache(log, "key", "ts", "event_id", 3600).select("event_id", "key", "hit")
 
 
-@query("SELECT event_id, sha256(concat(event_type, ':', props)) AS key, (strlen(event_type) + strlen(props)) // 4 AS tokens, CASE WHEN event_id % 5 < 3 THEN least(CASE WHEN event_id % 2 = 0 THEN event_id % 50 ELSE least(2 ** (event_id % 5), 20) END, 30)::BIGINT ELSE -1 END AS wait_s FROM events WHERE props IS NOT NULL")
+@query("SELECT event_id, sha256(event_type || ':' || props) AS key, (strlen(event_type) + strlen(props)) // 4 AS tokens, CASE WHEN event_id % 5 < 3 THEN least(CASE WHEN event_id % 2 = 0 THEN event_id % 50 ELSE least(2 ** (event_id % 5), 20) END, 30)::BIGINT ELSE -1 END AS wait_s FROM events")
 def cache_keys(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("props is not null")
+    e = table(spark, sf_dir, "events")
     after = F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 50)
     return e.select("event_id", traffic.cache_key(F.col("event_type"), F.col("props")).alias("key"), traffic.estimated(F.col("event_type"), F.col("props")).alias("tokens"), F.coalesce(traffic.retry_wait(F.col("event_id") % 5, after), F.lit(-1)).cast("long").alias("wait_s"))
 

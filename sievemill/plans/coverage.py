@@ -94,16 +94,14 @@ def cas_get(spark, sf_dir):
     return store.get(held, wanted, F.lit(now))
 
 
-@query("WITH r AS (SELECT sha256(event_type || ':' || user_id::VARCHAR) AS hash, props, epoch_us(ts) AS us, event_id FROM events WHERE props IS NOT NULL), l AS (SELECT hash, max(us) AS us FROM r GROUP BY hash) SELECT hash, min(md5(props)) AS newest_md5, any_value(l.us)::BIGINT AS stored_us FROM r JOIN l USING (hash) WHERE r.us = l.us GROUP BY hash HAVING count(DISTINCT props) = 1")
+@query("WITH r AS (SELECT sha256(event_type || ':' || user_id::VARCHAR) AS hash, props, epoch_us(ts) AS us FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY us DESC, sha256(coalesce(props, '')) DESC, props DESC NULLS LAST) AS n FROM r) SELECT hash, md5(props) AS newest_md5, us AS stored_us FROM l WHERE n = 1")
 def save_responses(spark, sf_dir):
-    """Keys whose newest answer is one only (of several with one time stamp any may stay)."""
-    e = table(spark, sf_dir, "events").filter("props is not null")
+    """Every key's newest answer; of several with one time stamp the one with the largest hash."""
+    e = table(spark, sf_dir, "events")
     rows = e.select(F.sha2(F.concat_ws(":", "event_type", F.col("user_id").cast("string")), 256).alias("hash"), F.col("props").alias("content"), F.col("ts").cast("timestamp").alias("stored_at"), "event_id")
     old, new = rows.filter("event_id % 2 = 0").drop("event_id"), rows.filter("event_id % 2 = 1").drop("event_id")
-    kept = store.save_response(old.groupBy("hash").agg(F.max_by("content", "stored_at").alias("content"), F.max("stored_at").alias("stored_at")), new)
-    newest = rows.join(kept.select("hash", F.col("stored_at").alias("last")), "hash").filter(F.col("stored_at") == F.col("last"))
-    clear = newest.groupBy("hash").agg(F.countDistinct("content").alias("n")).filter("n = 1").select("hash")
-    return kept.join(clear, "hash").select("hash", F.md5("content").alias("newest_md5"), F.unix_micros("stored_at").alias("stored_us"))
+    kept = store.save_response(store.save_response(old.limit(0), old), new)
+    return kept.select("hash", F.md5("content").alias("newest_md5"), F.unix_micros("stored_at").alias("stored_us"))
 
 
 # L: patches with shifted indents, syntax gates
@@ -148,6 +146,31 @@ def detector_compared(spark, sf_dir):
     return evaluation.compared(truth, theirs).select("id", "type", "found")
 
 
-@query(f"WITH ln AS ({sql_lines('documents')}), t AS (SELECT doc_id, pos, line, max(pos) OVER (PARTITION BY doc_id) AS n FROM ln) SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS tail_md5 FROM t WHERE pos > n - 7 GROUP BY doc_id")
+@query(f"WITH ln AS ({sql_lines('documents')}), t AS (SELECT doc_id, pos, line, max(pos) OVER (PARTITION BY doc_id) AS n FROM ln), g AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS s FROM t WHERE pos > n - 7 GROUP BY doc_id) SELECT doc_id, CASE WHEN text IS NOT NULL THEN md5(coalesce(s, '')) END AS tail_md5 FROM documents LEFT JOIN g USING (doc_id)")
 def text_tails(spark, sf_dir):
-    return texts(spark, sf_dir).filter("text <> ''").select("doc_id", F.md5(text.tail(F.col("text"), 7)).alias("tail_md5"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(text.tail(F.col("text"), 7)).alias("tail_md5"))
+
+
+# L: patches of whole texts: their first long line, as it is, indented, or with something added
+
+
+_BARE = "regexp_replace({0}, '\\A\\s+|\\s+\\z', '', 'g')"
+_TIMES = "(strlen(text) - strlen(replace(text, {0}, ''))) // strlen({0})"
+
+
+@query(
+    f"""WITH ln AS ({sql_lines('documents')}), f AS (SELECT doc_id, arg_min(line, pos) AS line FROM ln WHERE length({_BARE.format('line')}) >= 8 GROUP BY doc_id),
+o AS (SELECT doc_id, text, CASE strlen(text) % 4 WHEN 0 THEN concat(line, 'zz') WHEN 1 THEN concat('  ', line) ELSE line END AS old FROM documents LEFT JOIN f USING (doc_id)),
+k AS (SELECT o.doc_id, count(*) AS k, any_value(line) AS target FROM o JOIN ln ON o.doc_id = ln.doc_id AND {_BARE.format('old')} = {_BARE.format('line')} GROUP BY o.doc_id),
+t AS (SELECT o.doc_id, text, CASE WHEN old IS NOT NULL AND contains(text, old) THEN old WHEN k = 1 THEN target END AS t FROM o LEFT JOIN k USING (doc_id)),
+n AS (SELECT doc_id, text, t, CASE WHEN t IS NULL THEN 0 ELSE {_TIMES.format('t')} END AS n FROM t)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN n = 1 THEN 'ok' WHEN n = 0 THEN 'Error: original_code not found in the file. Make sure it matches exactly.' ELSE concat('Error: original_code found ', n, ' times. Please provide a more specific code block.') END AS status,
+  md5(CASE WHEN n = 1 THEN replace(text, t, 'PATCHED') ELSE text END) AS text_md5 FROM n"""
+)
+def patch_texts(spark, sf_dir):
+    docs = texts(spark, sf_dir)
+    long = F.get(F.filter(text.lines(F.col("text")), lambda x: F.char_length(F.regexp_replace(x, r"\A\s+|\s+\z", "")) >= 8), F.lit(0))
+    m = F.octet_length("text") % 4
+    old = F.when(m == 0, F.concat(long, F.lit("zz"))).when(m == 1, F.concat(F.lit("  "), long)).otherwise(long)
+    rows = docs.select("doc_id", patch.apply_patch(F.col("text"), old, F.lit("PATCHED")).alias("p"))
+    return rows.select("doc_id", "p.status", F.md5("p.text").alias("text_md5"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievemill.operators import context, traffic
+from sievemill.operators.growing_store import GrowingStore
 from sievemill.plans.catalog import _EV, _SRC, _UNION, _WIN, LOGS, _events, _sources, joined, query
+from sievemill.sources.scratch import fresh_path
 from sievemill.sources.tables import table
 
 _TEXTS = """n AS (SELECT path, max(pos)::BIGINT AS n FROM sl GROUP BY path),
@@ -49,3 +51,17 @@ SELECT event_id, hit FROM f"""
 def shared_cache_hits(spark, sf_dir):
     log = table(spark, sf_dir, "events").select("event_id", "ts", F.concat((F.col("user_id") % 40).cast("string"), "event_type").alias("key"))
     return traffic.shared_hits(log, "key", "ts", "event_id", 7200, 12, replayed=2000).select("event_id", "hit")
+
+
+@query("WITH r AS (SELECT sha256(event_type || ':' || (user_id % 500)::VARCHAR) AS hash, props, epoch_us(ts) AS us FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY us DESC, sha256(coalesce(props, '')) DESC, props DESC NULLS LAST) AS n FROM r), s AS (SELECT hash, props, us, row_number() OVER (ORDER BY us DESC, hash) AS place FROM l WHERE n = 1) SELECT hash, md5(props) AS content_md5, us AS stored_us, place <= 1000 AS newest FROM s")
+def store_growth(spark, sf_dir):
+    """A store that takes the events in three merges, and its newest entries from its lists."""
+    e = table(spark, sf_dir, "events")
+    key = F.concat_ws(":", "event_type", (F.col("user_id") % 500).cast("string"))
+    rows = e.select(F.sha2(key, 256).alias("hash"), F.col("props").alias("content"), F.col("ts").cast("timestamp").alias("stored_at"), (F.col("event_id") % 3).alias("batch"))
+    held = GrowingStore(spark, fresh_path(spark, "store"), digits=1)
+    for i in range(3):
+        held.merge(rows.filter(F.col("batch") == i).drop("batch"))
+    now = rows.agg(F.max("stored_at")).first()[0]
+    newest = held.newest_entries(F.lit(now), 10**9).select("hash", F.lit(True).alias("new"))
+    return held.rows().join(newest, "hash", "left").select("hash", F.md5("content").alias("content_md5"), F.unix_micros("stored_at").alias("stored_us"), F.coalesce("new", F.lit(False)).alias("newest"))
