@@ -73,7 +73,10 @@ def unused(df: DataFrame, stem: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner delete shuffle files of finished steps, and give the driver's freed memory back."""
+    """Let the context cleaner delete shuffle files of finished steps, and give the driver's freed memory back. With all in
+    one local JVM there is no driver to keep small, and a collection would stop the tasks."""
+    if spark.sparkContext.master.startswith("local["):
+        return
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
