@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievemill.operators import context, traffic
 from sievemill.operators.growing_store import GrowingStore
-from sievemill.plans.catalog import _EV, _SRC, _UNION, _WIN, LOGS, _events, _sources, joined, query
+from sievemill.plans.catalog import _SRC, _UNION, _WIN, LOGS, _sources, joined, query
 from sievemill.sources.scratch import fresh_path
 from sievemill.sources.tables import table
 
@@ -34,31 +34,40 @@ def context_rooted(spark, sf_dir):
     return _binned(spark, sf_dir, "/srv/app")
 
 
-@query(f"WITH {_EV} SELECT event_id, sum(tokens) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)::BIGINT AS hourly_tokens FROM ev")
+#: Documents play the requests of one gateway: one each 13 seconds, as large as the text.
+_LOG = "log AS (SELECT doc_id, (1700000000 + doc_id * 13) * 1000000 AS tm, concat(source, ':', coalesce(strlen(text), 0) % 40) AS key, coalesce(strlen(text), 0)::BIGINT AS tokens, text FROM documents)"
+
+
+def _log(spark, sf_dir):
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    key = F.concat(F.coalesce("source", F.lit("")), F.lit(":"), (size % 40).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.timestamp_seconds(F.col("doc_id") * 13 + 1700000000).alias("ts"), key.alias("key"), size.alias("tokens"), "text")
+
+
+@query(f"WITH {_LOG} SELECT doc_id, sum(tokens) OVER (ORDER BY tm RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)::BIGINT AS hourly_tokens FROM log")
 def rolling_total_tokens(spark, sf_dir):
-    """One budget for all events."""
-    return traffic.rolling_total(_events(spark, sf_dir), "ts", "tokens").select("event_id", "hourly_tokens")
+    """One budget for all requests."""
+    return traffic.rolling_total(_log(spark, sf_dir), "ts", "tokens").select("doc_id", "hourly_tokens")
 
 
-#: Every request in order, and what the cache holds after it: the keys with their times, emptied at 12 of them.
+#: Every request in order, and what the cache holds after it: the keys with their times, emptied at 60 of them.
 @query(
-    """WITH RECURSIVE k AS (SELECT event_id, concat(user_id % 40, event_type) AS key, epoch_us(ts) AS tm, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
-f AS (SELECT i, event_id, false AS hit, MAP {key: tm} AS held FROM k WHERE i = 1
-UNION ALL SELECT k.i, k.event_id, h, CASE WHEN h THEN held WHEN cardinality(held) >= 12 THEN MAP {k.key: k.tm} ELSE map_concat(held, MAP {k.key: k.tm}) END
-FROM (SELECT f.i, f.held, k.event_id, k.key, k.tm, coalesce(k.tm - held[k.key] < 7200000000, false) AS h FROM f JOIN k ON k.i = f.i + 1) x JOIN k ON k.i = x.i + 1)
-SELECT event_id, hit FROM f"""
+    f"""WITH RECURSIVE {_LOG}, k AS (SELECT doc_id, key, tm, row_number() OVER (ORDER BY tm, doc_id) AS i FROM log),
+f AS (SELECT i, doc_id, false AS hit, MAP {{key: tm}} AS held FROM k WHERE i = 1
+UNION ALL SELECT k.i, k.doc_id, h, CASE WHEN h THEN held WHEN cardinality(held) >= 60 THEN MAP {{k.key: k.tm}} ELSE map_concat(held, MAP {{k.key: k.tm}}) END
+FROM (SELECT f.i, f.held, coalesce(k.tm - held[k.key] < 900000000, false) AS h FROM f JOIN k ON k.i = f.i + 1) x JOIN k ON k.i = x.i + 1)
+SELECT doc_id, hit FROM f"""
 )
 def shared_cache_hits(spark, sf_dir):
-    log = table(spark, sf_dir, "events").select("event_id", "ts", F.concat((F.col("user_id") % 40).cast("string"), "event_type").alias("key"))
-    return traffic.shared_hits(log, "key", "ts", "event_id", 7200, 12, replayed=2000).select("event_id", "hit")
+    return traffic.shared_hits(_log(spark, sf_dir), "key", "ts", "doc_id", 900, 60).select("doc_id", "hit")
 
 
-@query("WITH r AS (SELECT sha256(event_type || ':' || (user_id % 500)::VARCHAR) AS hash, props, epoch_us(ts) AS us FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY us DESC, sha256(coalesce(props, '')) DESC, props DESC NULLS LAST) AS n FROM r), s AS (SELECT hash, props, us, row_number() OVER (ORDER BY us DESC, hash) AS place FROM l WHERE n = 1) SELECT hash, md5(props) AS content_md5, us AS stored_us, place <= 1000 AS newest FROM s")
+@query(
+    f"WITH {_LOG}, l AS (SELECT sha256(concat(key, tokens // 100)) AS hash, text, tm, row_number() OVER (PARTITION BY hash ORDER BY tm DESC, sha256(coalesce(text, '')) DESC, text DESC NULLS LAST) AS n FROM log), s AS (SELECT hash, text, tm, row_number() OVER (ORDER BY tm DESC, hash) AS place FROM l WHERE n = 1) SELECT hash, md5(text) AS content_md5, tm AS stored_us, place <= 1000 AS newest FROM s"
+)
 def store_growth(spark, sf_dir):
-    """A store that takes the events in three merges, and its newest entries from its lists."""
-    e = table(spark, sf_dir, "events")
-    key = F.concat_ws(":", "event_type", (F.col("user_id") % 500).cast("string"))
-    rows = e.select(F.sha2(key, 256).alias("hash"), F.col("props").alias("content"), F.col("ts").cast("timestamp").alias("stored_at"), (F.col("event_id") % 3).alias("batch"))
+    """A store that takes the answers in three merges, and its newest entries from its lists."""
+    rows = _log(spark, sf_dir).select(F.sha2(F.concat("key", F.floor(F.col("tokens") / 100).cast("string")), 256).alias("hash"), F.col("text").alias("content"), F.col("ts").alias("stored_at"), (F.col("doc_id") % 3).alias("batch"))
     held = GrowingStore(spark, fresh_path(spark, "store"), digits=1)
     for i in range(3):
         held.merge(rows.filter(F.col("batch") == i).drop("batch"))
