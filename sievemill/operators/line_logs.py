@@ -50,7 +50,7 @@ def scanned(rows: DataFrame, last: dict[str, Column], most: dict[str, Column] |
 
 def carried(rows: DataFrame, last: list[str], most: list[str], block: int, levels: int) -> DataFrame:
     """rows (_file, _at, events) with the latest value of each of last before the row, ``_before``, and the largest of each
-    of most in the file, ``_most``. Blocks are summed up and carried on in the same way, as rows of a level above; at the top
+    of most in the file, ``_most``. Blocks are summed up and carried on in the same way, as rows of a level above (positions with gaps take larger blocks); at the top
     level, of some thousand blocks for a hundred terabytes, a file is one window."""
     before = lambda n, over: F.last(n, True).over(over.rowsBetween(Window.unboundedPreceding, -1))
     of_file = Window.partitionBy("_file")
@@ -59,7 +59,7 @@ def carried(rows: DataFrame, last: list[str], most: list[str], block: int, level
     rows = rows.withColumn("_block", F.floor(F.col("_at") / block))
     latest = [F.max_by(F.col(n), F.when(F.col(n).isNotNull(), F.col("_at"))).alias(n) for n in last]
     sums = rows.groupBy("_file", F.col("_block").alias("_at")).agg(*latest, *[F.max(n).alias(n) for n in most])
-    above = carried(sums, last, most, block, levels - 1)
+    above = carried(sums, last, most, min(block, LINES), levels - 1)
     known = reduce(lambda a, n: a | F.col(n).isNotNull(), [*(f"{n}_before" for n in last), *(f"{n}_most" for n in most)], F.lit(False))
     above = above.filter(known).select("_file", F.col("_at").alias("_block"), *[F.col(f"{n}_before").alias(f"{n}_in") for n in last], *[f"{n}_most" for n in most])
     inside = Window.partitionBy("_file", "_block").orderBy("_at")

@@ -31,10 +31,15 @@ def prune_line_rows(spark, sf_dir):
     return met.select(F.col("file").alias("doc_id"), F.col("kept").alias("n_kept"), "dropped", "summary", F.coalesce("kept_digest", F.lit(0)).alias("kept_digest"))
 
 
+#: Positions in one log have room for so many lines of a text; a block of them is a thousand texts.
+SHIFT = 32
+ONE_BLOCK = 1000 << SHIFT
+
+
 def one_log(docs: DataFrame, raw: bool = False) -> DataFrame:
     """(file, pos, line, doc_id, at): all texts, in the order of their ids, as the lines of one log. Positions have gaps."""
     rows = (line_logs.raw_rows if raw else line_logs.line_rows)(docs)
-    return rows.select(F.lit("all").alias("file"), (F.shiftleft(F.col("file"), 32) + F.col("pos")).alias("pos"), "line", F.col("file").alias("doc_id"), F.col("pos").alias("at"))
+    return rows.select(F.lit("all").alias("file"), (F.shiftleft(F.col("file"), SHIFT) + F.col("pos")).alias("pos"), "line", F.col("file").alias("doc_id"), F.col("pos").alias("at"))
 
 
 #: A header of an idle goroutine ends every seventh log, so that what follows depends on it.
@@ -52,7 +57,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (c IS NULL) AS n_kept, count
 def prune_one_log(spark, sf_dir):
     """All logs as one: what a line is depends on lines of earlier documents, over any number of tasks."""
     docs = spark.sql(_ENDED.format("{logs}"), logs=synthetic.logs(spark, sf_dir))
-    found = line_logs.judged(one_log(docs))
+    found = line_logs.judged(one_log(docs), block=ONE_BLOCK)
     kept = F.col("category").isNull()
     return found.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.count_if(kept).alias("n_kept"), F.count_if(F.col("category") == "go:idle_goroutines").alias("n_idle"),
@@ -79,5 +84,5 @@ def redact_line_rows(spark, sf_dir):
 def redact_one_log(spark, sf_dir):
     """All logs as one: keys begin in one document and end in another one."""
     docs = spark.sql(_OPEN.format("{logs}"), logs=synthetic.logs(spark, sf_dir))
-    rows = line_logs.redacted_lines(one_log(docs, raw=True))
+    rows = line_logs.redacted_lines(one_log(docs, raw=True), block=ONE_BLOCK)
     return rows.select(F.explode(F.split("line", "\n", -1)).alias("line")).groupBy(F.md5("line").alias("line_md5")).agg(F.count("*").alias("n"))
