@@ -9,8 +9,9 @@ in shorter ones. Below the empty context, the bytes never seen are equally likel
 Nothing that grows with the corpus is broadcast or gathered in one place. Texts are dealt into chunks by a hash. A chunk
 reduces its texts to distinct grams (context and byte) and distinct words with training counts, packed by bucket; all grams
 that end in the same context of two bytes are one branch of the trie and lie in one bucket. Buckets' counts are added up
-in a tree, ``FAN_IN`` partial counts at a time, so no task holds more of them however many chunks there are. Each request (the grams of a chunk in a bucket) is joined with its bucket, and the answer goes back to the
-chunk, which adds up its documents. Only the counts of byte pairs, at most 65,536, are collected, to be at hand for contexts
+in a tree, ``FAN_IN`` partial counts at a time, so no task holds more of them however many chunks there are. Requests (the
+grams of a chunk in a bucket) are sorted behind the bucket's counts, which are thus sent and read once, and each answer goes
+back to the chunk, which adds up its documents. Only the counts of byte pairs, at most 65,536, are collected, to be at hand for contexts
 shorter than two bytes.
 
 Training: texts whose crc32(id as text) mod 5 isn't 1. Null text counts as empty: just the end. A null id counts as empty
@@ -202,23 +203,28 @@ def adder(first: bool):
 COUNTED = "kind string, bucket int, part int, names binary, counts binary, total bigint, distinct bigint"
 
 
+#: Stands for the chunk in the row of a bucket's counts, so that it comes before all requests.
+MODEL = -1
+
+
 def answerer(pairs: np.ndarray):
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by bucket, so each bucket's model is built once a task."""
-        held, model = None, None
+        """Rows come sorted by bucket, each bucket's counts before its requests: the model is read and built once."""
+        model = None
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                if held != (r.kind, r.bucket):
-                    held = (r.kind, r.bucket)
-                    counts = np.frombuffer(r.known_counts, np.int64)
-                    model = dict(zip(r.known.split(), counts.tolist(), strict=False)) if r.kind == "word" else Branches(np.cumsum(np.frombuffer(r.known, np.int64)), counts, pairs)
+                if r.chunk == MODEL:
+                    counts = np.frombuffer(r.counts, np.int64)
+                    model = dict(zip(r.names.split(), counts.tolist(), strict=False)) if r.kind == "word" else Branches(np.cumsum(np.frombuffer(r.names, np.int64)), counts, pairs)
+                    continue
                 if r.kind == "word":
                     got = np.array([model.get(w, 0) for w in r.names.split()], np.int64)
                 else:
                     got = model.log10(np.cumsum(np.frombuffer(r.names, np.int64))).astype(np.float32)
                 out.append(got.tobytes())
-            yield pd.DataFrame({"chunk": batch["chunk"], "kind": batch["kind"], "bucket": batch["bucket"], "payload": out})
+            asked = batch[batch["chunk"] != MODEL]
+            yield pd.DataFrame({"chunk": asked["chunk"], "kind": asked["kind"], "bucket": asked["bucket"], "payload": out})
 
     return answer
 
@@ -278,7 +284,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     pairs, ends = pair_counts(asked)
     n, v = known.filter("kind = 'word'").agg(F.sum("total"), F.sum("distinct")).first()
     n, v = (n or 0) + ends, (v or 0) + (ends > 0)
-    both = asked.filter("kind <> 'pair'").join(known.select("kind", "bucket", F.col("names").alias("known"), F.col("counts").alias("known_counts")).hint("merge"), ["kind", "bucket"])
+    requests = asked.filter("kind <> 'pair'").select("kind", "bucket", "chunk", "names", F.lit(None).cast("binary").alias("counts"))
+    both = requests.unionByName(known.select("kind", "bucket", F.lit(MODEL).alias("chunk"), "names", "counts"))
+    both = both.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")
     answers = stash(both.mapInPandas(answerer(pairs), ANSWER), "answers")
     drop_stash(asked)
     drop_stash(known)
