@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievemill.functions import patch, payload, signature, text
+from sievemill.functions import patch, payload, payload_tree, signature, text
 from sievemill.operators import audit, context, evaluation, store, traffic
 from sievemill.plans import synthetic
-from sievemill.plans.catalog import _CLEANED, LOGS, _turns, query, sql_lines, sql_pruned, sql_redaction
+from sievemill.plans.catalog import _CLEANED, LOGS, _payloads, _turns, oracle_sql, query, sql_lines, sql_pruned, sql_redaction
 from sievemill.sources.tables import table, texts
 
 # D, F: paths within a root, numbered views, what is sent for a diagnosis
@@ -43,12 +43,16 @@ def diagnose_logs(spark, sf_dir):
 
 @query(_CLEANED + " SELECT conv_id, turn, md5(kept) AS system_md5, md5(CASE WHEN k THEN text ELSE kept END) AS part_md5, md5(text) AS image_md5, md5(CASE WHEN k THEN text ELSE kept END) AS result_md5, md5(text) AS use_md5, md5(kept) AS input_md5, ((CASE WHEN k THEN 0 ELSE 2 END + 2) * strlen(text))::BIGINT AS raw_bytes, ((CASE WHEN k THEN 0 ELSE 2 END + 2) * strlen(kept))::BIGINT AS clean_bytes FROM c")
 def sanitize_parts(spark, sf_dir):
+    return _parts(spark, sf_dir, payload.sanitize_json)
+
+
+def _parts(spark, sf_dir, sanitize):
     part = lambda kind, name: F.struct(F.lit(kind).alias("type"), F.col("text").alias(name))
     one = lambda x: F.to_json(x)
     result = F.to_json(F.struct(F.lit("tool_result").alias("type"), F.array(part("text", "text")).alias("content")))
     parts = F.concat(F.lit("["), F.concat_ws(",", one(part("text", "text")), one(part("image", "source")), result, one(part("tool_use", "input"))), F.lit("]"))
     body = F.concat(F.lit('{"model":"m","system":['), one(part("text", "text")), F.lit('],"messages":[{"role":'), F.to_json(F.array("role")).substr(F.lit(2), F.char_length(F.to_json(F.array("role"))) - 2), F.lit(',"content":'), parts, F.lit('}],"input":'), F.to_json(F.array("text")), F.lit("}"))
-    rows = _turns(spark, sf_dir).select("conv_id", "turn", payload.sanitize_json(body).alias("s"))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", sanitize(body).alias("s"))
     at = lambda path: F.md5(F.get_json_object("s.payload", path))
     content = "$.messages[0].content"
     return rows.select(
@@ -57,6 +61,18 @@ def sanitize_parts(spark, sf_dir):
     )
 
 
+@query(oracle_sql()["sanitize_parts"])
+def sanitize_parts_tree(spark, sf_dir):
+    """The same on the JVM."""
+    return _parts(spark, sf_dir, payload_tree.sanitize_tree)
+
+
+@query(oracle_sql()["sanitize_payloads"])
+def sanitize_payloads_tree(spark, sf_dir):
+    rows = _payloads(spark, sf_dir).select("conv_id", payload_tree.sanitize_tree(F.col("payload")).alias("s"))
+    return rows.select("conv_id", "s.raw_bytes", "s.clean_bytes", "s.secrets")
+
+
 # I: the gateway's guards
 
 _GUARD = "CASE WHEN page_id % 11 = 0 THEN 503 WHEN page_id % 7 = 0 OR page_id % 13 = 0 THEN 431 WHEN page_id % 5 = 0 THEN 403 WHEN page_id % 3 = 0 THEN 401 WHEN page_id % 4 = 0 THEN 413 WHEN page_id % 2 = 0 THEN 400 END"
