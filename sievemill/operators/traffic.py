@@ -169,7 +169,8 @@ def shared_hits(log: DataFrame, key: str, ts: str, order: str, seconds: int = TT
     depend on each other takes as many rounds as there are ranges, and is right nevertheless. A state has ``most`` entries
     at most; a task holds one range. Requests go in order of (ts, order), which should be unique."""
     rows = log.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(order).alias("order"))
-    rows = dealt(rows, [F.col("at"), F.col("order")], "part", max(1, -(-log.count() // replayed)))
+    ranges = dealt(rows, [F.col("at"), F.col("order")], "range", max(1, -(-log.count() // replayed)))
+    rows = ranges.withColumn("part", F.element_at(F.lit(joined_ranges(ranges, replayed)), F.col("range") + 1))
     kinds = dict(rows.dtypes)
     state = f"keys array<{kinds['key']}>, ats array<bigint>"
     parts = sorted(r["part"] for r in rows.select("part").distinct().collect())
@@ -213,6 +214,13 @@ def shared_hits(log: DataFrame, key: str, ts: str, order: str, seconds: int = TT
     return out.select(F.col("key").alias(key), F.col("order").alias(order), "hit")
 
 
+def joined_ranges(ranges: DataFrame, replayed: int) -> np.ndarray:
+    """Which part each range goes to: ranges that are small next to each other are replayed as one."""
+    sizes = {r["range"]: r["count"] for r in ranges.groupBy("range").count().collect()}
+    size = np.array([sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)])
+    return ((np.cumsum(size) - size) // replayed).astype(np.int32)
+
+
 def shared_run(keys: list, at: list, stored: dict, span: float, most: int) -> tuple[np.ndarray, dict]:
     """(hits, what is stored in the end) of one cache that starts with what is stored."""
     out = np.zeros(len(keys), bool)
