@@ -6,7 +6,7 @@ tree is built once and written. Every query gets a score to reach from a few tho
 directly; the trees' search opens nodes by their bound on the inner product and skips those below it. A task takes its
 shards one after the other and carries each query's current k-th score along, so that later shards start from it.
 
-Queries go to the tasks in blocks of a bounded number of rows; each block meets each shard once. Nothing else of the
+Queries go to the tasks in blocks of a bounded number of rows and bytes; each block meets each shard once. Nothing else of the
 queries is held anywhere, and what a block leaves is k + 1 rows for each query and task. Arithmetic is exact: components
 are refused (``ValueError``) if an inner product could pass 2^53.
 
@@ -33,6 +33,8 @@ from sievemill.sources.tables import spread, texts
 SCALE, TOP, EVERY = 256, 5, 50
 #: Distinct vectors of a shard; queries of a block; vectors that give the first scores to reach.
 SHARD, BLOCK, SEEDS = 16_384, 32_768, 2048
+#: Bytes of a block's vectors, and twice those of a shard's: long vectors come in smaller blocks and shards.
+BLOCK_BYTES = 16 << 20
 #: Stands for a null id inside the tasks: it comes last.
 NO_ID = np.iinfo(np.int64).max
 FOUND = "q long, vec_id long, score long"
@@ -93,7 +95,7 @@ def found_in(shards: DataFrame, block: DataFrame, width: int, k: int) -> DataFra
     """(q, vec_id, score): for each query of the block and each task, the task's k best at most."""
     rows = block.select("q", "v", "floor").toArrow().combine_chunks()
     q = rows.column("q").to_numpy()
-    x = np.array(rows.column("v").to_pylist(), float).reshape(len(q), width)
+    x = rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(q), width).astype(float)
     floors = rows.column("floor").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +116,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     rows = stash(rows.filter("v is not null").withColumn("q", F.monotonically_increasing_id()), "vectors")
     _, longest, _ = shape(rows, "v")
     width = max(longest, 1)
+    most = max(1, BLOCK_BYTES // (8 * width))
+    shard, block = min(shard, max(1, most // 2)), min(block, most)
     rows = rows.withColumn("v", padded(F.col("v"), width))
     need = k + 1  # a query's own row may be among them
     distinct = stash(distinct_vectors(rows, need), "distinct-vectors")
