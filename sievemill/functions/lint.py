@@ -143,7 +143,7 @@ def lint_js(code: str) -> list[Finding]:
     ends, calls, stops = partners(tokens), [], []
     text = lambda i: tokens[i].text if 0 <= i < len(tokens) else ""
     for i, t in enumerate(tokens):
-        if t.kind != "name" or text(i - 1) in (".", "?.", "function") or text(i - 1) == "*" and text(i - 2) == "function":
+        if t.kind != "name" or t.text not in ("eval", "Function", "debugger") or text(i - 1) in (".", "?.", "function") or text(i - 1) == "*" and text(i - 2) == "function":
             continue
         at = i + 1 + (text(i + 1) == "?.")
         if t.text == "debugger" and text(i + 1) not in (":", "=", ".", "(", ",", ")", "]"):
@@ -160,9 +160,10 @@ def lint_js(code: str) -> list[Finding]:
 
 def lint_rust(code: str) -> list[Finding]:
     """Macros inside another macro's brackets are that macro's business, not invocations in the code."""
-    tokens, whole = list(rust_tokens(code)), partners(list(rust_tokens(code)))
+    tokens = list(rust_tokens(code))
+    whole = partners(tokens)
     ends = {tokens[a].at: tokens[b].end for a, b in whole.items()}
-    tokens, out = without_macros(tokens), []
+    tokens, out = without_macros(tokens, whole), []
     for i, t in enumerate(tokens[:-2]):
         if t.kind == "name" and t.text in ("panic", "todo", "unimplemented") and tokens[i + 1].text == "!" and tokens[i + 2].text in ("(", "[", "{"):
             first = i
@@ -195,11 +196,13 @@ def analyze(language: str, code: str) -> tuple:
 
 
 def lint(language: Column, code: Column) -> Column:
-    """struct(status, error, language, total_findings, findings) of snippets; null for null code."""
+    """struct(status, error, language, total_findings, findings) of snippets; null for null code.
+
+    It counts as nondeterministic, so that no rule of the optimizer has it run twice (as filters inferred from an explode do)."""
 
     @F.pandas_udf(KIND)
     def run(languages: pd.Series, codes: pd.Series) -> pd.DataFrame:
         rows = [(None,) * 5 if c is None else analyze(x or "", c) for x, c in zip(languages, codes, strict=True)]
         return pd.DataFrame(rows, columns=["status", "error", "language", "total_findings", "findings"]).astype({"total_findings": "Int32"})
 
-    return run(language, code)
+    return run.asNondeterministic()(language, code)

@@ -26,11 +26,12 @@ class Token(NamedTuple):
     end: int
 
 
-_STRINGS = r'''"(?:\\[\s\S]|[^"\\\n])*"|'(?:\\[\s\S]|[^'\\\n])*\''''
-_JS = re.compile(rf"""(?P<skip>\s+|//[^\n]*|/\*[\s\S]*?\*/|\A\#![^\n]*)|(?P<name>[#@]?[^\W\d][\w$]*|[#@]?\$[\w$]*)|(?P<number>\.?\d(?:[eE][+-]|[\w.])*)|(?P<string>{_STRINGS})|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\*\*|<<|>>|[-+*/%&|^]=|[-+*/%&|^!~<>=?:;,.(){{}}\[\]])""")
+# One match takes white space and comments, then a token, in the group that is its kind.
+_STRINGS = r"""\"(?:\\[\s\S]|[^"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*'"""
+_JS = re.compile(rf"""(?>\s+|//[^\n]*|/\*[\s\S]*?\*/|\A\#![^\n]*)*+(?:(?P<name>[#@]?[^\W\d][\w$]*|[#@]?\$[\w$]*)|(?P<number>\.?\d(?:[eE][+-]|[\w.])*)|(?P<string>{_STRINGS})|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\*\*|<<|>>|[-+*/%&|^]=|[-+*/%&|^!~<>=?:;,.(){{}}\[\]])|(?P<mark>`)|(?P<bad>[\s\S]))?""")
 _JS_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/\w*")
 _JS_TEXT = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*(?P<end>`|\$\{)?")
-_RUST = re.compile(r"""(?P<skip>\s+|//[^\n]*)|(?P<string>[bc]?r(?P<h>\#*)"[\s\S]*?"(?P=h)|[bc]?"(?:\\[\s\S]|[^"\\])*"|b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])')|(?P<lifetime>'\w+)|(?P<name>(?:r\#)?[^\W\d]\w*)|(?P<number>\d(?:\w|\.(?=\d)|(?<=[eE])[+-](?=\d))*)|(?P<op>\.\.=|\.\.\.|<<=|>>=|=>|->|==|!=|<=|>=|&&|\|\||::|\.\.|[-+*/%&|^]=|[-+*/%&|^!<>=?:;,.\#$@~(){}\[\]])""")
+_RUST = re.compile(r"""(?>\s+|//[^\n]*)*+(?:(?P<string>[bc]?r(?P<h>\#*)"[\s\S]*?"(?P=h)|[bc]?"(?:\\[\s\S]|[^"\\])*"|b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])')|(?P<lifetime>'\w+)|(?P<name>(?:r\#)?[^\W\d]\w*)|(?P<number>\d(?:\w|\.(?=\d)|(?<=[eE])[+-](?=\d))*)|(?P<op>\.\.=|\.\.\.|<<=|>>=|=>|->|==|!=|<=|>=|&&|\|\||::|\.\.|[-+*/%&|^]=|[-+*/%&|^!<>=?:;,.\#$@~(){}\[\]])|(?P<bad>[\s\S]))?""")
 # Keywords, as the languages define them: those after which an expression begins, and the others.
 JS_BEFORE_VALUE = frozenset("return typeof case in of delete void throw new instanceof do else yield await extends default".split())
 JS_WORDS = JS_BEFORE_VALUE | frozenset("let const var function class if for while switch try catch finally import export from as async static get set type interface enum declare abstract readonly namespace module public private protected implements keyof infer is asserts satisfies override unique break continue with super this accessor global".split())
@@ -61,33 +62,34 @@ def js_tokens(code: str, max_depth: int = MAX_DEPTH) -> Iterator[Token]:
         return Token("string" if m["end"] else "bad", code[at] + (m["end"] or ""), at, m.end())
 
     opened = False  # whether the bracket that was closed last was one after which a statement begins
-    while at < len(code):
-        m = _JS_REGEX.match(code, at) if code[at] == "/" and value_next() and code[at + 1 : at + 2] not in ("/", "*") else None
-        if m:
-            token = Token("regex", m[0], at, m.end())
-        elif code[at] == "`":
-            token = template(at)
-        elif code[at] == "}" and stack and stack[-1][0] == "${":
-            stack.pop()
-            token = template(at)
-        elif code.startswith("/*", at) and code.find("*/", at + 2) < 0:
-            token = Token("bad", "/*", at, at + 2)
-        elif m := _JS.match(code, at):
-            if m.lastgroup == "skip":
-                at = m.end()
-                continue
-            token = Token(m.lastgroup, m[0], at, m.end())
-        else:
-            token = Token("bad", code[at], at, at + 1)
-        if token.kind == "op":
-            if token.text == "(":
+    while True:
+        m = _JS.match(code, at)
+        kind = m.lastgroup
+        if kind is None:
+            return
+        start = m.start(kind)
+        token = Token(kind, m[kind], start, m.end())
+        if kind == "op":
+            text = token.text
+            if text[0] == "/":
+                if code.startswith("/*", start):
+                    token = Token("bad", "/*", start, start + 2)
+                elif value_next() and (r := _JS_REGEX.match(code, start)):
+                    token = Token("regex", r[0], start, r.end())
+            elif text == "(":
                 stack.append(("(", last is not None and last.text in ("if", "while", "for", "with")))
-            elif token.text == "{":
+            elif text == "{":
                 stack.append(("{", last is None or last.text in (";", "{", "}", ")", "=>", "else", "do", "try", "finally") or last.kind == "name" and last.text not in JS_BEFORE_VALUE))
-            elif token.text == "[":
+            elif text == "[":
                 stack.append(("[", False))
-            elif token.text in ")]}" and stack and CLOSES[stack[-1][0]] == token.text:
-                opened = stack.pop()[1]
+            elif text in ")]}" and stack:
+                if text == "}" and stack[-1][0] == "${":
+                    stack.pop()
+                    token = template(start)
+                elif CLOSES[stack[-1][0]] == text:
+                    opened = stack.pop()[1]
+        elif kind == "mark":
+            token = template(start)
         n += 1
         if len(stack) > max_depth:
             raise TooMuch(f"AST nesting depth limit exceeded (depth > {max_depth})")
@@ -109,28 +111,30 @@ def nested_comment(code: str, at: int) -> int:
 
 def rust_tokens(code: str, max_depth: int = MAX_DEPTH) -> Iterator[Token]:
     at, depth, n = 0, 0, 0
-    while at < len(code):
-        if code.startswith("/*", at):
-            end = nested_comment(code, at)
-            if end:
-                at = end
-                continue
-            token = Token("bad", "/*", at, at + 2)
-        elif m := _RUST.match(code, at):
-            if m.lastgroup == "skip":
-                at = m.end()
-                continue
-            token = Token("string" if m["string"] else m.lastgroup, m[0], at, m.end())
-        else:
-            token = Token("bad", code[at], at, at + 1)
-        depth += (token.text in "([{") - (token.text in ")]}") if token.kind == "op" else 0
+    while True:
+        m = _RUST.match(code, at)
+        kind = m.lastgroup
+        if kind is None:
+            return
+        start, at = m.start(kind), m.end()
+        token = Token(kind, m[kind], start, at)
+        if kind == "op":
+            if token.text in "([{":
+                depth += 1
+            elif token.text in ")]}":
+                depth -= 1
+            elif code.startswith("/*", start):
+                at = nested_comment(code, start)
+                if at:
+                    continue
+                at = start + 2
+                token = Token("bad", "/*", start, at)
         n += 1
         if depth > max_depth:
             raise TooMuch(f"AST nesting depth limit exceeded (depth > {max_depth})")
         if n > MAX_TOKENS:
             raise TooMuch(f"AST node count limit exceeded (visited > {MAX_TOKENS} nodes)")
         yield token
-        at = token.end
 
 
 def partners(tokens: list[Token]) -> dict[int, int]:
@@ -144,23 +148,21 @@ def partners(tokens: list[Token]) -> dict[int, int]:
     return out | dict.fromkeys(stack, len(tokens) - 1)
 
 
-def without_macros(tokens: list[Token]) -> list[Token]:
-    """Rust's tokens without what stands in macros' brackets and in attributes: there it needn't be Rust."""
-    ends, out, i = partners(tokens), [], 0
+def without_macros(tokens: list[Token], ends: dict[int, int]) -> list[Token]:
+    """Rust's tokens without what stands in macros' brackets and in attributes: there it needn't be Rust. ends: partners."""
+    text, out, i = [t.text for t in tokens] + ["", "", ""], [], 0
     while i < len(tokens):
-        out.append(tokens[i])
-        here = [t.text for t in tokens[i : i + 4]]
-        at = None
-        if tokens[i].kind == "name" and tokens[i].text not in RUST_WORDS - {"macro_rules"} and here[1:2] == ["!"]:
-            at = 2 if here[2:3] and here[2] in CLOSES else 3 if here[0] == "macro_rules" and here[3:4] and here[3] in CLOSES else None
-        elif here[0] == "#" and (here[1:2] == ["["] or here[1:3] == ["!", "["]):
-            at = 1 if here[1] == "[" else 2
+        t, at = tokens[i], None
+        out.append(t)
+        if text[i + 1] == "!" and t.kind == "name" and (t.text not in RUST_WORDS or t.text == "macro_rules"):
+            at = i + 2 if text[i + 2] in CLOSES else i + 3 if t.text == "macro_rules" and text[i + 3] in CLOSES else None
+        elif t.text == "#" and t.kind == "op":
+            at = i + 1 if text[i + 1] == "[" else i + 2 if text[i + 1 : i + 3] == ["!", "["] else None
         if at is not None:
-            out += tokens[i + 1 : i + at + 1]
-            end = ends[i + at]
-            if end > i + at:
-                out.append(tokens[end])
-            i = end
+            out += tokens[i + 1 : at + 1]
+            if ends[at] > at:
+                out.append(tokens[ends[at]])
+            i = ends[at]
         i += 1
     return out
 
@@ -214,4 +216,4 @@ def js_error(code: str) -> str | None:
 
 def rust_error(code: str) -> str | None:
     tokens = list(rust_tokens(code))
-    return grammar_error(without_macros(tokens), code, RUST_WORDS)
+    return grammar_error(without_macros(tokens, partners(tokens)), code, RUST_WORDS)

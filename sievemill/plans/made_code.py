@@ -42,10 +42,12 @@ def snippets(docs, forms):
     words = F.transform(text.lines(F.col("text")), lambda x: F.regexp_replace(x, _WORD, ""))
     form = F.array(*[F.lit(f) for f, *_ in forms])
     code = F.transform(words, lambda w, i: F.replace(F.element_at(form, (F.pmod(i + F.col("doc_id"), F.lit(len(forms))) + 1).cast("int")), F.lit("@"), w))
-    rows = docs.select("doc_id", code.alias("code")).filter("size(code) > 0")
-    starts = F.sequence(F.lit(0), F.floor((F.size("code") - 1) / SNIPPET).cast("int"))
-    parts = F.transform(starts, lambda i: F.array_join(F.slice("code", i * SNIPPET + 1, SNIPPET), "\n"))
-    return rows.select("doc_id", F.posexplode(parts).alias("part", "code"))
+
+    def cut(c):
+        starts = F.sequence(F.lit(0), F.floor((F.size(c) - 1) / SNIPPET).cast("int"))
+        return F.when(F.size(c) > 0, F.transform(starts, lambda i: F.array_join(F.slice(c, i * SNIPPET + 1, SNIPPET), "\n")))
+
+    return docs.select("doc_id", F.posexplode(text.let(code, cut)).alias("part", "code"))
 
 
 def _expected(language, forms):
