@@ -82,7 +82,8 @@ def gate_made_files(spark, sf_dir):
     docs = texts(spark, sf_dir)
     words = F.filter(F.transform(text.lines(F.coalesce("text", F.lit(""))), lambda x: F.regexp_replace(x, _WORD, "")), lambda w: w != "")
     end = lambda forms: F.element_at(F.array(*[F.lit(f) for f, _ in forms]), (F.coalesce(F.octet_length("text"), F.lit(0)) % 8 + 1).cast("int"))
-    items = lambda one: F.array_join(F.transform(words, one), "")
+    docs = docs.select("doc_id", "text", words.alias("words"))
+    items = lambda one: F.array_join(F.transform("words", one), "")
     yaml = F.concat(F.lit("id: "), F.col("doc_id").cast("string"), F.lit("\nlines:\n"), items(lambda w: F.concat(F.lit('  - text: "'), w, F.lit('"\n    also: plain\n'))), end(YAML), F.lit("\n"))
     js = F.concat(items(lambda w: F.concat(F.lit('const {a, b} = f("'), w, F.lit('");\n'))), end(CODE), F.lit("\n"))
     ok = lambda kind, code: patch.syntax_gate(F.lit(kind), code).isNull()
