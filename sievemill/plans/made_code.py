@@ -37,17 +37,17 @@ RUST = (
 _WORD = "[^A-Za-z0-9 ]+"
 
 
-def snippets(docs, forms):
-    """(doc_id, part, code): runs of lines, each in its form."""
-    words = F.transform(text.lines(F.col("text")), lambda x: F.regexp_replace(x, _WORD, ""))
+def snippets(language, forms):
+    """Runs of lines (a column of words), each in its form, as structs (language, part, code)."""
     form = F.array(*[F.lit(f) for f, *_ in forms])
-    code = F.transform(words, lambda w, i: F.replace(F.element_at(form, (F.pmod(i + F.col("doc_id"), F.lit(len(forms))) + 1).cast("int")), F.lit("@"), w))
+    code = F.transform("words", lambda w, i: F.replace(F.element_at(form, (F.pmod(i + F.col("doc_id"), F.lit(len(forms))) + 1).cast("int")), F.lit("@"), w))
 
     def cut(c):
         starts = F.sequence(F.lit(0), F.floor((F.size(c) - 1) / SNIPPET).cast("int"))
-        return F.when(F.size(c) > 0, F.transform(starts, lambda i: F.array_join(F.slice(c, i * SNIPPET + 1, SNIPPET), "\n")))
+        one = lambda i: F.struct(F.lit(language).alias("language"), i.alias("part"), F.array_join(F.slice(c, i * SNIPPET + 1, SNIPPET), "\n").alias("code"))
+        return F.when(F.size(c) > 0, F.transform(starts, one))
 
-    return docs.select("doc_id", F.posexplode(text.let(code, cut)).alias("part", "code"))
+    return text.let(code, cut)
 
 
 def _expected(language, forms):
@@ -58,14 +58,12 @@ def _expected(language, forms):
 
 @query(f"WITH ln AS ({sql_lines('documents')}) {_expected('js', JS)} UNION ALL {_expected('rust', RUST)}")
 def lint_made_code(spark, sf_dir):
-    docs = texts(spark, sf_dir)
-
-    def found(language, forms):
-        rows = snippets(docs, forms).select("doc_id", "part", lint.lint(F.lit(language), F.col("code")).alias("l"))
-        rows = rows.select("doc_id", "part", F.col("l.language").alias("language"), F.explode("l.findings").alias("f"))
-        return rows.select("doc_id", "language", "f.rule", (F.col("f.line") + F.col("part") * SNIPPET).cast("long").alias("line"), F.col("f.column").cast("long").alias("column"))
-
-    return found("js", JS).unionByName(found("rust", RUST))
+    words = F.transform(text.lines(F.col("text")), lambda x: F.regexp_replace(x, _WORD, ""))
+    docs = texts(spark, sf_dir).select("doc_id", words.alias("words"))
+    rows = docs.select("doc_id", F.explode(F.concat(snippets("js", JS), snippets("rust", RUST))).alias("s"))
+    rows = rows.select("doc_id", "s.part", lint.lint(F.col("s.language"), F.col("s.code")).alias("l"))
+    rows = rows.select("doc_id", "part", F.col("l.language").alias("language"), F.explode("l.findings").alias("f"))
+    return rows.select("doc_id", "language", "f.rule", (F.col("f.line") + F.col("part") * SNIPPET).cast("long").alias("line"), F.col("f.column").cast("long").alias("column"))
 
 
 #: By form: what a file of lines ends with, and whether it is well formed then.
