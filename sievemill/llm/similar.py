@@ -15,7 +15,9 @@ Texts that share a key are compared by their fingerprints first: a pair further
 again from the texts. Pairs come in three rounds, each leaving out pairs that are in one component already: every text
 with the nearest of its keys' heads (a key's head is its text with the least hash, the same for most keys of a family),
 then with its keys' other heads, then, within keys whose texts are still in several components, with texts of other
-components. Groups of copies are thus linear, and no pair of a group is emitted unless its fingerprints are near.
+components. Groups of copies are thus linear, and no pair of a group is emitted unless its fingerprints are near and, in the
+last round, its sets' rarest shingles leave room for a similarity of 0.8 (a bound, so no link is lost): texts that come from
+one passage but went different ways have rare shingles of their own, and few of their pairs are compared in full.
 
 Equal sets are one node (64 bits tell sets apart), so texts without words are copies. Null text counts as empty. Ids may be
 null or repeat. Empty tables give empty results; other columns are carried, whatever their names.
@@ -242,22 +244,43 @@ def links(nodes: DataFrame, pairs: DataFrame, keys: DataFrame, sets: DataFrame)
     edges = stash(edges.union(more), "edges")
     drop_stash(more)
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = linked(unlike(keys, components(edges)).join(seen, ["a", "b"], "left_anti"), sets)
+    more = linked(unlike(keys, components(edges), sets).join(seen, ["a", "b"], "left_anti"), sets)
     drop_stash(stars)
     return components(edges.union(more))
 
 
-def unlike(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): near sets that share a key and are in different components."""
+def rarest(sets: DataFrame) -> DataFrame:
+    """(sid, rare): the rarest third of each set's shingles and one more, as numbers that grow with how many sets have them."""
+    each = stash(sets.select("sid", F.explode("g").alias("e")), "elements")
+    order = stash(each.groupBy("e").count().orderBy("count", "e").select("e", F.monotonically_increasing_id().alias("at")), "order")
+    sorted_ = each.join(order, "e").groupBy("sid").agg(F.array_sort(F.collect_list("at")).alias("all"))
+    out = stash(sorted_.select("sid", F.expr("slice(all, 1, size(all) div 3 + 1)").alias("rare")), "rarest")
+    for t in (each, order):
+        drop_stash(t)
+    return out
+
+
+def may_link(x: str, y: str) -> Column:
+    """Whether what the rarest shingles of two sets tell allows a similarity of 0.8. Up to the smaller of the two last ones
+    all shingles of both are known, and so is how many they share; of the others they share as many as there are at most."""
+    last = F.least(F.element_at(f"rare{x}", -1), F.element_at(f"rare{y}", -1))
+    left = lambda z: F.col(f"n{z}") - F.size(F.filter(f"rare{z}", lambda at: at <= last))
+    return 9 * (F.size(F.array_intersect(f"rare{x}", f"rare{y}")) + F.least(left(x), left(y))) >= 4 * (F.col(f"n{x}") + F.col(f"n{y}"))
+
+
+def unlike(keys: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): near sets that share a key, are in different components, and whose rarest shingles allow a link."""
     placed = stash(rooted(keys, roots, "sid"), "placed")
     still = placed.groupBy("g").agg(F.min("rootsid").alias("x"), F.max("rootsid").alias("y")).filter("x <> y").select("g")
-    rows = placed.join(still, "g").withColumn("shared", F.collect_set("g").over(Window.partitionBy("sid")))
-    rows = stash(rows.select("g", *[F.col(c).alias(f"{x}a") for c, x in (("sid", ""), ("rootsid", "root"), ("n", "n"), ("bits", "bits"), ("shared", "keys"))]), "open")
-    other = rows.withColumnsRenamed({f"{c}a": f"{c}b" for c in ("", "root", "keys", "n", "bits")})
+    rows = stash(placed.join(still, "g").withColumn("shared", F.collect_set("g").over(Window.partitionBy("sid"))), "still")
+    rare = rarest(sets.join(rows.select("sid").distinct(), "sid", "left_semi"))
+    met = rows.join(rare, "sid").select("g", *[F.col(c).alias(f"{x}a") for c, x in (("sid", ""), ("rootsid", "root"), ("n", "n"), ("bits", "bits"), ("shared", "keys"), ("rare", "rare"))])
+    met = stash(met, "open")
+    other = met.withColumnsRenamed({f"{c}a": f"{c}b" for c in ("", "root", "keys", "n", "bits", "rare")})
     first = F.array_min(F.array_intersect("keysa", "keysb")) == F.col("g")
-    out = rows.join(other, "g").filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near("a", "b") & first)
+    out = met.join(other, "g").filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near("a", "b") & first & may_link("a", "b"))
     out = stash(out.select("a", "b"), "unlike")
-    for t in (placed, rows):
+    for t in (placed, rows, rare, met):
         drop_stash(t)
     return out
 

@@ -112,6 +112,23 @@ def test_a_large_family(spark):
     assert sorted(r["doc_id"] for r in similar.keep_one(docs).collect()) == [rows[i][0] for i in brute_kept(rows)]
 
 
+def test_sets_that_are_near_without_links_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Sixty sets with a key, a fingerprint and 100 shingles in common, and 20 shingles of their own; two share 118 of 120."""
+    rows = [(i, list(range(100)) + list(range(1000 * i + 1000, 1000 * i + 1020))) for i in range(60)]
+    rows.append((60, rows[59][1][:-1] + [500]))
+    schema = "sid long, g array<long>"
+    sets = spark.createDataFrame(rows, schema)
+    zeros = [0] * similar.WORDS
+    keys = spark.createDataFrame([(7, i, 120, zeros) for i, _ in rows], "g long, sid long, n int, bits array<long>")
+    nodes = keys.select("sid", "n", "bits")
+    pairs = spark.createDataFrame([], "a long, b long")
+    compared, real = [], similar.linked
+    monkeypatch.setattr(similar, "linked", lambda pairs, sets: compared.append(pairs.count()) or real(pairs, sets))
+    roots = similar.links(nodes, pairs, keys, sets).collect()
+    assert sorted((r["node"], r["root"]) for r in roots) == [(59, 59), (60, 59)]
+    assert compared[-1] < 2 * len(rows)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert similar.keep_one(docs).count() == 0
