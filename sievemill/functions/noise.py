@@ -27,8 +27,9 @@ COMPONENT = rf"(?:\A|{BORDER})(?:{any_of(COMPONENTS)})(?:\z|{BORDER})"
 #: On the lower-cased line with / for \, and on the line as it is; both in syntax common to Java and RE2.
 LOWER_NOISE = rf"{COMPONENT}|{any_of(RUNTIME)}"
 PLAIN_NOISE = rf"\A\s*at (?:{any_of(FRAMES)})|\A\s*\.\.\. (?:[\s\S]*)common frames omitted\z|{any_of(NATIVE)}| in _start \(| in _start\z|{any_of(IDLE)}|\A\s*runtime\.(?:{any_of(SCHEDULER)})"
-#: Every noise line matches this; most prose doesn't, and is done with after one short pattern.
-HINT = r"(?i)[/\\_\[<(]|\.[a-z0-9]|venv|vendor|gems|rustc|-pac|at system\.|common frames"
+#: Every noise line matches this; most prose doesn't, and is done with after one short pattern, whose first test of a place
+#: is one set of characters.
+HINT = r"(?i)(?=[-/\\_\[<(.vgrac])(?:[/\\_\[<(]|\.[a-z0-9]|venv|vendor|gems|rustc|-pac|at system\.|common frames)"
 IDLE_LABEL = "go:idle_goroutines"
 
 #: Labels in order. (name, pattern, on): on "low" (lower-cased, / for \) or "raw"; group 1 extends the name.

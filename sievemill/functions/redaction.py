@@ -75,13 +75,15 @@ def linear(name: str, pattern: str, replacement: str) -> tuple[str, str]:
     """A pattern for engines that backtrack, and its replacement: they find and mask the same, in linear time.
 
     Whether a key or a token's first part is followed rightly depends on where its run of word characters ends, so within a
-    run only the first keyword is tried (an atomic group), from the run's start; what stands before it is kept."""
+    run only the first keyword is tried (an atomic group), from the run's start; what stands before it is kept. A run is
+    searched for keywords only if a sign of assignment follows it, which few words of a text have."""
     if name == "jwt":
         run = "[a-zA-Z0-9_-]"
         return rf"(?<!{run})((?>{run}*?(?=eyJ)))eyJ{run}++\.{run}++\.{run}+", r"\1" + replacement
     if name in ("aws_secret", "quoted", "plain"):
         run, words = "[a-z0-9_]", "aws_secret" if name == "aws_secret" else "(?:api_key|token|password|secret|auth|bearer)"
-        return pattern.replace(rf"""["']?{words}{run}*""", rf"""(?<!{run})["']?(?>{run}*?{words}){run}*+"""), replacement
+        signed = rf"""(?=["']?{run}*+["']?\s*+[:=])"""
+        return pattern.replace(rf"""["']?{words}{run}*""", rf"""(?<!{run}){signed}["']?(?>{run}*?{words}){run}*+"""), replacement
     return pattern, replacement
 
 

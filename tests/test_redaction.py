@@ -90,3 +90,18 @@ def test_adversarial_texts_take_little_time(spark, bad):
     began = time.time()
     df.select(redaction.redact(F.col("text"))).collect()
     assert time.time() - began < 10
+
+
+def test_words_without_a_sign_are_not_searched_for_keys(spark):
+    """The sign is looked for before keywords are, and what is masked is what the rule as it stands masks."""
+    rules = {n: (p, r) for n, p, r in redaction.RULES}
+    texts = ["token", "tokens of auth_ x = 1", "token  \n=\n abcdefghijk", "'token'=abcdefghijk", "\"my_token\" : 'abcdef'", "''token=abcdefghijk", "x\"secret_1 \" = abcdefghijk", "toKen_İx:abcdefghijk"]
+    texts += ["password_token\t:= abcdefghijkl", "bearer bearer:bearerbearer token=[x] auth='' auth='abcd'", "aws_secret_x '= " + "Ab1/" * 10, "aws_secret_x' = " + "Ab1/" * 10 + "aws_secret=" + "Ab1/" * 11]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for name in ("quoted", "plain", "aws_secret"):
+        pattern, mask = redaction.linear(name, *rules[name])
+        assert pattern.index("[:=])") < pattern.index("aws_secret" if name == "aws_secret" else "api_key")
+        marks = [m.replace("\\", "$") for m in (mask, rules[name][1])]
+        got = df.select(F.regexp_replace("text", redaction.java(pattern), marks[0]), F.regexp_replace("text", redaction.java(rules[name][0]), marks[1])).collect()
+        assert [r[0] for r in got] == [r[1] for r in got]
+        assert any(r[0] != t for r, t in zip(got, texts, strict=True))
