@@ -8,6 +8,7 @@ from sievemill.functions import patch, payload, payload_tree, signature, text
 from sievemill.operators import audit, context, evaluation, store, traffic
 from sievemill.plans import synthetic
 from sievemill.plans.catalog import _CLEANED, LOGS, _payloads, _turns, oracle_sql, query, sql_lines, sql_pruned, sql_redaction
+from sievemill.sources.scratch import written_by_python
 from sievemill.sources.tables import table, texts
 
 # D, F: paths within a root, numbered views, what is sent for a diagnosis
@@ -189,4 +190,4 @@ def patch_texts(spark, sf_dir):
     m = F.octet_length("text") % 4
     old = F.when(m == 0, F.concat(long, F.lit("zz"))).when(m == 1, F.concat(F.lit("  "), long)).otherwise(long)
     rows = docs.select("doc_id", patch.apply_patch(F.col("text"), old, F.lit("PATCHED")).alias("p"))
-    return rows.select("doc_id", "p.status", F.md5("p.text").alias("text_md5"))
+    return written_by_python(rows.select("doc_id", "p.status", F.md5("p.text").alias("text_md5")), "patched")

@@ -64,3 +64,19 @@ def test_binned_windows(spark, size, root):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
     both = [context.contexts(found, sources, size, root), context.put_together(got)]
     assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
+
+
+def test_python_gets_small_batches_and_settings_stay(spark):
+    from pyspark.sql import functions as F
+
+    from sievemill.sources import scratch
+
+    @F.pandas_udf("long")
+    def size(x):
+        return x * 0 + len(x)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = scratch.written_by_python(spark.range(0, 5000, 1, 1).select("id", size("id").alias("n")), "sizes")
+    assert rows.count() == 5000
+    assert rows.agg(F.max("n")).first()[0] <= scratch.BATCH_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
