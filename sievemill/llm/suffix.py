@@ -1,49 +1,125 @@
-"""Suffix sorting in numpy by Larsson-Sadakane refinement, and common prefixes in Kasai's manner."""
+"""Suffix sorting in numpy by Larsson-Sadakane refinement; common prefixes from its rounds' ranks, or in Kasai's manner."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
+#: Ranks of shards below this size fit three to a sort key.
+SMALL = (1 << 21) - 2
+
+
 def suffix_array(first: np.ndarray, width: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, tied): suffixes in the order of their first ``depth`` units or more; by place, whether the suffix is still
-    equal to the one before it. first: ranks of the suffixes by their first ``width`` units. Every round doubles the width;
-    only groups of suffixes that are still equal are sorted again, by the rank of what follows."""
+    equal to the one before it. first: ranks of the suffixes by their first ``width`` units."""
+    order, levels = refined(first, width, depth, None)
+    rank = levels[-1][1]
+    tied = np.zeros(len(first), bool)
+    tied[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+    return order, tied
+
+
+def refined(first: np.ndarray, width: int, depth: int, places: np.ndarray | None) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(order, levels): the suffixes at ``places`` (None: all) in the order of their first ``depth`` units or more, and for
+    each round (width, ranks by that width), the least first.
+
+    Every round triples the width (doubles it, from ``SMALL`` places on); only groups of suffixes that are still equal are
+    sorted again, by the ranks of what follows. Which places a round must rank follows from the rounds after it: the last
+    one ranks the chosen places only, the one before also those that its keys look at. Ranks of other places mean nothing."""
     n = len(first)
-    order = np.argsort(first)
+    times = 3 if n < SMALL else 2
+    bits = 21 if times == 3 else 31
+    widths = [width]
+    while widths[-1] < depth:
+        widths.append(widths[-1] * times)
+    need: list[np.ndarray | None] = [None] * len(widths)
+    if places is not None:
+        mine = np.zeros(n, bool)
+        mine[places] = True
+        for k in range(len(widths) - 1, 0, -1):
+            need[k] = mine
+            mine = mine.copy()
+            for j in range(1, times):
+                if (step := j * widths[k - 1]) < min(n, depth):
+                    mine[step:] |= need[k][:-step]
+            if mine.mean() > 0.8:
+                break
+    if times == 3 and n and int(first.max()) < 1 << 42:
+        # a sort of numbers that end with the place is much faster than one that gives the places
+        ordered = np.sort(first << bits | np.arange(n))
+        order, ordered = ordered & ((1 << bits) - 1), ordered >> bits
+    else:
+        order = np.argsort(first)
+        ordered = first[order]
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
-    ranks = group_ends(first[order])
+    ranks = group_ends(ordered)
     rank[order] = ranks
     todo = open_groups(ranks)
-    while len(todo) and width < depth:
+    levels = [(width, rank)]
+    for wide, chosen in zip(widths[1:], need[1:], strict=True):
+        rank = rank.copy()
+        if chosen is not None:
+            order = order[chosen[order]]
+            ranks = group_ends(rank[order])
+            at = rank.copy()
+            at[order] = ranks
+            todo = open_groups(ranks)
+        else:
+            at = rank
         rows = order[todo]
-        follow = rank[np.minimum(rows + width, n)] + 1
-        key = rank[rows] * np.int64(n + 2) + follow
+        key = at[rows]
+        for j in range(1, times):
+            key = key << bits | rank[np.minimum(rows + j * width, n)] + 1
+        # stable: the groups are in order already, and often more than that
         by = np.argsort(key, kind="stable")
-        order[todo] = rows[by]
-        key = key[by]
+        rows, key = rows[by], key[by]
+        order[todo] = rows
         # the end of a refined group is the place of its last member
-        last = np.concatenate([key[1:] != key[:-1], [True]])
-        ends = todo[last][np.cumsum(np.concatenate([[0], last[:-1]])).astype(np.int64)]
-        rank[order[todo]] = ends
+        last = np.concatenate([key[1:] != key[:-1], [True]])[: len(key)]
         size = np.diff(np.flatnonzero(np.concatenate([[True], last])))
+        at[rows] = np.repeat(todo[last], size)
         todo = todo[np.repeat(size > 1, size)]
-        width *= 2
-    tied = np.zeros(n, bool)
-    tied[order[1:]] = rank[order[1:]] == rank[order[:-1]]
-    return order, tied
+        rank, width = at, wide
+        levels.append((width, rank))
+    return order, levels
+
+
+def shared(words: np.ndarray, levels: list[tuple[int, np.ndarray]], order: np.ndarray, most: int) -> np.ndarray:
+    """By text place: the longest common prefix, up to ``most`` (the depth of ``refined``), of a suffix in the order with its
+    neighbours there; 0 elsewhere. Equal ranks of a round are that round's width in common: the widest first, then what
+    follows by the next, and the last bytes by words."""
+    n = len(levels[0][1]) - 1
+    out = np.zeros(n, np.int64)
+    if len(order) < 2:
+        return out
+    a, b = order[:-1], order[1:]
+    length = np.zeros(len(a), np.int64)
+    for (width, rank), (wider, _) in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        live = np.flatnonzero(length < most)
+        for _ in range(wider // width - 1):
+            x, y = a[live] + length[live], b[live] + length[live]
+            live = live[(np.maximum(x, y) < n) & (rank[np.minimum(x, n)] == rank[np.minimum(y, n)]) & (length[live] < most)]
+            length[live] += width
+    live = np.flatnonzero(length < most)
+    x, y = a[live] + length[live], b[live] + length[live]
+    length[live] += 8 - STEPS.searchsorted(words[x] ^ words[y], side="right")
+    length = np.minimum(length, most)
+    out[b] = length
+    out[a] = np.maximum(out[a], length)
+    return out
 
 
 def group_ends(ordered: np.ndarray) -> np.ndarray:
-    last = np.concatenate([ordered[1:] != ordered[:-1], [True]]) if len(ordered) else np.empty(0, bool)
-    return np.flatnonzero(last)[np.cumsum(np.concatenate([[0], last[:-1]])).astype(np.int64)] if len(ordered) else np.empty(0, np.int64)
+    ends = np.flatnonzero(np.concatenate([ordered[1:] != ordered[:-1], [True]])[: len(ordered)])
+    return np.repeat(ends, np.diff(ends, prepend=-1))
 
 
 def open_groups(ranks: np.ndarray) -> np.ndarray:
     """Places of suffixes that share their rank with another."""
-    size = np.bincount(ranks, minlength=len(ranks))
-    return np.flatnonzero(size[ranks] > 1)
+    alone = np.diff(ranks, prepend=-1) > 0
+    alone[:-1] &= alone[1:]
+    return np.flatnonzero(~alone)
 
 
 def packed(data: np.ndarray, width: int) -> np.ndarray:

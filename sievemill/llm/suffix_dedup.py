@@ -3,7 +3,7 @@
 A byte of a text's UTF-8 goes if a string of 400 bytes that covers it also starts anywhere else, in the same text or
 another; strings never cross texts and are judged on the input. How they come to shards: see repeats.py. A shard's segments
 are joined by a byte that UTF-8 never has; the suffix array is refined after Larsson and Sadakane, common prefixes come
-from Kasai's bound (suffix.py), and a string is repeated if either neighbour in the array shares 400 bytes. Parts of a split
+from the ranks of its rounds (suffix.py), and a string is repeated if either neighbour in the array shares 400 bytes. Parts of a split
 hash are merged by binary search: the strings of one part are looked up in the other part's array.
 
 Shorter passages that texts share stay, but are reported: ``n_shared`` counts the bytes that strings of 280 bytes cover which
@@ -29,6 +29,8 @@ LENGTH, GRAM = 400, 48
 SHORTER = 280
 CAP, SHARD_BYTES = 2048, 320_000
 GAP = b"\xff"
+#: Bytes that suffixes are first sorted by; four rounds reach 405 from there.
+FIRST = 5
 
 
 def joined(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +57,13 @@ def judge(*lengths: int):
         places = begin[seg] + at
         left = np.array([len(p) for p in pieces], np.int64)[seg] - at
         if other is None:
-            order, tied = suffix.suffix_array(suffix.packed(data, 7), 7, longest)
-            prefix = suffix.among(suffix.kasai(words, order, tied, begin, longest), order, places)
+            order, levels = suffix.refined(suffix.packed(data, FIRST), FIRST, longest, places)
+            prefix = suffix.shared(words, levels, order, longest)
             hits = [prefix[places] >= x for x in lengths]
         else:
             theirs, their_begin = joined(other[0])
-            order, _ = suffix.suffix_array(suffix.packed(theirs, 7), 7, longest)
             their_seg, their_at = window_places(other[1])
-            order = suffix.only(order, their_begin[their_seg] + their_at)
+            order, _ = suffix.refined(suffix.packed(theirs, FIRST), FIRST, longest, their_begin[their_seg] + their_at)
             others = suffix.words8(theirs, longest + 8)
             hits = [suffix.find_equal(others, order, words, places, x) for x in lengths]
         return [ranges(seg, at, hit & (left >= x)) for x, hit in zip(lengths, hits, strict=True)]

@@ -113,3 +113,22 @@ def test_pieces_that_share_more_than_the_sorted_depth():
         want = {(k, i) for k, p in enumerate(pieces) for i in range(len(p) - 399) if count[p[i : i + 400]] > 1}
         (found,) = suffix_dedup.judge(400)((pieces, np.array([len(p) - 399 for p in pieces])))
         assert {(int(k), i) for k, lo, hi in zip(*found, strict=True) for i in range(lo, hi)} == want
+
+
+@pytest.mark.parametrize("small", [suffix.SMALL, 100])
+def test_only_chosen_places_are_sorted_to_the_full_depth(monkeypatch, small):
+    monkeypatch.setattr(suffix, "SMALL", small)
+    rng = np.random.default_rng(12)
+    for width, kind in ((5, 2), (7, 200), (5, 1)):
+        data = rng.integers(1, kind + 1, 900).astype(np.uint8)
+        data[500:620] = data[100:220]
+        raw = data.tobytes()
+        places = np.sort(rng.choice(np.r_[90:150, 490:550, 700:720], 60, replace=False))
+        order, levels = suffix.refined(suffix.packed(data, width), width, 96, places)
+        assert sorted(order.tolist()) == places.tolist()
+        assert [raw[i : i + 96] for i in order] == sorted(raw[i : i + 96] for i in places)
+        got = suffix.shared(suffix.words8(data, 104), levels, order, 96)
+        common = lambda a, b: next((n for n in range(96) if raw[a + n : a + n + 1] != raw[b + n : b + n + 1]), 96)
+        want = {i: max(common(i, j) for j in places if j != i) for i in places.tolist()}
+        assert {i: int(got[i]) for i in places.tolist()} == want
+        assert not got[np.setdiff1d(np.arange(900), places)].any()
