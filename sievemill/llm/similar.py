@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.llm.common import bounded_broadcast, drop_stash, stash
@@ -227,13 +227,13 @@ def rooted(df: DataFrame, roots: DataFrame, x: str) -> DataFrame:
 
 
 def links(nodes: DataFrame, pairs: DataFrame, keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of linked sets. nodes: (sid, n, bits); pairs: (a, b) that share a key with nobody else; keys: (g, sid, n,
-    bits), of keys that more sets have."""
-    heads = keys.groupBy("g").agg(F.min_by(F.struct("sid", "n", "bits"), F.xxhash64("sid")).alias("h")).select("g", F.col("h.sid").alias("b"), F.col("h.n").alias("nb"), F.col("h.bits").alias("bitsb"))
-    to_heads = side(keys, "a", "g", "n", "bits").join(heads, F.col("ga") == F.col("g")).filter("a <> b")
-    alone = pairs.join(side(nodes, "a", "n", "bits"), "a").join(side(nodes, "b", "n", "bits"), "b")
-    met = [x.filter(near("a", "b")).select("a", "b", apart("a", "b").alias("apart")) for x in (to_heads, alone)]
-    stars = stash(met[0].union(met[1]).distinct(), "stars")
+    """(node, root) of linked sets. nodes: (sid, n, bits); pairs: (a, b) that share a key with nobody else; keys: (g, sid), of
+    keys that more sets have."""
+    heads = keys.groupBy("g").agg(F.min_by("sid", F.xxhash64("sid")).alias("b"))
+    # most keys of a set have the same head: only distinct pairs meet their fingerprints
+    to_heads = keys.select("g", F.col("sid").alias("a")).join(heads, "g").filter("a <> b").select("a", "b")
+    met = to_heads.unionByName(pairs).distinct().join(side(nodes, "a", "n", "bits"), "a").join(side(nodes, "b", "n", "bits"), "b")
+    stars = stash(met.filter(near("a", "b")).select("a", "b", apart("a", "b").alias("apart")), "stars")
     one = stash(stars.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "one")
     edges = linked(one, sets)
     roots = stash(components(edges), "roots")
@@ -244,7 +244,7 @@ def links(nodes: DataFrame, pairs: DataFrame, keys: DataFrame, sets: DataFrame)
     edges = stash(edges.union(more), "edges")
     drop_stash(more)
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = linked(unlike(keys, components(edges), sets).join(seen, ["a", "b"], "left_anti"), sets)
+    more = linked(unlike(nodes, keys, components(edges), sets).join(seen, ["a", "b"], "left_anti"), sets)
     drop_stash(stars)
     return components(edges.union(more))
 
@@ -268,13 +268,15 @@ def may_link(x: str, y: str) -> Column:
     return 9 * (F.size(F.array_intersect(f"rare{x}", f"rare{y}")) + F.least(left(x), left(y))) >= 4 * (F.col(f"n{x}") + F.col(f"n{y}"))
 
 
-def unlike(keys: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): near sets that share a key, are in different components, and whose rarest shingles allow a link."""
-    placed = stash(rooted(keys, roots, "sid"), "placed")
+def unlike(nodes: DataFrame, keys: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): near sets that share a key, are in different components, and whose rarest shingles allow a link. What is known
+    of a set is put together once, with its open keys in a list, and then dealt to these keys."""
+    placed = stash(rooted(keys.select("g", "sid"), roots, "sid"), "placed")
     still = placed.groupBy("g").agg(F.min("rootsid").alias("x"), F.max("rootsid").alias("y")).filter("x <> y").select("g")
-    rows = stash(placed.join(still, "g").withColumn("shared", F.collect_set("g").over(Window.partitionBy("sid"))), "still")
-    rare = rarest(sets.join(rows.select("sid").distinct(), "sid", "left_semi"))
-    met = rows.join(rare, "sid").select("g", *[F.col(c).alias(f"{x}a") for c, x in (("sid", ""), ("rootsid", "root"), ("n", "n"), ("bits", "bits"), ("shared", "keys"), ("rare", "rare"))])
+    rows = stash(placed.join(still, "g").groupBy("sid").agg(F.min("rootsid").alias("root"), F.collect_set("g").alias("keys")), "still")
+    rare = rarest(sets.join(rows.select("sid"), "sid", "left_semi"))
+    known = rows.join(nodes.select("sid", "n", "bits"), "sid").join(rare, "sid")
+    met = known.select(F.explode("keys").alias("g"), F.col("sid").alias("a"), *[F.col(c).alias(f"{c}a") for c in ("root", "n", "bits", "keys", "rare")])
     met = stash(met, "open")
     other = met.withColumnsRenamed({f"{c}a": f"{c}b" for c in ("", "root", "keys", "n", "bits", "rare")})
     first = F.array_min(F.array_intersect("keysa", "keysb")) == F.col("g")
@@ -301,10 +303,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = keys.select("sid").union(pairs.select("a")).union(pairs.select("b")).distinct()
     nodes = stash(marked.join(wanted, "sid", "left_semi").select("sid", "th", "n", "bits").dropDuplicates(["sid"]), "nodes")
     texts = rows.select("th", "raw").join(bounded_broadcast(nodes.select("sid", "th")), "th").dropDuplicates(["sid"])
-    keyed = stash(keys.join(nodes.select("sid", "n", "bits"), "sid"), "keyed")
     sets = stash(texts.select("sid", "raw").mapInArrow(sets_of, "sid bigint, g array<bigint>"), "sets")
-    roots = stash(links(nodes, pairs, keyed, sets), "roots")
-    for t in (several, pairs, keys, keyed, nodes, sets):
+    roots = stash(links(nodes, pairs, keys, sets), "roots")
+    for t in (several, pairs, keys, nodes, sets):
         drop_stash(t)
     return marked.select("doc_id", "th", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
 

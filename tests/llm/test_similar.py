@@ -129,6 +129,23 @@ def test_sets_that_are_near_without_links_are_not_compared_pair_by_pair(spark, m
     assert compared[-1] < 2 * len(rows)
 
 
+def test_sets_of_many_keys_meet_what_is_known_of_them_once(spark, monkeypatch):
+    """Twelve sets share forty keys: what a set brings to the last round is put together in a row for it, not one for each key."""
+    rows = [(i, list(range(100)) + list(range(1000 * i + 1000, 1000 * i + 1020))) for i in range(12)]
+    rows.append((12, rows[11][1][:-1] + [500]))
+    sets = spark.createDataFrame(rows, "sid long, g array<long>")
+    nodes = spark.createDataFrame([(i, 120, [0] * similar.WORDS) for i, _ in rows], "sid long, n int, bits array<long>")
+    keys = spark.createDataFrame([(g, i) for g in range(40) for i, _ in rows], "g long, sid long")
+    written, real = {}, similar.stash
+    monkeypatch.setattr(similar, "stash", lambda df, name: written.setdefault(name, []).append(real(df, name)) or written[name][-1])
+    monkeypatch.setattr(similar, "drop_stash", lambda df: None)
+    found = similar.unlike(nodes, keys, spark.createDataFrame([(11, 11), (12, 11)], "node long, root long"), sets)
+    assert found.count() == 0
+    assert written["still"][0].count() == len(rows)
+    found = similar.unlike(nodes, keys, spark.createDataFrame([], "node long, root long"), sets)
+    assert [tuple(r) for r in found.collect()] == [(11, 12)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert similar.keep_one(docs).count() == 0
