@@ -1,6 +1,7 @@
 """Lexers, rules over tokens, and gates, on good and bad files."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,22 @@ def test_gate_column(spark):
     rows = [("yaml", "a: [1, 2"), ("yml", "a: 1"), ("ts", "let = = 3;"), (None, "x"), ("js", None)]
     got = [r["g"] is None for r in spark.createDataFrame(rows, "kind string, code string").select(patch.syntax_gate(F.col("kind"), F.col("code")).alias("g")).collect()]
     assert got == [False, True, False, True, True]
+
+
+def test_yaml_takes_time_in_proportion_to_its_length():
+    """The time of files of many quoted values, and of one long list in brackets, follows their length, not its square."""
+
+    def seconds(text):
+        best = 9.0
+        for _ in range(3):
+            began = time.process_time()
+            assert yaml_error(text) is None
+            best = min(best, time.process_time() - began)
+        return best
+
+    quoted = lambda k: "lines:\n" + '  - text: "some words of a line here"\n    also: plain\n' * k
+    listed = lambda k: "k: [" + "a,\n " * k + "b]\n"
+    for form in (quoted, listed):
+        assert seconds(form(16000)) < 18 * seconds(form(1600))
+    assert yaml_error(quoted(3) + '  - text: "open\n    also: plain\n') == "line 8: quote isn't closed"
+    assert yaml_error("a: 'x\n\n  y'\nk: [a,\n b,\n , c]\n") == "line 6: unexpected ','"
