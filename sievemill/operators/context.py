@@ -53,24 +53,27 @@ def windows_binned(found: DataFrame, lines: DataFrame, context: int = 5, root: s
     """What ``windows`` gives, from source_lines, for files of any length and paths of any frequency.
 
     Each place (path, line) is cut out once, however many frames name it: its window lies in two bins of lines at most, so
-    places and lines meet by equal (path, bin) and a long file is spread over its bins. The windows then go to their frames;
-    places that a thousandth of all frames name are sent to every task. root: only paths within it are read."""
+    places and lines meet by equal (path, bin) and a long file is spread over its bins. Bin -1 holds a file's length. Lines
+    are read once, found three times (write it first if it's much work). The windows then go to their frames; places that a
+    thousandth of all frames name are sent to every task. root: only paths within it are read."""
     if root is not None:
         found = found.filter(inside(F.col("path"), root))
-    width = 2 * context + 1
+    width, length = 2 * context + 1, F.lit(-1).cast("long")
     places = written(found.groupBy("path", "line").agg(F.count("*").alias("frames")), "places")
     first, last = window(F.col("line"), F.col("line") + context, context)
     bins = F.sequence(F.floor((first - 1) / width), F.floor((F.greatest(last, first) - 1) / width))
-    wanted = places.select("path", "line", F.explode(bins).alias("bin")).withColumns({"first": first, "last": last})
-    rows = lines.select(F.col("path").alias("p"), F.floor((F.col("line_no") - 1) / width).alias("b"), "line_no", F.col("line").alias("s"))
-    met = wanted.join(rows, (F.col("path") == F.col("p")) & (F.col("bin") == F.col("b")) & F.col("line_no").between(F.col("first"), F.col("last")))
-    cut = met.groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("line_no", "s"))).alias("rows"), F.max("line_no").alias("end"))
-    files = lines.groupBy("path").agg(F.max("n_lines").alias("n_lines"))
-    known = places.join(files, "path").join(cut, ["path", "line"], "left")
+    wanted = places.select("path", "line", "frames", F.explode(F.concat(F.array(length), bins)).alias("bin")).withColumns({"first": first, "last": last})
+    no = F.col("line_no")
+    bins = F.when(no == 0, F.array(length)).when(no == 1, F.array(length, F.lit(0).cast("long"))).otherwise(F.array(F.floor((no - 1) / width)))
+    rows = lines.select(F.col("path").alias("p"), "line_no", F.col("line").alias("s"), "n_lines", F.explode(bins).alias("b"))
+    rows = rows.withColumn("s", F.when(F.col("b") >= 0, F.col("s")))
+    met = wanted.join(rows, (F.col("path") == F.col("p")) & (F.col("bin") == F.col("b")) & ((F.col("b") < 0) | no.between(F.col("first"), F.col("last"))))
+    part = F.when(F.col("b") >= 0, F.struct("line_no", "s"))
+    cut = met.groupBy("path", "line").agg(F.max("frames").alias("frames"), F.array_sort(F.collect_list(part)).alias("rows"), F.max(part["line_no"]).alias("end"), F.max("n_lines").alias("n_lines"))
     end = F.coalesce("end", F.least(F.col("line") + context, F.col("n_lines"))).cast("long")
     body = F.array_join(F.transform("rows", lambda r: F.concat(r["line_no"].cast("string"), F.lit(" | "), r["s"], F.lit("\n"))), "")
     head = F.format_string("--- %s (Lines %d-%d) ---\n", F.col("path"), first, end)
-    known = known.select("path", "line", "frames", first.alias("first"), end.alias("last"), F.concat(head, F.coalesce(body, F.lit("")), F.lit("\n")).alias("body"))
+    known = written(cut.select("path", "line", "frames", first.alias("first"), end.alias("last"), F.concat(head, body, F.lit("\n")).alias("body")), "windows")
     total = places.agg(F.sum("frames")).first()[0] or 0
     return join_unique(found, known, ["path", "line"], "frames", total).select("id", "pos", "path", "line", "first", "last", "body")
 

@@ -19,7 +19,7 @@ SELECT id, md5(string_agg(body, '' ORDER BY o)) AS context_md5, any_value(files)
 
 def _binned(spark, sf_dir, root=None):
     found, sources = _sources(spark, sf_dir)
-    cut = context.windows_binned(found, context.source_lines(sources), 2, root)
+    cut = context.windows_binned(found, context.source_lines(sources).hint("merge"), 2, root)
     return context.put_together(cut).select("id", F.md5("context").alias("context_md5"), joined("files", "files"))
 
 

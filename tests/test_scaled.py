@@ -80,3 +80,28 @@ def test_python_gets_small_batches_and_settings_stay(spark):
     assert rows.count() == 5000
     assert rows.agg(F.max("n")).first()[0] <= scratch.BATCH_ROWS
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+@pytest.mark.parametrize("name", ["context_rooted", "context_binned", "context_text", "context_window", "files_in_context", "files_missing"])
+def test_frames_are_found_once(spark, sf, name):
+    """Frames are written before the steps that read them, so no step searches the logs again."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "RegExpExtractAll" not in plan
+
+
+def test_lines_are_read_once(spark):
+    text = "\n".join(f"line {i}" for i in range(20))
+    found = spark.createDataFrame([(i, 0, "hot.py" if i % 2 else f"{i}.py", i % 25) for i in range(60)], "id long, pos int, path string, line long")
+    sources = spark.createDataFrame([("hot.py", text), ("empty.py", ""), *((f"{i}.py", text) for i in range(0, 60, 2))], "path string, text string")
+    lines, read = context.source_lines(sources), spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    got = context.windows_binned(found, lines.mapInPandas(counted, lines.schema), 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, context.windows(found, sources, 2).collect()))
+    assert read.value == lines.count()
