@@ -105,3 +105,12 @@ def test_words_without_a_sign_are_not_searched_for_keys(spark):
         got = df.select(F.regexp_replace("text", redaction.java(pattern), marks[0]), F.regexp_replace("text", redaction.java(rules[name][0]), marks[1])).collect()
         assert [r[0] for r in got] == [r[1] for r in got]
         assert any(r[0] != t for r, t in zip(got, texts, strict=True))
+
+
+def test_gate_takes_linear_time(spark):
+    """Many keywords in one run: the gate looked from each of them to the end of the run."""
+    df = spark.createDataFrame([("token" * 40000,), ("token" * 40000 + ' = "hunter22"',)], "text string")
+    began = time.time()
+    got = df.select(F.get(redaction.gates(F.col("text")), F.lit(len(redaction.RULES) - 1))).collect()
+    assert time.time() - began < 10
+    assert [r[0] for r in got] == [False, True]
